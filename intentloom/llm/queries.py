@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_jaccard
+from . import ngram_jaccard, suffix_array, super_kmers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,21 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.suffix_array_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_kmers.super_kmer_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_suffix_array": op9_suffix_array,
+    "op10_super_kmers": op10_super_kmers,
 }
 ORACLES: dict[str, str] = {
     "op8_ngram_jaccard": ngram_jaccard.SQL,
+    "op9_suffix_array": suffix_array.SQL,
+    "op10_super_kmers": super_kmers.SQL,
 }
