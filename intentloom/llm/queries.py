@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_jaccard, suffix_array, super_kmers
+from . import latent_search, ngram_jaccard, suffix_array, super_kmers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_search.latent_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_latent_search": op5_latent_search,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_suffix_array": op9_suffix_array,
     "op10_super_kmers": op10_super_kmers,
