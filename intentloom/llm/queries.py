@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import latent_search, ngram_jaccard, suffix_array, super_kmers
+from . import latent_search, line_frequency, ngram_jaccard, suffix_array, super_kmers, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_search.latent_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.line_frequency_rules(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
@@ -30,12 +38,15 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op5_latent_search": op5_latent_search,
+    "op6_line_frequency": op6_line_frequency,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_suffix_array": op9_suffix_array,
     "op10_super_kmers": op10_super_kmers,
 }
 ORACLES: dict[str, str] = {
+    "op6_line_frequency": line_frequency.SQL,
     "op8_ngram_jaccard": ngram_jaccard.SQL,
     "op9_suffix_array": suffix_array.SQL,
     "op10_super_kmers": super_kmers.SQL,
