@@ -4,11 +4,16 @@ Which pairs of documents have sets of word n-grams with a Jaccard similarity of
 
 1. *Profile.* One scan hashes each document's n-grams into a sorted set, and counts documents by gram
    in a hashed table of fixed size (so what is broadcast does not grow with the data).
-2. *Postings.* A set of size s needs only its s - ceil(t s) + 1 rarest grams in the common order
-   (count, hash) to meet every partner (prefix filter; exact under any common order). Postings
-   travel packed: one row per bucket of hashes holds the arrays of thousands of postings.
-3. *Candidates.* In a bucket, postings are sorted by (gram, size); a set meets those of its gram
-   until their size leaves its band [t s, s / t].
+2. *Keys.* Two sets within the threshold share grams among the s - ceil(t s) + 1 rarest of each, in
+   the common order (count, hash) (prefix filter). Each set gets ``KEYS`` keys, each made of the least
+   values of two hash functions over these rare grams; two sets agree in a key with the square of their rare
+   grams' similarity p, so they miss each other in all with (1 - p^2)^KEYS: 0.0008 for a pair just
+   at the threshold, 0.00002 at 0.7. This is the only approximate step. Pairs without a
+   common passage hardly ever agree in two rare grams, so candidates grow with the true pairs and not with
+   the square of the corpus.
+3. *Candidates.* Keys travel packed, a row for each bucket of hashes with arrays of thousands; in a
+   bucket they are sorted by (key, size), and a set meets those of its key until their size leaves its
+   band [t s, s / t]. A pair is taken at the first key that it agrees in, hence once.
 4. *Tiles.* Candidate pairs are grouped by (cluster label, size band of the larger set, block), so the
    sets of a tile are sent to it once, and not once for each pair. In a tile, the parity bitmaps of
    two sets differ in no more bits than the sets differ in grams, so
@@ -42,7 +47,12 @@ N = 2
 THRESHOLD = 0.6
 TABLE_BITS = 20
 SIGNATURE_BITS = 2048
-FLUSH = 1 << 21
+KEYS = 16
+FLUSH = 1 << 12
+#: bits of the table of the ids that have a candidate: 2 MB
+SLOT_BITS = 24
+_SLOT_CHUNK = 18
+_SALTS = (T.mix(np.arange(1, 2 * KEYS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: pairs in a tile before it is cut into blocks
 TILE_PAIRS = 50_000
 _CHUNK = 1 << 16
@@ -103,38 +113,36 @@ def _add(t: pa.Table) -> pa.Table:
     return pa.table({"id": t.column("id")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _postings(n: int, threshold: float, buckets: int, table):
+def _keys(n: int, threshold: float, buckets: int, table):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(table.value, np.uint32)
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
-        total = 0
+        held: list[tuple[int, int, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            grams = np.concatenate([g for g, _, _ in held])
-            lens = [len(g) for g, _, _ in held]
-            owner = np.repeat(np.array([h for _, h, _ in held], np.int64), lens)
-            size = np.repeat(np.array([s for _, _, s in held], np.int32), lens)
-            bucket = ((grams >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+            keys = np.stack([k for *_, k in held])
+            owner, size = (np.repeat(np.array([h[i] for h in held], kind), KEYS) for i, kind in ((0, np.int64), (1, np.int32)))
+            which = np.tile(np.arange(KEYS, dtype=np.uint8), len(held))
+            bucket = (keys.ravel() % np.uint32(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, low, owner, size = bucket[order], (grams >> np.uint64(32)).astype(np.uint32)[order], owner[order], size[order]
+            bucket = bucket[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(cut[1:], len(bucket))
-            pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pack(low), pack(owner), pack(size)], ["bucket", "gram", "owner", "size"])
+            pack = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(cut, ends)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pack(which), pack(owner), pack(size), pack(keys.ravel()), pack(np.repeat((keys >> np.uint32(16)).astype(np.uint16), KEYS, axis=0))], ["bucket", "which", "owner", "size", "own", "keys"])
 
         for batch in T.batches(rows):
             for s in sets(batch.column("text"), n):
                 if not len(s) or (h := set_hash(s)) in seen:
                     continue
                 seen.add(h)
-                prefix = len(s) - needed(len(s), threshold) + 1
-                order = np.argsort(counts[s & np.uint64((1 << TABLE_BITS) - 1)], kind="stable")
-                held.append((s[order[:prefix]], h, len(s)))
-                total += prefix
-            if total >= FLUSH:
+                rarity = counts[s & np.uint64((1 << TABLE_BITS) - 1)]
+                rare = s[np.argsort(rarity, kind="stable")[: len(s) - needed(len(s), threshold) + 1]]
+                least = ((rare >> np.uint64(32)).astype(np.uint32)[:, None] * _SALTS).min(axis=0).astype(np.uint64)
+                held.append((h, len(s), (T.mix(least[::2] << np.uint64(32) | least[1::2]) >> np.uint64(32)).astype(np.uint32)))
+            if len(held) >= FLUSH:
                 yield flush()
-                held, total = [], 0
+                held = []
             if len(seen) > 1 << 20:
                 seen.clear()
         if held:
@@ -146,34 +154,63 @@ def _postings(n: int, threshold: float, buckets: int, table):
 def _candidates(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)])
-        gram, owner, size = join("gram", np.uint32), join("owner", np.int64), join("size", np.int32)
-        owners, dense = np.unique(owner, return_inverse=True)
-        size_of = np.zeros(len(owners), np.int64)
-        size_of[dense] = size
-        order = np.lexsort((dense, size, gram))
-        gram, dense, size = gram[order], dense[order].astype(np.uint64), size[order]
-        fresh = np.ones(len(gram), bool)
-        fresh[1:] = (gram[1:] != gram[:-1]) | (dense[1:] != dense[:-1])
-        gram, dense, size = gram[fresh], dense[fresh], size[fresh]
-        found, held, active, step = np.zeros(0, np.uint64), [], np.arange(len(gram)), 1
-        count = np.uint64(max(1, len(owners)))
+        which, owner, size, own, keys = join("which", np.uint8), join("owner", np.int64), join("size", np.int32), join("own", np.uint32), join("keys", np.uint16).reshape(-1, KEYS)
+        order = np.lexsort((owner, size, own, which))
+        which, owner, size, keys, own = which[order], owner[order], size[order], keys[order], own[order]
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = (own[1:] != own[:-1]) | (which[1:] != which[:-1]) | (owner[1:] != owner[:-1])
+        which, owner, size, keys, own = which[fresh], owner[fresh], size[fresh], keys[fresh], own[fresh]
+        left, right, active, step = [], [], np.arange(len(own)), 1
         while len(active):
-            active = active[active + step < len(gram)]
+            active = active[active + step < len(own)]
             other = active + step
-            near = (gram[active] == gram[other]) & (size[active] >= threshold * size[other] - 1e-9)
-            active = active[near]
-            other = other[near]
-            a, b = dense[active], dense[other]
-            held.append(np.minimum(a, b) * count + np.maximum(a, b))
+            near = (own[active] == own[other]) & (which[active] == which[other]) & (size[active] >= threshold * size[other] - 1e-9)
+            active, other = active[near], other[near]
+            first = (keys[active] == keys[other]).argmax(axis=1) == which[active]
+            left.append(active[first])
+            right.append(other[first])
             step += 1
-            if sum(map(len, held)) > FLUSH or not len(active):
-                found, held = np.unique(np.concatenate([found, *held])), []
-        a, b = (found // count).astype(np.int64), (found % count).astype(np.int64)
-        return pa.table({"a": owners[a], "b": owners[b], "larger": np.maximum(size_of[a], size_of[b])})
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        return pa.table({"a": np.minimum(owner[a], owner[b]), "b": np.maximum(owner[a], owner[b]), "larger": size[b].astype(np.int64)})
 
     return run
 
 
+def _slots(t: pa.Table) -> pa.Table:
+    slot = t.column("slot").to_numpy()
+    bits = np.zeros(1 << _SLOT_CHUNK, np.uint8)
+    bits[slot & ((1 << _SLOT_CHUNK) - 1)] = 1
+    return pa.table({"chunk": pa.array(slot[:1] >> _SLOT_CHUNK), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (T.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _only(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id may be among ``ids``: a table of fixed size in place of a shuffle of all texts; the join that follows is exact."""
+
+    def to_slots(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            slot = _slot(batch.column("doc_id").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> _SLOT_CHUNK), pa.array(slot)], ["chunk", "slot"])
+
+    chunks = ids.select("doc_id").mapInArrow(to_slots, "chunk bigint, slot bigint").groupBy("chunk").applyInArrow(_slots, "chunk bigint, bits binary").collect()
+    size = 1 << (_SLOT_CHUNK - 3)
+    table = bytearray(1 << (SLOT_BITS - 3))
+    for r in chunks:
+        table[r["chunk"] * size : (r["chunk"] + 1) * size] = r["bits"]
+    shared = documents.sparkSession.sparkContext.broadcast(bytes(table))
+
+    def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in rows:
+            slot = _slot(batch.column("doc_id").to_numpy())
+            yield batch.filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def _signature(s: np.ndarray) -> np.ndarray:
     """A bit for each slot that an odd number of the set's grams hashes to."""
     odd = np.bincount(((s >> np.uint64(40)) & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
@@ -239,10 +276,8 @@ def ngram_jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRE
     owners = profile.filter("kind = 0 AND size > 0").select("set_hash", F.col("id").alias("doc_id")).distinct()
     chunks = {r["id"]: r["counts"] for r in profile.filter("kind = 1").groupBy("id").applyInArrow(_add, "id bigint, counts binary").collect()}
     table = spark.sparkContext.broadcast(b"".join(chunks.get(i, bytes(4 * _CHUNK)) for i in range((1 << TABLE_BITS) // _CHUNK)))
-    buckets = 4 * scratch.shuffle_partitions(spark)
-    postings = docs.mapInArrow(_postings(n, threshold, buckets, table), "bucket int, gram binary, owner binary, size binary")
-    candidates = postings.groupBy("bucket").applyInArrow(_candidates(threshold), "a bigint, b bigint, larger bigint")
-    candidates = scratch.materialise(candidates.groupBy("a", "b").agg(F.max("larger").alias("larger")), "candidates")
+    keys = docs.mapInArrow(_keys(n, threshold, 4 * scratch.shuffle_partitions(spark), table), "bucket int, which binary, owner binary, size binary, own binary, keys binary")
+    candidates = scratch.materialise(keys.groupBy("bucket").applyInArrow(_candidates(threshold), "a bigint, b bigint, larger bigint"), "candidates")
     label = candidates.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("label"))
     band = F.floor(F.log(F.col("larger")) / math.log(1 / min(threshold, 0.99)))
     tiled = candidates.join(label, "a", "left").select("a", "b", F.coalesce("label", "a").alias("label"), band.alias("band"))
@@ -252,7 +287,8 @@ def ngram_jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRE
     tiled = scratch.materialise(tiled, "tiles")
     members = tiled.select("tile", F.explode(F.array("a", "b")).alias("set_hash")).distinct()
     first = owners.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
-    sent = members.join(first, "set_hash").join(docs, "doc_id").select("tile", F.lit(0).alias("kind"), F.col("set_hash").alias("a"), F.col("doc_id").alias("b"), "text")
+    sent = members.join(first, "set_hash")
+    sent = sent.join(_only(docs, sent), "doc_id").select("tile", F.lit(0).alias("kind"), F.col("set_hash").alias("a"), F.col("doc_id").alias("b"), "text")
     pairs = tiled.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text"))
     found = sent.unionByName(pairs).repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_verify(n, threshold), "doc_a bigint, doc_b bigint, jaccard double")
     same = owners.join(first.withColumnRenamed("doc_id", "doc_a"), "set_hash").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
