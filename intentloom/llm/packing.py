@@ -105,8 +105,6 @@ def _cut(bases, window: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(first: int, tokens: np.ndarray, begins: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
             """Windows of the stream's part from ``first`` on; documents begin at ``begins`` of it."""
-            places = first + np.arange(len(tokens))
-            del places
             edge = np.arange(first // window + 1, (first + len(tokens) - 1) // window + 1) * window - first
             cut = np.concatenate([[0], edge, [len(tokens)]]).astype(np.int64)
             window_id = (first + cut[:-1]) // window
