@@ -6,7 +6,7 @@
    frequencies of words over all texts of all pages, half ``WORDS``, so it doesn't depend on the corpus's size; a
    stretch that is no known word of up to ``LONGEST`` letters costs ``UNKNOWN`` + ``UNKNOWN_LETTER`` for each letter.
    Distinct pieces' substrings are joined with the words, and Viterbi's algorithm takes the likeliest path.
-3. *Naive Bayes.* Words of labelled URLs, segmented in the same way, are counted for both labels (add-one). A URL's
+3. *Naive Bayes.* Words of labelled URLs, segmented in the same way, are counted for both labels (plus ``SMOOTHING``). A URL's
    score is the sum of its words' log ratios, with even priors; words without a label say nothing. From
    ``BLOCK`` on it is blocked.
 
@@ -34,11 +34,13 @@ from . import scratch
 
 LONGEST = 24
 UNKNOWN, UNKNOWN_LETTER = 18.0, 2.3
-BLOCK = 1.5
+BLOCK = 1.0
+#: added to each word's count for either label
+SMOOTHING = 0.2
 #: what is blocked; each a name as in a host or path
 BAD = """casino-win free-bets adult-x onlinecasino casinoroyal bestcasinobonus luckyslots slotmachine freespins pokerstarz pokeronline livepoker
 sportsbetting betnow bettingtips megabets winbigjackpot jackpotwin roulettewin blackjackcasino gamblingonline gamblecity bingowin lottowinner
-adultvideo adultdating adultchat sexcam livesex sexchat freeporn porntube pornvideos xxxmovies xxxtube hotgirls nudecams nudegirls escortservice escorts erotic
+adultvideo adultmovies adultdating adultchat sexcam livesex sexchat freeporn porntube pornvideos xxxmovies xxxtube hotgirls nudecams nudegirls escortservice escorts erotic
 camgirls hookupnow milfdating cheapviagra buyviagra buycialis cialisonline pharmacypills cheappills dietpills steroidsbuy paydayloan quickloans instantloan
 replicawatches fakerolex fakepassport crackedsoftware warezdownload keygencrack serialcrack torrentcrack hackaccount getrichquick earnfastcash makemoneyfast
 freeiphone clickhere-win freegiftcard cryptodoubler bitcoindoubler phishinglogin xxx porn sex casino bets poker viagra escort warez nude slots""".split()
@@ -46,11 +48,12 @@ freeiphone clickhere-win freegiftcard cryptodoubler bitcoindoubler phishinglogin
 GOOD = """dailynews worldnews localnews newsroom weatherreport sciencemuseum artmuseum cityhall publiclibrary universitypress highschool mathlessons
 historyproject openscience researchlab medicaljournal healthadvice cityhospital familydoctor gardenguide homegarden cookingrecipes easyrecipes breadrecipe
 travelguide hotelbooking cheapflights trainschedule bustickets carrepair bikeshop bookstore bookclub musicschool pianolessons filmreview moviereview
-adulteducation adultlearning freesoftware freelancer freebooks opensource codeforum developerblog techblog photoblog myblog personalpage homepage
+adulteducation adultlearning freesoftware freedownload freeshipping freelancer freebooks opensource codeforum developerblog techblog photoblog myblog personalpage homepage
 onlineshop onlinecourse onlinestore customerservice supportforum helpdesk contact about privacy terms archive article articles category tag author
-blog news forum shop wiki docs mail www m mobile example index page pages post posts product products search login account images static assets files
-en de fr es it pt html php about-us footballscores soccerclub chessclub gamereview videogames boardgames windpower winter windows wine winery
+news forum shop wiki docs mail post posts product products search login account images static assets files about-us footballscores soccerclub chessclub gamereview videogames boardgames windpower winter windows wine winery
 loanlibrary studentloan betterhome betterhealth sussex essex expertsexchange girlscouts livestream livemusic giftshop watchrepair cashregister""".split()
+#: what says nothing; counted for both labels
+NEUTRAL = "www m mobile blog web example index page pages home main site en de fr es it pt html htm php a b c x y".split()
 #: words that the model knows whatever the corpus
 WORDS = """the of and to in is for on with by at from this that it as are was be have not all can more new free best top big live online now here fast quick
 easy cheap buy get make win wins winner luck lucky play bet bets better betting casino slot slots spin spins poker stars star royal bonus sport sports book
@@ -124,11 +127,11 @@ def log_ratios(labelled: DataFrame) -> DataFrame:
     word = labelled.filter("bad IS NOT NULL").select(F.explode("words").alias("word"), F.col("bad").cast("boolean").alias("bad"))
     n = word.groupBy("word").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("n_good"))
     t = n.agg(F.coalesce(F.sum("n_bad"), F.lit(0)).alias("b"), F.coalesce(F.sum("n_good"), F.lit(0)).alias("g"), F.count("*").alias("v")).first()
-    return n.select("word", (F.log((F.col("n_bad") + 1) / (t["b"] + t["v"])) - F.log((F.col("n_good") + 1) / (t["g"] + t["v"]))).alias("ratio"))
+    return n.select("word", (F.log((F.col("n_bad") + SMOOTHING) / (t["b"] + SMOOTHING * t["v"])) - F.log((F.col("n_good") + SMOOTHING) / (t["g"] + SMOOTHING * t["v"]))).alias("ratio"))
 
 
 def builtin_labels(pages: DataFrame) -> DataFrame:
-    return pages.sparkSession.createDataFrame([(f"http://{n}.com/", b) for b, names in ((True, BAD), (False, GOOD)) for n in names], "url string, bad boolean")
+    return pages.sparkSession.createDataFrame([(f"http://{n}.com/", b) for b, names in ((True, BAD + NEUTRAL), (False, GOOD + NEUTRAL)) for n in names], "url string, bad boolean")
 
 
 def url_filter(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
