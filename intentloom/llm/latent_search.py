@@ -5,10 +5,10 @@ Which documents contain a benchmark item, word for word or paraphrased?
 1. *Encode.* One scan turns each document into the sequence of its words' numbers in the benchmark's
    vocabulary (0: not in it, so in no match either), and counts documents by term. The encoded
    corpus is written to the shared folder; no later step reads the texts.
-2. *Factorise.* Passages of ``PASSAGE`` words, each ``STRIDE`` after the last, are TF-IDF vectors over the
+2. *Factorise.* Passages of ``PASSAGE`` words, each ``STRIDE`` after the last, are TF-IDF vectors (term frequency times idf) over the
    informative terms. A distributed randomised SVD finds their ``RANK`` leading right singular
-   vectors: every partition adds up its part of A'(A W) for a random W; QR; once more for
-   A'(A Q); eigenvectors of Q'A'AQ. Only terms x (RANK + 10) numbers leave the executors.
+   vectors: every partition adds up its part of (A'A) W for a random W; QR; once more for
+   (A'A) Q; eigenvectors of Q'A'AQ. Only terms x (RANK + 10) numbers leave the executors.
 3. *Search.* Passages and items are projected; each pair with a cosine of ``COSINE`` or more is a candidate. All
    passages are compared with all items.
 4. *Check.* The longest common subsequence of an item's informative words with the passage and its
@@ -45,8 +45,9 @@ RANK, OVERSAMPLING, SEED = 192, 10, 20
 COSINE = 0.25
 SURE, LIKELY, ANSWER_SHARE = 0.6, 0.4, 0.8
 MAX_SHARE, LEAST_TERMS = 0.1, 4
-BLOCK = 1024
-_ROWS = 1 << 15
+#: items searched for at once: bounds the vocabulary, hence the Gram matrix in a task's memory (150 MB at 6000 terms)
+BLOCK = 256
+_ROWS, _PAIRS = 1 << 14, 1 << 20
 
 
 class Items:
@@ -116,63 +117,79 @@ def _total(parts: DataFrame, kind: type) -> np.ndarray | None:
 
 
 class Passages:
-    """The TF-IDF rows of a batch of encoded documents, as (passage, column, weight) sorted by passage."""
+    """The TF-IDF rows of a batch of encoded documents.
 
-    def __init__(self, batch: pa.RecordBatch, column: np.ndarray, idf: np.ndarray, kind: type):
+    A text is cut into strides of ``STRIDE`` words; a passage is a stride that holds an informative word and the next
+    one. A term's frequency in a passage is the number of its strides that hold it (so repetition is damped), hence a
+    passage's row is the sum of its strides' rows and each word is worked on once, though passages overlap.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, column: np.ndarray, kind: type):
         raw, offsets = T.string_bytes(batch.column("words"))
         self.ptr = offsets // np.dtype(kind).itemsize
-        number = np.frombuffer(raw.tobytes(), kind).astype(np.int64)
-        lookup = np.append(np.int64(-1), column)
-        all_columns = lookup[number]
-        self.at = np.flatnonzero(all_columns >= 0)  # informative words
-        self.cols = all_columns[self.at]
-        self.doc = np.searchsorted(self.ptr, self.at, "right") - 1
-        length = np.diff(self.ptr)
-        last = np.maximum(0, -(-(length - PASSAGE) // STRIDE))
-        self.base = np.concatenate([[0], np.cumsum(last + 1)])
-        place = self.at - self.ptr[self.doc]
-        upper = np.minimum(place // STRIDE, last[self.doc])
-        lower = np.maximum(place // STRIDE - 1, 0)
-        two = lower < upper
-        passage = np.concatenate([self.base[self.doc] + upper, (self.base[self.doc] + lower)[two]])
-        key, tf = np.unique(passage * len(idf) + np.concatenate([self.cols, self.cols[two]]), return_counts=True)
-        self.passage, self.col = key // len(idf), key % len(idf)
-        weight = ((1 + np.log(tf)) * idf[self.col]).astype(np.float32)
-        self.begin = np.flatnonzero(np.diff(self.passage, prepend=-1))
-        if len(key):
-            norm = np.sqrt(np.add.reduceat(weight * weight, self.begin))
-            weight /= np.repeat(norm, np.diff(np.append(self.begin, len(key))))
-        self.weight = weight
-
-    def blocks(self) -> Iterator[tuple[slice, np.ndarray]]:
-        """Slices of entries that hold whole passages, and where these begin in the slice."""
+        lookup = np.append(np.int32(-1), column.astype(np.int32))
+        all_columns = lookup[np.frombuffer(raw.tobytes(), kind)]
+        self.at = np.flatnonzero(all_columns >= 0)  # informative words, in order
+        self.sequence = all_columns[self.at]
+        doc = np.searchsorted(self.ptr, self.at, "right") - 1
+        self.base = np.concatenate([[0], np.cumsum(-(-np.diff(self.ptr) // STRIDE))])
+        stride, d = self.base[doc] + (self.at - self.ptr[doc]) // STRIDE, len(column) + 1
+        key = np.unique(stride * d + self.sequence)
+        stride, self.col = key // d, key % d
+        self.begin = np.flatnonzero(np.diff(stride, prepend=-1))
+        self.end = np.append(self.begin[1:], len(self.col))
+        #: strides that hold an informative word; whether the next of these is the next of the same text
+        self.held = stride[self.begin]
+        self.doc = np.searchsorted(self.base, self.held, "right") - 1
+        self.joined = np.append((self.held[1:] == self.held[:-1] + 1) & (self.doc[1:] == self.doc[:-1]), False)
+
+    def blocks(self) -> Iterator[tuple[slice, slice]]:
+        """Slices of held strides, and of these with the one that the last is joined to."""
         i = 0
         while i < len(self.begin):
-            j = max(i + 1, int(np.searchsorted(self.begin, self.begin[i] + _ROWS)))
-            end = self.begin[j] if j < len(self.begin) else len(self.weight)
-            yield slice(self.begin[i], end), self.begin[i:j] - self.begin[i]
+            j = min(len(self.begin), max(i + 1, int(np.searchsorted(self.end, self.begin[i] + _ROWS))))
+            yield slice(i, j), slice(i, j + int(self.joined[j - 1]))
             i = j
 
-    def project(self, s: slice, begin: np.ndarray, basis: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(basis[self.col[s]] * self.weight[s, None], begin, axis=0)
-
-
-def _gram_times(column, idf, basis, kind: type):
-    """This partition's part of A'(A B)."""
+    def project(self, own: slice, reach: slice, basis: np.ndarray) -> np.ndarray:
+        """The passages that begin at strides ``own``, in the space of ``basis`` (rows scaled by idf)."""
+        begin, size = self.begin[reach], (self.end - self.begin)[reach]
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], -size[order]
+        z = np.zeros((len(begin), basis.shape[1]), np.float32)
+        for k in range(-size[0]):
+            n = int(np.searchsorted(size, -k))
+            z[:n] += basis[self.col[begin[:n] + k]]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        z = z[back]
+        follows = np.flatnonzero(self.joined[own])
+        z[follows] = z[follows] + z[follows + 1]
+        return z[: own.stop - own.start]
+
+    def add_pairs(self, gram: np.ndarray) -> None:
+        """Add each passage's product of its row, but for idf, with itself to ``gram``."""
+        last = np.where(self.joined, np.append(self.end[1:], 0), self.end)
+        size = last - self.begin
+        for m in np.unique(size).tolist():
+            first = self.begin[size == m]
+            for i in range(0, len(first), max(1, _PAIRS // (m * m))):
+                cols = self.col[first[i : i + max(1, _PAIRS // (m * m)), None] + np.arange(m)]
+                np.add.at(gram.reshape(-1), (cols[:, :, None] * gram.shape[1] + cols[:, None, :]).ravel(), np.float32(1))
+
+
+def _gram_times(column, basis, kind: type):
+    """This partition's part of A'(A B) = (A'A) B, but for the scaling of its rows by idf."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, weights = basis.value, idf.value
-        total = np.zeros(b.shape, np.float32)
+        b = basis.value
+        gram, any_ = np.zeros((len(b), len(b)), np.float32), False
         for batch in T.batches(rows, "words"):
-            p = Passages(batch, column.value, weights, kind)
-            for s, begin in p.blocks():
-                z = np.repeat(p.project(s, begin, b), np.diff(np.append(begin, s.stop - s.start)), axis=0) * p.weight[s, None]
-                order = np.argsort(p.col[s], kind="stable")
-                cols = p.col[s][order]
-                cut = np.flatnonzero(np.diff(cols, prepend=-1))
-                total[cols[cut]] += np.add.reduceat(z[order], cut, axis=0)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+            p = Passages(batch, column.value, kind)
+            p.add_pairs(gram)
+            any_ |= len(p.begin) > 0
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([(gram @ b).tobytes()], pa.binary())], ["part"])
 
     return run
 
@@ -195,36 +212,42 @@ def place_masks(own: np.ndarray) -> dict[int, int]:
     return out
 
 
-def _search(items, column, idf, basis, latent, kind: type):
+def _search(items, column, basis, latent, kind: type):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = items.value
         b, queries = basis.value, latent.value
         masks = [place_masks(own) for own in it.words]
+        member = np.zeros((len(b), len(it.words)), bool)
+        for i, own in enumerate(it.words):
+            member[own, i] = True
+        lengths, informative = np.array(it.lengths), np.array([len(own) for own in it.words])
         for batch in T.batches(rows, "words"):
-            p = Passages(batch, column.value, idf.value, kind)
+            p = Passages(batch, column.value, kind)
             ids = batch.column("doc_id").to_numpy()
             out = []
-            for s, begin in p.blocks():
-                z = p.project(s, begin, b)
+            for own, reach in p.blocks():
+                z = p.project(own, reach, b)
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
                 cosine = z @ queries.T
                 row, item = np.nonzero(cosine >= COSINE)
+                doc = p.doc[own][row]
+                start = p.ptr[doc] + (p.held[own][row] - p.base[doc]) * STRIDE
+                x = np.searchsorted(p.at, np.maximum(p.ptr[doc], start - lengths[item]))
+                y = np.searchsorted(p.at, np.minimum(p.ptr[doc + 1], start + PASSAGE + lengths[item]))
+                # the common subsequence is no longer than the number of the surroundings' words that the item has
+                size, need = y - x, LIKELY * informative[item]
+                can = np.flatnonzero((size >= need) & (size > 0))
+                row, item, doc, x, y, size, need = (v[can] for v in (row, item, doc, x, y, size, need))
                 if not len(row):
                     continue
-                passage = p.passage[s][begin[row]]
-                doc = np.searchsorted(p.base, passage, "right") - 1
-                start = p.ptr[doc] + (passage - p.base[doc]) * STRIDE
-                reach = np.array(it.lengths)[item]
-                a = np.searchsorted(p.at, np.maximum(p.ptr[doc], start - reach))
-                z_ = np.searchsorted(p.at, np.minimum(p.ptr[doc + 1], start + PASSAGE + reach))
-                for k, (i, x, y) in enumerate(zip(item.tolist(), a.tolist(), z_.tolist())):
-                    n = len(it.words[i])
-                    if y - x < LIKELY * n:
-                        continue
-                    region = p.cols[x:y].tolist()
+                first = np.cumsum(size) - size
+                at = np.repeat(x - first, size) + np.arange(size.sum())
+                can = np.flatnonzero(np.add.reduceat(member[p.sequence[at], np.repeat(item, size)].astype(np.int64), first) >= need)
+                for k, i, d, u, v in zip(row[can].tolist(), item[can].tolist(), doc[can].tolist(), x[can].tolist(), y[can].tolist()):
+                    n, region = len(it.words[i]), p.sequence[u:v].tolist()
                     share = lcs(masks[i], n, region) / n
                     if share >= SURE or share >= LIKELY and len(it.answers[i].intersection(region)) >= ANSWER_SHARE * len(it.answers[i]):
-                        out.append((int(ids[doc[k]]), int(it.ids[i]), float(cosine[row[k], i]), share))
+                        out.append((int(ids[d]), int(it.ids[i]), float(cosine[k, i]), share))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["doc_id", "item_id", "cosine", "lcs_share"])
 
@@ -244,14 +267,14 @@ def _leaks(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | None:
         return None
     items.weigh(counted[1:], int(counted[0]))
     d = len(items.idf)
-    column, idf = share(items.column), share(items.idf)
+    column = share(items.column)
     corpus = encoded.filter("words IS NOT NULL").select("doc_id", "words")
     basis = np.random.default_rng(SEED).standard_normal((d, min(d, RANK + OVERSAMPLING))).astype(np.float32)
     for last in (False, True):
-        product = _total(corpus.select("words").mapInArrow(_gram_times(column, idf, share(basis), kind), "part binary"), np.float32)
+        product = _total(corpus.select("words").mapInArrow(_gram_times(column, share(basis * items.idf[:, None]), kind), "part binary"), np.float32)
         if product is None:
             return None
-        product = product.reshape(basis.shape)
+        product = product.reshape(basis.shape) * items.idf[:, None]
         if last:
             values, vectors = np.linalg.eigh((basis.T.astype(np.float64) @ product + product.T.astype(np.float64) @ basis) / 2)
             basis = (basis @ vectors[:, np.argsort(-values)[:RANK]]).astype(np.float32)
@@ -260,10 +283,10 @@ def _leaks(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | None:
     queries = np.zeros((len(rows), basis.shape[1]), np.float32)
     for i, own in enumerate(items.words):
         if len(own):
-            cols, tf = np.unique(own, return_counts=True)
-            q = ((1 + np.log(tf)) * items.idf[cols]) @ basis[cols]
+            cols = np.unique(own)
+            q = items.idf[cols] @ basis[cols]
             queries[i] = q / max(np.linalg.norm(q), 1e-12)
-    return corpus.mapInArrow(_search(share(items), column, idf, share(basis), share(queries), kind), "doc_id bigint, item_id bigint, cosine double, lcs_share double")
+    return corpus.mapInArrow(_search(share(items), column, share(basis * items.idf[:, None]), share(queries), kind), "doc_id bigint, item_id bigint, cosine double, lcs_share double")
 
 
 def latent_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
