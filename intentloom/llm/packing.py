@@ -34,53 +34,90 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 SEPARATOR = 50256
 WINDOW = 2048
+#: distinct chunks that a task remembers
 _CACHE = 1 << 20
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15
 
 
 class Encoder:
-    """Byte-pair encoding of a batch: each distinct chunk of it is encoded once.
+    """Byte-pair encoding of whole batches: each distinct chunk is encoded once.
 
     A chunk begins at a single space or line break between two other characters. The pattern never
-    matches across such a place, so the tokens of a text are those of its chunks.
+    matches across such a place, so the tokens of a text are those of its chunks. Chunks that are new are encoded
+    in one call, one after another; but for those at a text's ends, where the pattern may go on.
     """
 
     def __init__(self, vocabulary: bytes):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[int, np.ndarray] = {}
+        self.encode_text = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.n_bytes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.n_bytes[list(ranks.values())] = [len(t) for t in ranks]
+        self._forget()
+        self._grow(T.PIECE_BYTES)
 
-    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All tokens of the texts, one after another, and where each text's begin (len + 1)."""
-        raw, offsets = T.string_bytes(col)
-        if not len(raw):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+    def _forget(self) -> None:
+        self.known, self.first, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _grow(self, n: int) -> None:
+        """Powers of the hash's base and of its inverse, for texts of up to ``n`` bytes."""
+        self.power, self.inverse = T._powers(np.uint64(_BASE), n + 1), T._powers(np.uint64(pow(_BASE, -1, 1 << 64)), n + 1)
+
+    def _chunks(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins, ends and hashes of all chunks."""
         blank = _BLANK[raw]
         begin = np.zeros(len(raw), bool)
         begin[1:-1] = ((raw[1:-1] == 32) | (raw[1:-1] == 10)) & ~blank[:-2] & ~blank[2:]
         begin[offsets[:-1][offsets[:-1] < len(raw)]] = True
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(raw))
-        position = np.arange(len(raw)) - np.repeat(starts, ends - starts)
-        power = T._POW[position & (len(T._POW) - 1)]
-        if position.max() >= len(T._POW):
-            power = power * T._powers(np.uint64(0xA0761D6478BD642F), int(position.max() // len(T._POW)) + 1)[position // len(T._POW)]
-        hashes = T.mix(np.add.reduceat(power * (raw.astype(np.uint64) + np.uint64(1)), starts))
-        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        parts = []
-        for h, a, b in zip(distinct.tolist(), starts[at].tolist(), ends[at].tolist()):
-            if (tokens := self.cache.get(h)) is None:
-                tokens = self.cache[h] = np.array(self.encoding.encode_ordinary(raw[a:b].tobytes().decode()), np.uint32)
+        if len(raw) >= len(self.power):
+            self._grow(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.power[: len(raw)] * (raw.astype(np.uint64) + np.uint64(1)), out=sums[1:])
+        return starts, ends, T.mix((sums[ends] - sums[starts]) * self.inverse[starts])
+
+    def _learn(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode chunks that are not known yet; hashes are sorted."""
+        inner = np.isin(raw[starts], (10, 32)) & ~_BLANK[raw[np.minimum(starts + 1, len(raw) - 1)]] & (ends - starts > 1) & ~_BLANK[raw[ends - 1]]
+        size, parts = np.zeros(len(starts), np.int64), []
+        order = np.concatenate([np.flatnonzero(inner), np.flatnonzero(~inner)])
+        at, n = starts[inner], (ends - starts)[inner]
+        if len(at):
+            joined = raw[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+            tokens = np.array(self.encode_text(joined.decode()), np.uint32)
+            stop = np.searchsorted(np.cumsum(self.n_bytes[tokens]), np.cumsum(n)) + 1
+            size[inner] = np.diff(stop, prepend=0)
             parts.append(tokens)
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        first = np.cumsum(size) - size
-        n = size[which]
+        for i in np.flatnonzero(~inner).tolist():
+            tokens = np.array(self.encode_text(raw[starts[i] : ends[i]].tobytes().decode()), np.uint32)
+            size[i] = len(tokens)
+            parts.append(tokens)
+        first = np.empty(len(starts), np.int64)
+        first[order] = len(self.pool) + np.cumsum(size[order]) - size[order]
+        self.pool = np.concatenate([self.pool, *parts])
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.first, self.size = (np.insert(old, place, new) for old, new in ((self.known, hashes), (self.first, first), (self.size, size)))
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of the texts, one after another, and where each text's begin (len + 1)."""
+        raw, offsets = T.string_bytes(col)
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        starts, ends, hashes = self._chunks(raw, offsets)
+        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > _CACHE:
+            self._forget()
+        place = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero(np.append(self.known, np.uint64(0))[place] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(new):
+            self._learn(raw, distinct[new], starts[at[new]], ends[at[new]])
+            place = np.searchsorted(self.known, distinct)
+        n = self.size[place][which]
         ends_out = np.cumsum(n)
-        out = np.concatenate(parts)[np.repeat(first[which] - (ends_out - n), n) + np.arange(ends_out[-1])]
+        out = self.pool[np.repeat(self.first[place][which] - (ends_out - n), n) + np.arange(ends_out[-1])]
         return out, np.append(0, ends_out)[np.searchsorted(starts, offsets)]
 
 
