@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def sales(t: Tables) -> DataFrame:
 
 
 def edges(t: Tables) -> DataFrame:
-    """Distinct (src, dst, kind, layer), numbered in their order."""
+    """Distinct (src, dst, kind, layer). A filter by kind leaves only the parts that make these."""
     sold = sales(t)
     effects = sold.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("cust").alias("src"), brand().alias("dst"), F.when(F.col("l_returnflag") == "R", "Affects").otherwise("Reads").alias("kind"), F.lit("Derived").alias("layer"))
     turn = Window.partitionBy(F.trunc("o_orderdate", "month"), "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
@@ -79,17 +81,19 @@ def edges(t: Tables) -> DataFrame:
     return edges_of(out.distinct().withColumn("edge_id", F.xxhash64("src", "dst", "kind")))
 
 
-def clauses(t: Tables) -> DataFrame:
+def clauses(t: Tables, depends: DataFrame) -> DataFrame:
     """purpose of regions; owner of every nation whose key isn't divisible by 4; unknown of customers in debt; depends_on as the edges have it."""
     purpose = t.region.select(_name("R", "r_regionkey").alias("qname"), F.lit("purpose").alias("clause"), F.col("r_name").alias("value"))
     owner = places(t).filter("nk % 4 <> 0").select(F.col("nation").alias("qname"), F.lit("owner").alias("clause"), F.concat(F.lit("team"), F.col("nk") % 3).alias("value"))
     debt = t.customer.filter("c_acctbal < -900").join(customers(t), "c_custkey").select(F.col("cust").alias("qname"), F.lit("unknown").alias("clause"), F.lit("will they pay?").alias("value"))
     states = t.spark.createDataFrame([("P", "owner", "stock")], "qname string, clause string, value string")
-    depends = edges(t).filter("kind = 'DependsOn'").select(F.col("src").alias("qname"), F.lit("depends_on").alias("clause"), F.col("dst").alias("value"))
-    return clauses_of(purpose.unionByName(owner).unionByName(debt).unionByName(states).unionByName(depends).withColumn("ord", F.lit(0)))
+    needs = depends.filter("kind = 'DependsOn'").select(F.col("src").alias("qname"), F.lit("depends_on").alias("clause"), F.col("dst").alias("value"))
+    return clauses_of(purpose.unionByName(owner).unionByName(debt).unionByName(states).unionByName(needs).withColumn("ord", F.lit(0)))
 
 
-def graph(spark: SparkSession, folder: str) -> IntentGraph:
-    """Edges are written once to the shared folder: every query of the graph reads them."""
+def graph(spark: SparkSession, folder: str, kinds: Sequence[str] = ()) -> IntentGraph:
+    """With edges of these kinds (none named: of all), written once to the shared folder, as a query reads them several times."""
     t = Tables(spark, folder)
-    return IntentGraph(nodes(t), shared.written(edges(t), "edges"), clauses(t))
+    some = edges(t).filter(F.col("kind").isin(list(kinds))) if kinds else edges(t)
+    table = shared.written(some, "edges")
+    return IntentGraph(nodes(t), table, clauses(t, table if not kinds or "DependsOn" in kinds else edges(t)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -54,8 +54,6 @@ def merge_nodes(declared: DataFrame, ambient: DataFrame, derived: DataFrame) ->
     The first declaration of a name wins. Ambient modules fill in what isn't declared. A derived node that begins on the
     declaration's file and line joins it (origin Both); on any other it is rejected.
     """
-    from pyspark.sql import Window
-
     place = Window.partitionBy("qname").orderBy(F.split("file", "/"), "line", "ord")
     ranked = declared.withColumn("_n", F.row_number().over(place))
     first, duplicates = ranked.filter("_n = 1").drop("_n"), ranked.filter("_n > 1").select("qname", "file", "line")
@@ -65,7 +63,7 @@ def merge_nodes(declared: DataFrame, ambient: DataFrame, derived: DataFrame) ->
     same = F.col("_declared") & F.col("file").eqNullSafe(F.col("_f")) & F.col("line").eqNullSafe(F.col("_l"))
     rejected = met.filter(F.col("_declared") & ~same).select("qname").distinct()
     both = met.filter(same).select("qname").distinct().withColumn("_both", F.lit(True))
-    base = first.unionByName(new_modules).join(both, "qname", "left").withColumn("origin", F.when("_both", "Both").otherwise("Declared")).drop("_both")
+    base = first.unionByName(new_modules).join(both, "qname", "left").withColumn("origin", F.when(F.col("_both"), "Both").otherwise("Declared")).drop("_both")
     fresh = met.filter("_declared IS NULL").dropDuplicates(["qname"]).withColumn("origin", F.lit("Derived")).select(base.columns)
     return base.unionByName(fresh), rejected, duplicates
 
@@ -83,8 +81,6 @@ def contains_edges(nodes: DataFrame) -> DataFrame:
 
 def sequence_edges(nodes: DataFrame) -> DataFrame:
     """Each step to the next one of its workflow, in the order of ``ord``."""
-    from pyspark.sql import Window
-
     steps = nodes.filter("kind = 'step'").join(ancestry(nodes.filter("kind = 'step'"), nodes, ["workflow"], False).groupBy("qname").agg(F.max_by("ancestor", "depth").alias("workflow")), "qname")
     before = F.lag("qname").over(Window.partitionBy("workflow").orderBy("ord", "qname"))
     return steps.select(before.alias("src"), F.col("qname").alias("dst"), F.lit("Sequence").alias("kind")).filter("src IS NOT NULL")

@@ -173,7 +173,7 @@ def apply_policy(findings: DataFrame, unknown: str = "warn", stale: str = "warn"
 def owner_rule(paths: DataFrame, rules: DataFrame, column: str = "file") -> DataFrame:
     """``paths`` with the owners (array) of the last of ``rules`` (ord, regex, owners) that matches, null without one. The rules of one file are few: broadcast."""
     key = paths.select(column).distinct()
-    hit = key.join(F.broadcast(rules), F.col(column).rlike(F.col("regex"))).groupBy(column).agg(F.max_by("owners", "ord").alias("owners"))
+    hit = key.join(F.broadcast(rules), F.rlike(F.col(column), F.col("regex"))).groupBy(column).agg(F.max_by("owners", "ord").alias("owners"))
     return paths.join(hit, column, "left")
 
 
@@ -188,7 +188,7 @@ def foreign_owners(graph: IntentGraph, rules: DataFrame) -> DataFrame:
 def first_glob(paths: DataFrame, globs: DataFrame, column: str = "file") -> DataFrame:
     """``paths`` with the module of the first of ``globs`` (ord, regex, module) that matches, and whether another one names a different module (E0103)."""
     key = paths.select(column).distinct()
-    hit = key.join(F.broadcast(globs), F.col(column).rlike(F.col("regex"))).groupBy(column).agg(F.min_by("module", "ord").alias("module"), (F.count_distinct("module") > 1).alias("ambiguous"))
+    hit = key.join(F.broadcast(globs), F.rlike(F.col(column), F.col("regex"))).groupBy(column).agg(F.min_by("module", "ord").alias("module"), (F.count_distinct("module") > 1).alias("ambiguous"))
     return paths.join(hit, column, "left")
 
 

@@ -44,8 +44,15 @@ _EVENTS = "SELECT a.src, b.src AS dst, 2 AS cost FROM edges a JOIN edges b ON a.
 _WITH = f"WITH RECURSIVE {_PLACES}, {_CUST}, {_SUPP}, {_NODES}, {_EDGES}, {_CLAUSES}"
 
 
-def _graph(spark: SparkSession, folder: str) -> IntentGraph:
-    return corpus.graph(spark, folder)
+def _graph(spark: SparkSession, folder: str, *kinds: str) -> IntentGraph:
+    return corpus.graph(spark, folder, kinds)
+
+
+def _ask(g: IntentGraph, question: str, node: str | None, **options) -> DataFrame:
+    """The answer about ``node``, which stands for {} in the question; none if there is no such node."""
+    if node is None:
+        return g.spark.createDataFrame([], T.HITS)
+    return g.ask(question.format(node), **options)
 
 
 def query(oracle: str | None = None):
@@ -70,8 +77,8 @@ def _register_hops() -> None:
         far, listed = "src" if near == "dst" else "dst", ", ".join(f"'{k}'" for k in kinds)
 
         def run(spark, folder, form=form, near=near, kinds=kinds):
-            g = _graph(spark, folder)
-            return g.ask(f"{form}({_least(g.edges_of(*kinds), near)})").select("qname", "hops")
+            g = _graph(spark, folder, *kinds)
+            return _ask(g, form + "({})", _least(g.edges, near)).select("qname", "hops")
 
         name = f"{form}_1hop"
         QUERIES[name] = run
@@ -91,14 +98,15 @@ _BACK = f"SELECT dst AS src, src AS dst, cost FROM ({_CAUSE}{_EVENTS})"
 _REACH = f"SELECT src, dst, 1 AS cost FROM edges WHERE kind IN ('Triggers', 'Calls', 'Affects', 'Reads', 'DependsOn') UNION {_EVENTS}"
 _STATE = "(SELECT min(qname) FROM nodes WHERE kind = 'state')"
 _LIMIT = 10
+_CAUSES = ["Triggers", "Calls", "Emits", "Handles"]
 
 
 def _register_closures() -> None:
     for form, kind in (("affects", "Affects"), ("reads", "Reads")):
 
-        def run(spark, folder, form=form):
-            g = _graph(spark, folder)
-            return g.ask(f"{form}*({_least(g.of_kind('state'), 'qname')})").select("qname", "hops")
+        def run(spark, folder, form=form, kind=kind):
+            g = _graph(spark, folder, kind, *_CAUSES)
+            return _ask(g, form + "*({})", _least(g.of_kind("state"), "qname")).select("qname", "hops")
 
         QUERIES[f"{form}_star"] = run
         ORACLES[f"{form}_star"] = _closed(_BACK, f"SELECT src, 1 FROM edges WHERE kind = '{kind}' AND dst = {_STATE}", _LIMIT) + f" SELECT qname, hops FROM best WHERE qname <> {_STATE}"
@@ -106,8 +114,8 @@ def _register_closures() -> None:
         far, names = "src" if near == "dst" else "dst", [k.strip("' ") for k in kinds.split(",")]
 
         def run_star(spark, folder, form=form, near=near, names=names):
-            g = _graph(spark, folder)
-            return g.ask(f"{form}*({_least(g.edges_of(*names), near)})").select("qname", "hops")
+            g = _graph(spark, folder, *names)
+            return _ask(g, form + "*({})", _least(g.edges, near)).select("qname", "hops")
 
         start = f"(SELECT min({near}) FROM edges WHERE kind IN ({kinds}))"
         QUERIES[f"{form}_star"] = run_star
@@ -120,41 +128,44 @@ _EMITTER = "(SELECT min(src) FROM edges WHERE kind = 'Emits')"
 
 @query(_closed(_CAUSE + _EVENTS, f"SELECT {_EMITTER}, 0", _LIMIT) + " SELECT dst AS qname, min(hops) + 1 AS hops FROM best JOIN edges ON src = qname WHERE kind IN ('Affects', 'Reads') GROUP BY dst")
 def touches_star(spark, folder):
-    g = _graph(spark, folder)
-    return g.ask(f"touches*({_least(g.edges_of('Emits'), 'src')})").select("qname", "hops")
+    g = _graph(spark, folder, "Affects", "Reads", *_CAUSES)
+    return _ask(g, "touches*({})", _least(g.edges_of("Emits"), "src")).select("qname", "hops")
 
 
 @query(_closed(_REACH, f"SELECT {_EMITTER}, 0", _LIMIT) + f" SELECT qname, hops FROM best WHERE qname <> {_EMITTER}")
 def reaches(spark, folder):
     g = _graph(spark, folder)
-    return g.ask(f"reaches({_least(g.edges_of('Emits'), 'src')})").select("qname", "hops")
+    return _ask(g, "reaches({})", _least(g.edges_of("Emits"), "src")).select("qname", "hops")
 
 
 @query(_closed(_REACH, f"SELECT {_EMITTER}, 0", _LIMIT) + " SELECT qname, hops FROM best WHERE qname = (SELECT max(supp) FROM supp)")
 def path_shortest(spark, folder):
     g = _graph(spark, folder)
     goal = corpus.suppliers(corpus.Tables(spark, folder)).agg(F.max("supp")).first()[0]
-    return g.ask(f"path({_least(g.edges_of('Emits'), 'src')}, {goal})").select("qname", "hops")
+    return _ask(g, f"path({{}}, {goal})", _least(g.edges_of("Emits"), "src")).select("qname", "hops")
 
 
-@query(f"""{_WITH}, h AS (SELECT src, dst FROM edges WHERE kind = 'DependsOn'), w(at, seen, n) AS (SELECT (SELECT min(src) FROM h), [(SELECT min(src) FROM h)], 0
-UNION ALL SELECT dst, list_append(seen, dst), n + 1 FROM w JOIN h ON src = at WHERE n < 5 AND NOT list_contains(seen, dst) AND (n = 0 OR at <> (SELECT max(dst) FROM h)))
-SELECT array_to_string(seen, '>') AS route, n AS hops FROM w WHERE at = (SELECT max(dst) FROM h) AND n > 0""")
+@query(f"""{_WITH}, h AS (SELECT src, dst FROM edges WHERE kind = 'DependsOn'), w(place, seen, n) AS (SELECT (SELECT min(src) FROM h), [(SELECT min(src) FROM h)], 0
+UNION ALL SELECT dst, list_append(seen, dst), n + 1 FROM w JOIN h ON src = place WHERE n < 5 AND NOT list_contains(seen, dst) AND (n = 0 OR place <> (SELECT max(dst) FROM h)))
+SELECT array_to_string(seen, '>') AS route, n AS hops FROM w WHERE place = (SELECT max(dst) FROM h) AND n > 0""")
 def paths_all(spark, folder):
     """All simple paths of dependencies of at most 5 edges, as routes."""
-    g = _graph(spark, folder)
-    h = g.edges_of("DependsOn")
-    start, goal = _least(h, "src"), h.agg(F.max("dst")).first()[0]
+    g = _graph(spark, folder, "DependsOn")
+    h = g.edges
+    start, goal = h.agg(F.min("src"), F.max("dst")).first()
+    if start is None:
+        return spark.createDataFrame([], "route string, hops int")
     found = T.simple_paths(T.hops(g, ["DependsOn"], False), start, goal, 5).withColumn("id", F.monotonically_increasing_id())
     steps = found.select("id", "hops", F.posexplode("via").alias("at", "edge_id")).join(h.select("edge_id", "dst"), "edge_id")
     routes = steps.groupBy("id", "hops").agg(F.array_sort(F.collect_list(F.struct("at", "dst"))).alias("s"))
     return routes.select(F.concat_ws(">", F.lit(start), F.transform("s", lambda x: x["dst"])).alias("route"), "hops")
 
 
-@query(_closed("SELECT src, dst, 1 AS cost FROM edges UNION SELECT dst, src, 1 FROM edges", "SELECT (SELECT min(src) FROM edges WHERE kind = 'DependsOn'), 0", 2) + " SELECT qname, hops FROM best")
+@query(_closed("SELECT src, dst, 1 AS cost FROM edges UNION SELECT dst, src, 1 FROM edges", "SELECT (SELECT min(src) FROM edges WHERE kind = 'DependsOn'), 0", 2) + " SELECT qname, hops FROM best WHERE qname IS NOT NULL")
 def neighbourhood_2(spark, folder):
     g = _graph(spark, folder)
-    return T.neighbourhood(g, _least(g.edges_of("DependsOn"), "src"), 2)
+    start = _least(g.edges_of("DependsOn"), "src")
+    return T.neighbourhood(g, start, 2) if start else spark.createDataFrame([], "qname string, hops int")
 
 
 _UP = "a AS (SELECT n.qname, m.qname AS holder, m.kind AS holder_kind, length(m.qname) - length(replace(m.qname, '.', '')) + 1 AS depth FROM nodes n JOIN nodes m ON n.qname = m.qname OR starts_with(n.qname, m.qname || '.'))"
@@ -182,37 +193,38 @@ WHERE m.kind IN ('state', 'event') AND holder <> a.qname AND holder_kind = 'modu
 
 @query(f"{_WITH}, {_OWNERS} SELECT qname, owner FROM own WHERE owner IS NOT NULL")
 def effective_owner(spark, folder):
-    g = _graph(spark, folder)
+    g = _graph(spark, folder, "DependsOn")
     return H.effective_owners(g.nodes, g.clauses)
 
 
 @query(f"{_WITH}, {_OWNERS} SELECT qname FROM own WHERE owner = 'stock'")
 def owner_form(spark, folder):
-    return _graph(spark, folder).ask('owner("stock")').select("qname")
+    return _graph(spark, folder, "DependsOn").ask('owner("stock")').select("qname")
 
 
 @query(f"{_WITH} SELECT DISTINCT qname FROM clauses WHERE clause = 'unknown' AND starts_with(qname, 'R1.')")
 def unknown_in_module(spark, folder):
-    return _graph(spark, folder).ask("unknown in module(R1)").select("qname")
+    return _graph(spark, folder, "DependsOn").ask("unknown in module(R1)").select("qname")
 
 
 @query(_closed(_BACK, f"SELECT src, 1 FROM edges WHERE kind = 'Affects' AND dst = {_STATE}", _LIMIT) + " SELECT qname, hops FROM best JOIN nodes USING (qname) WHERE starts_with(qname, 'R2.') AND kind = 'function'")
 def filtered_closure(spark, folder):
     """Filters by module and kind after the closure."""
-    g = _graph(spark, folder)
-    return g.ask(f"affects*({_least(g.of_kind('state'), 'qname')}) in module(R2) kind(function)").select("qname", "hops")
+    g = _graph(spark, folder, "Affects", *_CAUSES)
+    return _ask(g, "affects*({}) in module(R2) kind(function)", _least(g.of_kind("state"), "qname")).select("qname", "hops")
 
 
 @query(_closed("SELECT src, dst, 1 AS cost FROM edges WHERE kind = 'DependsOn'", "SELECT (SELECT min(src) FROM edges WHERE kind = 'DependsOn'), 0") .replace("best AS", f"{_OWNERS}, best AS") + " SELECT best.qname, hops FROM best JOIN own USING (qname) WHERE owner = 'team1' AND hops > 0")
 def filter_owned_by(spark, folder):
-    g = _graph(spark, folder)
-    return g.ask(f'depends*({_least(g.edges_of("DependsOn"), "src")}) owned_by("team1")').select("qname", "hops")
+    g = _graph(spark, folder, "DependsOn")
+    return _ask(g, 'depends*({}) owned_by("team1")', _least(g.edges, "src")).select("qname", "hops")
 
 
 @query(f"{_WITH}, k AS (SELECT (SELECT min(src) FROM edges WHERE kind = 'DependsOn') AS q) SELECT 'node' AS side, kind FROM nodes, k WHERE qname = q UNION ALL SELECT 'clause', clause FROM clauses, k WHERE qname = q UNION ALL SELECT 'out', kind FROM edges, k WHERE src = q UNION ALL SELECT 'in', kind FROM edges, k WHERE dst = q")
 def show_card(spark, folder):
     g = _graph(spark, folder)
-    return g.ask(f"show({_least(g.edges_of('DependsOn'), 'src')})").select("side", "kind")
+    node = _least(g.edges_of("DependsOn"), "src")
+    return g.ask(f"show({node})").select("side", "kind") if node else spark.createDataFrame([], "side string, kind string")
 
 
 def _steps(spark, folder):
@@ -280,7 +292,7 @@ def claim_status(spark, folder):
 
 @query(f"{_WITH} SELECT 'E0201' AS code, qname, clause FROM nodes CROSS JOIN (VALUES ('purpose'), ('owner')) v(clause) WHERE kind = 'module' AND NOT EXISTS (SELECT 1 FROM clauses c WHERE c.qname = nodes.qname AND c.clause = v.clause) UNION ALL SELECT 'E0201', qname, 'purpose' FROM nodes WHERE kind = 'event' UNION ALL SELECT 'W0209', qname, 'purpose' FROM nodes WHERE kind = 'state'")
 def missing_clauses(spark, folder):
-    g = _graph(spark, folder)
+    g = _graph(spark, folder, "DependsOn")
     found = L.applicability(g).filter("code IN ('E0201', 'W0209')")
     return found.select("code", F.col("node").alias("qname"), F.regexp_extract("message", r"lacks a (\w+) clause", 1).alias("clause"))
 
@@ -290,7 +302,7 @@ o AS (SELECT u.*, m.qname AS holder FROM u JOIN nodes m ON m.kind = 'module' AND
 f AS (SELECT src, dst, kind, bool_or(src = holder OR starts_with(src, holder || '.') OR EXISTS (SELECT 1 FROM clauses c WHERE clause = 'depends_on' AND value = holder AND (src = c.qname OR starts_with(src, c.qname || '.')))) AS fine FROM o GROUP BY ALL)
 SELECT src AS qname, count(*) AS n FROM f WHERE NOT fine GROUP BY src""")
 def undeclared_dependency(spark, folder):
-    g = _graph(spark, folder)
+    g = _graph(spark, folder, "DependsOn", "Triggers", "Emits")
     declared = IntentGraph(g.nodes, g.edges.filter("kind <> 'Handles'"), g.clauses)
     return L.undeclared_dependencies(declared).groupBy(F.col("node").alias("qname")).agg(F.count("*").alias("n"))
 
@@ -299,7 +311,7 @@ def undeclared_dependency(spark, folder):
 AND NOT EXISTS (SELECT 1 FROM u WHERE (src = c.qname OR starts_with(src, c.qname || '.')) AND (dst = c.value OR starts_with(dst, c.value || '.')) AND hash(src) % 2 >= 0 AND length(src) % 2 = 0)""")
 def unused_dependency(spark, folder):
     """Only triggers by names of even length count as uses, so that some entries go unused."""
-    g = _graph(spark, folder)
+    g = _graph(spark, folder, "DependsOn", "Triggers")
     some = IntentGraph(g.nodes, g.edges.filter("kind = 'Triggers' AND length(src) % 2 = 0"), g.clauses)
     found = L.unused_dependencies(some)
     return found.select(F.col("node").alias("qname"), F.regexp_extract("message", r"depends on (\S+) but", 1).alias("value"))
@@ -312,14 +324,14 @@ ORACLES["unused_dependency"] = ORACLES["unused_dependency"].replace(" AND hash(s
 SELECT qname, CASE WHEN kind = 'state' THEN 'W0210' WHEN emitted THEN 'W0211' ELSE 'W0212' END AS code FROM nodes LEFT JOIN i ON dst = qname
 WHERE kind = 'state' AND NOT coalesce(used, false) OR kind = 'event' AND coalesce(emitted, false) <> coalesce(handled, false)""")
 def hygiene(spark, folder):
-    g = _graph(spark, folder)
+    g = _graph(spark, folder, "Affects", "Reads", "Emits", "Handles")
     return L.hygiene(IntentGraph(g.nodes, g.edges.filter("kind <> 'Handles' OR src > 'R2'"), g.clauses)).select(F.col("node").alias("qname"), "code")
 
 
 @query(f"{_WITH} SELECT src, dst FROM edges WHERE kind = 'Affects' AND NOT EXISTS (SELECT 1 FROM cust t WHERE t.cust = src AND t.c_custkey % 3 = 0)")
 def undeclared_effect(spark, folder):
     """Every third customer declares all its effects."""
-    g = _graph(spark, folder)
+    g = _graph(spark, folder, "Affects")
     declared = g.edges_of("Affects").filter("cast(regexp_extract(src, '[0-9]+$', 0) AS bigint) % 3 = 0").withColumn("layer", F.lit("Declared"))
     found = L.undeclared_effects(IntentGraph(g.nodes, g.edges.unionByName(declared), g.clauses))
     return found.select(F.col("node").alias("src"), F.regexp_extract("message", r"writes (\S+) without", 1).alias("dst"))
@@ -343,7 +355,7 @@ def module_first_match(spark, folder):
     return L.first_glob(pages, globs).filter("module IS NOT NULL").select("page_id", "module", "ambiguous")
 
 
-@query("SELECT concat('U', user_id) AS qname, arg_max(epoch(ts)::BIGINT, struct_pack(t := epoch(ts)::BIGINT, i := -event_id)) AS time, arg_max(event_type, struct_pack(t := epoch(ts)::BIGINT, i := -event_id)) AS hash FROM events GROUP BY user_id")
+@query("SELECT concat('U', user_id) AS qname, arg_max(floor(epoch(ts))::BIGINT, struct_pack(t := floor(epoch(ts))::BIGINT, i := -event_id)) AS time, arg_max(event_type, struct_pack(t := floor(epoch(ts))::BIGINT, i := -event_id)) AS hash FROM events GROUP BY user_id")
 def newest_change(spark, folder):
     """Each user's events are a file's lines, blamed with their time and type."""
     e = corpus.Tables(spark, folder).events
@@ -352,7 +364,7 @@ def newest_change(spark, folder):
     return L.newest_change(spans, blame)
 
 
-@query("WITH b AS (SELECT user_id, max(epoch(ts)::BIGINT) AS t FROM events WHERE event_id % 2 = 0 GROUP BY user_id), s AS (SELECT user_id, max(epoch(ts)::BIGINT) AS t FROM events WHERE event_id % 2 = 1 GROUP BY user_id) SELECT concat('U', user_id) AS qname FROM b JOIN s USING (user_id) WHERE s.t > b.t")
+@query("WITH b AS (SELECT user_id, max(floor(epoch(ts))::BIGINT) AS t FROM events WHERE event_id % 2 = 0 GROUP BY user_id), s AS (SELECT user_id, max(floor(epoch(ts))::BIGINT) AS t FROM events WHERE event_id % 2 = 1 GROUP BY user_id) SELECT concat('U', user_id) AS qname FROM b JOIN s USING (user_id) WHERE s.t > b.t")
 def staleness(spark, folder):
     """Blocks: the lines of even events; subjects: those of odd ones."""
     e = corpus.Tables(spark, folder).events.select("user_id", F.pmod("event_id", F.lit(2)).alias("odd"), F.unix_timestamp("ts").alias("time"), F.row_number().over(Window.partitionBy("user_id", F.pmod("event_id", F.lit(2))).orderBy("event_id")).alias("line"))
@@ -364,24 +376,24 @@ def staleness(spark, folder):
 @query(f"{_WITH} SELECT qname AS node, CASE WHEN starts_with(qname, 'R1.N') AND nation.n_nationkey % 2 = 0 THEN 'error' ELSE 'warning' END AS severity FROM clauses JOIN cust ON cust = qname JOIN places USING (nation) JOIN nation ON n_nationkey = nk WHERE clause = 'unknown'")
 def strict_promotion(spark, folder):
     """Nations of region 1 with an even key are strict."""
-    g = _graph(spark, folder)
+    g = _graph(spark, folder, "DependsOn")
     places = corpus.places(corpus.Tables(spark, folder)).filter("n_regionkey = 1 AND nk % 2 = 0")
     strict = places.select(F.col("nation").alias("qname"), F.lit("enforcement").alias("clause"), F.lit(0).alias("ord"), F.lit("strict").alias("value"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))
     g = IntentGraph(g.nodes, g.edges, g.clauses.unionByName(strict))
     return L.promote_strict(g, L.unknowns(g)).select("node", "severity")
 
 
-@query(f"{_WITH} SELECT 'W0213' AS code, 'error' AS severity, count(*) AS n FROM clauses WHERE clause = 'unknown' UNION ALL SELECT 'E0201', 'error', count(*) FROM nodes CROSS JOIN (VALUES ('purpose'), ('owner')) v(clause) WHERE (kind = 'module' OR kind = 'event' AND clause = 'purpose') AND NOT EXISTS (SELECT 1 FROM clauses c WHERE c.qname = nodes.qname AND c.clause = v.clause)")
+@query(f"{_WITH} SELECT 'W0213' AS code, 'error' AS severity, count(*) AS n FROM clauses WHERE clause = 'unknown' HAVING count(*) > 0 UNION ALL SELECT 'E0201', 'error', count(*) FROM nodes CROSS JOIN (VALUES ('purpose'), ('owner')) v(clause) WHERE (kind = 'module' OR kind = 'event' AND clause = 'purpose') AND NOT EXISTS (SELECT 1 FROM clauses c WHERE c.qname = nodes.qname AND c.clause = v.clause)")
 def policy(spark, folder):
     """Open questions are errors, missing recommended clauses are switched off."""
-    g = _graph(spark, folder)
+    g = _graph(spark, folder, "DependsOn")
     found = L.apply_policy(L.unknowns(g).unionByName(L.applicability(g)), unknown="error", off=["W0209"])
     return found.filter("code <> 'E0203'").groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
 @query(f"{_WITH} SELECT kind, count(*) AS declared, 0 AS derived, 0 AS both, count(*) FILTER (WHERE qname IN (SELECT qname FROM clauses)) AS with_intent FROM nodes GROUP BY kind")
 def nodes_by_kind(spark, folder):
-    return stats.nodes_by_kind(_graph(spark, folder))
+    return stats.nodes_by_kind(_graph(spark, folder, "DependsOn"))
 
 
 @query(f"{_WITH} SELECT layer, count(*) AS n FROM edges GROUP BY layer")
