@@ -3,9 +3,9 @@
 1. Documents are ordered by (doc_id, text) through a range partitioning, tokenised once, and written to the
    shared folder with each one's offset in its partition. ``SEPARATOR`` follows each document.
 2. The partitions' token totals are summed up in order: each partition learns its first global offset.
-3. Each partition cuts its own part of the stream. Windows that lie in it are finished there; the two at its
-   ends are sent on as boundary records (window, place in it, tokens), and only these are
-   shuffled and joined.
+3. Each partition cuts its own part of the stream. Windows that lie in it are finished there and go straight to the
+   result; a second scan sends on the two at its ends as boundary records (window, place in it,
+   tokens), and only these are shuffled and joined.
 
 The result does not depend on how the table is partitioned: (window_id, n_tokens, tokens, doc_ids,
 starts), where document doc_ids[i] begins or goes on at tokens[starts[i]]. Every window has ``WINDOW`` tokens but
@@ -121,24 +121,26 @@ class Encoder:
         return out, np.append(0, ends_out)[np.searchsorted(starts, offsets)]
 
 
-def _tokenise(vocabulary, separator: int):
+def _tokenise(vocabulary, separator: int, kind: type):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encoder, offset = TaskContext.get().partitionId(), Encoder(vocabulary.value), 0
         for batch in T.batches(rows):
             tokens, ptr = encoder.encode(batch.column("text"))
-            tokens = np.insert(tokens, ptr[1:], separator).astype(np.uint32)
+            tokens = np.insert(tokens, ptr[1:], separator).astype(kind)
             ptr = ptr + np.arange(len(ptr))
-            texts = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((ptr * 4).astype(np.int32)), pa.py_buffer(tokens)])
+            texts = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((ptr * tokens.itemsize).astype(np.int32)), pa.py_buffer(tokens)])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(offset + ptr[:-1]), batch.column("doc_id"), texts], ["part", "offset", "doc_id", "tokens"])
             offset += int(ptr[-1])
 
     return run
 
 
-_WINDOWS = "window_id bigint, place int, whole boolean, tokens array<int>, doc_ids array<bigint>, starts array<int>"
+_WINDOWS = "window_id bigint, place int, tokens array<int>, doc_ids array<bigint>, starts array<int>"
 
 
-def _cut(bases, window: int):
+def _cut(bases, window: int, whole: bool, kind: type):
+    """The whole windows of each scanned part of the stream, or else the pieces at its ends."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(first: int, tokens: np.ndarray, begins: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
             """Windows of the stream's part from ``first`` on; documents begin at ``begins`` of it."""
@@ -151,23 +153,24 @@ def _cut(bases, window: int):
             of = np.searchsorted(cut, start, "right") - 1
             ptr = np.searchsorted(start, cut).astype(np.int32)
             size = np.diff(cut)
-            return pa.RecordBatch.from_arrays(
+            batch = pa.RecordBatch.from_arrays(
                 [
                     pa.array(window_id),
                     pa.array(((first + cut[:-1]) % window).astype(np.int32)),
-                    pa.array(size == window),
                     pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(tokens.astype(np.int32))),
                     pa.ListArray.from_arrays(pa.array(ptr), ids.take(pa.array(owner))),
                     pa.ListArray.from_arrays(pa.array(ptr), pa.array((start - cut[of]).astype(np.int32))),
                 ],
-                ["window_id", "place", "whole", "tokens", "doc_ids", "starts"],
+                ["window_id", "place", "tokens", "doc_ids", "starts"],
             )
+            keep = (size == window) == whole
+            return batch if keep.all() else batch.filter(pa.array(keep))
 
         base = bases.value
         rest: tuple[int, np.ndarray, np.ndarray, pa.Array] | None = None
         for batch in T.batches(rows, "tokens", 4 << 20):
             raw, offsets = T.string_bytes(batch.column("tokens"))
-            tokens, ptr = np.frombuffer(raw.tobytes(), np.uint32), offsets // 4
+            tokens, ptr = np.frombuffer(raw.tobytes(), kind), offsets // np.dtype(kind).itemsize
             at = np.array([base[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("offset").to_numpy()
             follows = np.concatenate([[False], at[1:] == at[:-1] + np.diff(ptr)[:-1]])
             breaks = np.append(np.flatnonzero(~follows), len(at))
@@ -206,7 +209,7 @@ def _join(t: pa.Table) -> pa.Table:
             ids.append(i)
             starts.append(s + len(tokens))
         tokens += p["tokens"]
-    return pa.table({"window_id": [pieces[0]["window_id"]], "place": pa.array([least], pa.int32()), "whole": [True], "tokens": pa.array([tokens], pa.list_(pa.int32())), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "starts": pa.array([starts], pa.list_(pa.int32()))})
+    return pa.table({"window_id": [pieces[0]["window_id"]], "place": pa.array([least], pa.int32()), "tokens": pa.array([tokens], pa.list_(pa.int32())), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "starts": pa.array([starts], pa.list_(pa.int32()))})
 
 
 def pack(documents: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, separator: int = SEPARATOR) -> DataFrame:
@@ -215,12 +218,16 @@ def pack(documents: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULAR
         shared = spark.sparkContext.broadcast(f.read())
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = docs.repartitionByRange(scratch.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    stream = scratch.materialise(ordered.mapInArrow(_tokenise(shared, separator), "part int, offset bigint, doc_id bigint, tokens binary"), "tokens")
-    totals = stream.groupBy("part").agg(F.max(F.col("offset") + F.octet_length("tokens") / 4).cast("bigint").alias("n")).orderBy("part").collect()
+    # two bytes a token where the vocabulary allows it
+    kind = np.uint16 if max(separator, len(shared.value.split(b"\n"))) < 1 << 16 else np.uint32
+    stream = scratch.materialise(ordered.mapInArrow(_tokenise(shared, separator, kind), "part int, offset bigint, doc_id bigint, tokens binary"), "tokens")
+    totals = stream.groupBy("part").agg(F.max(F.col("offset") + F.octet_length("tokens") / np.dtype(kind).itemsize).cast("bigint").alias("n")).orderBy("part").collect()
     bases, base = {}, 0
     for r in totals:
         bases[r["part"]] = base
         base += r["n"]
-    cut = scratch.materialise(stream.mapInArrow(_cut(spark.sparkContext.broadcast(bases), window), _WINDOWS), "windows")
-    joined = cut.filter("NOT whole").groupBy("window_id").applyInArrow(_join, _WINDOWS)
-    return cut.filter("whole").unionByName(joined).select("window_id", F.size("tokens").alias("n_tokens"), "tokens", "doc_ids", "starts")
+    shared_bases = spark.sparkContext.broadcast(bases)
+    # both read the same scan, hence the same parts
+    whole, pieces = (stream.mapInArrow(_cut(shared_bases, window, w, kind), _WINDOWS) for w in (True, False))
+    joined = pieces.groupBy("window_id").applyInArrow(_join, _WINDOWS)
+    return whole.unionByName(joined).select("window_id", F.size("tokens").alias("n_tokens"), "tokens", "doc_ids", "starts")
