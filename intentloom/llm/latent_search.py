@@ -102,18 +102,23 @@ def _encode(terms, kind: type):
 
 
 def _sum(kind: type):
-    def run(t: pa.Table) -> pa.Table:
-        total = reduce(np.add, (np.frombuffer(x.as_buffer(), kind) for x in t.column("part")))
-        return pa.table({"part": pa.array([total.tobytes()], pa.binary())})
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in rows:
+            for x in batch.column("part"):
+                part = np.frombuffer(x.as_buffer(), kind)
+                total = part.copy() if total is None else np.add(total, part, out=total)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     return run
 
 
 def _total(parts: DataFrame, kind: type) -> np.ndarray | None:
-    """Sum of equally long arrays, one a row, in two levels."""
-    once = parts.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(16)))
-    sums = once.groupBy("group").applyInArrow(lambda t: _sum(kind)(t), "part binary").collect()
-    return reduce(np.add, (np.frombuffer(r["part"], kind) for r in sums)) if sums else None
+    """Sum of equally long arrays, one a row, in two levels; a task holds one array at a time, the driver gets one."""
+    once = parts.repartition(scratch.shuffle_partitions(parts.sparkSession)).mapInArrow(_sum(kind), "part binary")
+    row = once.repartition(1).mapInArrow(_sum(kind), "part binary").first()
+    return None if row is None else np.frombuffer(row["part"], kind)
 
 
 class Passages:

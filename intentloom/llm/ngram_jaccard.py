@@ -106,11 +106,15 @@ def _profile(n: int):
     return run
 
 
-def _add(t: pa.Table) -> pa.Table:
-    total = np.zeros(_CHUNK, np.uint32)
-    for b in t.column("counts"):
-        total += np.frombuffer(b.as_buffer(), np.uint32)
-    return pa.table({"id": t.column("id")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+def _add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum by chunk; a task holds one array for each of its chunks."""
+    total: dict[int, np.ndarray] = {}
+    for batch in rows:
+        for i, x in zip(batch.column("id").to_pylist(), batch.column("counts")):
+            part = np.frombuffer(x.as_buffer(), np.uint32)
+            total[i] = np.add(total[i], part, out=total[i]) if i in total else part.copy()
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["id", "counts"])
 
 
 def _keys(n: int, threshold: float, buckets: int, table):
@@ -274,7 +278,7 @@ def ngram_jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRE
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     profile = scratch.materialise(docs.mapInArrow(_profile(n), _PROFILE), "profile")
     owners = profile.filter("kind = 0 AND size > 0").select("set_hash", F.col("id").alias("doc_id")).distinct()
-    chunks = {r["id"]: r["counts"] for r in profile.filter("kind = 1").groupBy("id").applyInArrow(_add, "id bigint, counts binary").collect()}
+    chunks = {r["id"]: r["counts"] for r in profile.filter("kind = 1").select("id", "counts").repartition("id").mapInArrow(_add, "id bigint, counts binary").collect()}
     table = spark.sparkContext.broadcast(b"".join(chunks.get(i, bytes(4 * _CHUNK)) for i in range((1 << TABLE_BITS) // _CHUNK)))
     keys = docs.mapInArrow(_keys(n, threshold, 4 * scratch.shuffle_partitions(spark), table), "bucket int, which binary, owner binary, size binary, own binary, keys binary")
     candidates = scratch.materialise(keys.groupBy("bucket").applyInArrow(_candidates(threshold), "a bigint, b bigint, larger bigint"), "candidates")
