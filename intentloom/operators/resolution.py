@@ -14,7 +14,7 @@ from ..functions.names import normal_path
 
 def named_decls(decls: DataFrame, files: DataFrame) -> DataFrame:
     """Declarations with qname and how many have it; a name that several have is ambiguous and excludes all of them."""
-    q = decls.join(files.select("file", "module"), "file").withColumn("qname", F.concat_ws(".", "module", "name"))
+    q = decls.drop("module").join(files.select("file", "module"), "file").withColumn("qname", F.concat_ws(".", "module", "name"))
     return q.withColumn("n", F.count("*").over(Window.partitionBy("qname")))
 
 
@@ -69,7 +69,7 @@ def unresolved_count(resolved: DataFrame, decls: DataFrame, files: DataFrame) ->
 
 def visible_states(states: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame:
     """(file, visible, state): own-module states by identifier, imported ones by alias or alias.identifier; the last import wins over all else."""
-    own = files.select("file", "module").join(states, "module").select("file", F.col("identifier").alias("visible"), F.col("state"), F.lit(-1).alias("rank"))
+    own = files.select("file", "module").join(states.drop("file"), "module").select("file", F.col("identifier").alias("visible"), F.col("state"), F.lit(-1).alias("rank"))
     home = states.select(F.col("file").alias("target_file"), "identifier", "state")
     named = imports.filter("form = 'Named'").join(home.withColumnRenamed("identifier", "name"), ["target_file", "name"]).select("file", F.col("alias").alias("visible"), "state", F.col("idx").alias("rank"))
     whole = imports.filter("form = 'Whole'").join(home, "target_file").select("file", F.concat_ws(".", "alias", "identifier").alias("visible"), "state", F.col("idx").alias("rank"))

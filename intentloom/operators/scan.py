@@ -6,7 +6,7 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,24 +167,23 @@ def bind(file: str, text: str, blocks: list[tuple]) -> tuple[list[tuple], list[t
 _SCANNED = "row string, file string, block int, line int, end_line int, kind string, name string, identifier string, subject_line int, subject_end int, clause string, ord int, value string"
 
 
-def _scan_file(marker: str):
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in _SCANNED.split(", ")]
-        for part in parts:
-            out = []
-            for file, text, said in zip(part["file"], part["text"], part["said"]):
-                groups: dict[int, list[tuple[int, str]]] = {}
-                for r in said if said is not None else ():
-                    groups.setdefault(r["block"], []).append((r["line"], r["said"]))
-                folded = {b: _fold(file, b, sorted(x for x in rows if x[0] != b)) for b, rows in groups.items()}
-                bound, wrong = bind(file, text, [(b, *folded[b][0]) for b in sorted(folded)])
-                out += [("block", file, b, b, *x, None, None, None) for b, *x in bound]
-                kept = {b for b, *_ in bound}
-                out += [("finding", file, None, line, None, code, None, None, None, None, None, None, message) for code, line, message in [*wrong, *(w for f in folded.values() for w in f[2])]]
-                out += [("clause", file, b, line, None, None, None, None, None, None, c, o, v) for b in kept for c, o, v, line in folded[b][1]]
-            yield pd.DataFrame(out, columns=columns).astype({c: "Int32" for c in ("block", "line", "end_line", "subject_line", "subject_end", "ord")})
+_SCHEMA = pa.schema([(n, {"string": pa.string(), "int": pa.int32()}[t]) for n, t in (c.split() for c in _SCANNED.split(", "))])
 
-    return run
+
+def _scan_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for file, text, said in zip(*(batch.column(c).to_pylist() for c in ("file", "text", "said"))):
+            groups: dict[int, list[tuple[int, str]]] = {}
+            for r in said:
+                groups.setdefault(r["block"], []).append((r["line"], r["said"]))
+            folded = {b: _fold(file, b, sorted(x for x in rows if x[0] != b)) for b, rows in groups.items()}
+            bound, wrong = bind(file, text, [(b, *folded[b][0]) for b in sorted(folded)])
+            out += [("block", file, b, b, *x, None, None, None) for b, *x in bound]
+            kept = {b for b, *_ in bound}
+            out += [("finding", file, None, line, None, code, None, None, None, None, None, None, message) for code, line, message in [*wrong, *(w for f in folded.values() for w in f[2])]]
+            out += [("clause", file, b, line, None, None, None, None, None, None, c, o, v) for b in kept for c, o, v, line in folded[b][1]]
+        yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r)) for r in out], schema=_SCHEMA)
 
 
 def scan(sources: DataFrame, globs: DataFrame, marker: str = MARKER) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -199,7 +198,7 @@ def scan(sources: DataFrame, globs: DataFrame, marker: str = MARKER) -> tuple[Da
 
     marked = shared.written(marked_lines(sources, marker), "marked")
     held = marked.filter("block IS NOT NULL").groupBy("file").agg(F.collect_list(F.struct("block", "line", "said")).alias("said"))
-    rows = shared.written(sources.join(held, "file").select("file", "text", "said").mapInPandas(_scan_file(marker), _SCANNED), "scanned")
+    rows = shared.written(sources.join(held, "file").select("file", "text", "said").mapInArrow(_scan_file, _SCANNED), "scanned")
     order = Window.partitionBy("file").orderBy("block")
     blocks = first_glob(rows.filter("row = 'block'").drop("row", "clause", "ord", "value"), globs)
     scoping = F.col("kind").isin(schema.SCOPES)
@@ -220,5 +219,5 @@ def scan(sources: DataFrame, globs: DataFrame, marker: str = MARKER) -> tuple[Da
     found = found.unionByName(issue(marked.filter("ignored"), "W0110", "line", F.lit("a marker after a comment line begins no block")))
     found = found.unionByName(issue(blocks.filter(lost), "E0105", "line", F.lit("a step needs a workflow before it")))
     found = found.unionByName(issue(blocks.filter("ambiguous").select("file").distinct(), "E0103", F.lit(1), F.lit("globs name different modules")))
-    found = found.unionByName(issue(blocks.filter(F.startswith("qname", F.lit("_orphan."))).select("file").distinct(), "W0208", F.lit(1), F.lit("the file lies in no module")))
+    found = found.unionByName(issue(blocks.filter(~lost & F.startswith("qname", F.lit("_orphan."))).select("file").distinct(), "W0208", F.lit(1), F.lit("the file lies in no module")))
     return nodes, clauses, found
