@@ -85,7 +85,7 @@ def clauses(t: Tables, depends: DataFrame) -> DataFrame:
     """purpose of regions; owner of every nation whose key isn't divisible by 4; unknown of customers in debt; depends_on as the edges have it."""
     purpose = t.region.select(_name("R", "r_regionkey").alias("qname"), F.lit("purpose").alias("clause"), F.col("r_name").alias("value"))
     owner = places(t).filter("nk % 4 <> 0").select(F.col("nation").alias("qname"), F.lit("owner").alias("clause"), F.concat(F.lit("team"), F.col("nk") % 3).alias("value"))
-    debt = t.customer.filter("c_acctbal < -900").join(customers(t), "c_custkey").select(F.col("cust").alias("qname"), F.lit("unknown").alias("clause"), F.lit("will they pay?").alias("value"))
+    debt = t.customer.filter("c_acctbal < 0").join(customers(t), "c_custkey").select(F.col("cust").alias("qname"), F.lit("unknown").alias("clause"), F.lit("will they pay?").alias("value"))
     states = t.spark.createDataFrame([("P", "owner", "stock")], "qname string, clause string, value string")
     needs = depends.filter("kind = 'DependsOn'").select(F.col("src").alias("qname"), F.lit("depends_on").alias("clause"), F.col("dst").alias("value"))
     return clauses_of(purpose.unionByName(owner).unionByName(debt).unionByName(states).unionByName(needs).withColumn("ord", F.lit(0)))

@@ -20,16 +20,28 @@ SMALL = 200_000
 HITS = "qname string, hops int, via array<bigint>"
 
 
-def hops(graph: IntentGraph, kinds: list[str], events: bool, reverse: bool = False) -> DataFrame:
-    """(src, dst, segment): segment holds the edge ids in the order of the walk; reverse: from an edge's end to its start."""
+#: begins the names of the places within event hops, which no node has
+WITHIN = "\x00"
+
+
+def hops(graph: IntentGraph, kinds: list[str], events: bool, reverse: bool = False, paired: bool = False) -> DataFrame:
+    """(src, dst, segment): segment holds the edge ids in the order of the walk; reverse: from an edge's end to its start.
+
+    An event hop goes by way of a place of its own for each event, so there are as many rows as edges, and not emitters x
+    handlers. paired: in one row from emitter to handler, for walks that count what they pass.
+    """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     out = graph.edges_of(*kinds).select(F.col(a).alias("src"), F.col(b).alias("dst"), F.array("edge_id").alias("segment"))
-    if events:
+    if events and not paired:
+        place = F.concat(F.lit(WITHIN), "dst")
+        enter, leave = ("Handles", "Emits") if reverse else ("Emits", "Handles")
+        out = out.unionByName(graph.edges_of(enter).select("src", place.alias("dst"), F.array("edge_id").alias("segment")))
+        out = out.unionByName(graph.edges_of(leave).select(place.alias("_from"), "src", "edge_id").select(F.col("_from").alias("src"), F.col("src").alias("dst"), F.array("edge_id").alias("segment")))
+    elif events:
         emits = graph.edges_of("Emits").select(F.col("src").alias("x"), F.col("dst").alias("e"), F.col("edge_id").alias("i"))
         handles = graph.edges_of("Handles").select(F.col("src").alias("y"), F.col("dst").alias("e"), F.col("edge_id").alias("j"))
-        pair = emits.join(handles, "e")
         walk = ("y", "x", "j", "i") if reverse else ("x", "y", "i", "j")
-        out = out.unionByName(pair.select(F.col(walk[0]).alias("src"), F.col(walk[1]).alias("dst"), F.array(walk[2], walk[3]).alias("segment")))
+        out = out.unionByName(emits.join(handles, "e").select(F.col(walk[0]).alias("src"), F.col(walk[1]).alias("dst"), F.array(walk[2], walk[3]).alias("segment")))
     return out.filter("src <> dst")
 
 
@@ -68,7 +80,7 @@ def closure(hop: DataFrame, starts: DataFrame, limit: int | None = None, small:
         rows = hop.limit(small + 1).collect()
         if len(rows) <= small:
             found = _in_memory(rows, [(r["qname"], tuple(r["via"])) for r in starts.select("qname", "via").collect()], limit)
-            return spark.createDataFrame([(n, len(v), v) for n, v in found], HITS)
+            return spark.createDataFrame([(n, len(v), v) for n, v in found if not n.startswith(WITHIN)], HITS)
     hop = shared.written(hop, "hops")
     first = starts.groupBy("qname").agg(F.min(F.struct(F.size("via"), F.col("via")))["via"].alias("via"))
     settled = shared.written(first.select("qname", F.size("via").alias("hops"), "via", F.lit(True).alias("start")), "settled")
@@ -82,7 +94,7 @@ def closure(hop: DataFrame, starts: DataFrame, limit: int | None = None, small:
         pending = shared.written(step.join(settled.select("qname"), "qname", "left_anti").groupBy("qname").agg(F.min(F.struct(F.size("via").alias("n"), F.col("via"))).alias("best")).select("qname", F.col("best.via").alias("via")), "pending")
         cost = pending.agg(F.min(F.size("via"))).first()[0]
         if cost is None:
-            return settled.filter("NOT start").select("qname", "hops", "via")
+            return settled.filter(~F.col("start") & ~F.startswith("qname", F.lit(WITHIN))).select("qname", "hops", "via")
         frontier = pending.filter(F.size("via") == cost)
         settled = shared.written(settled.unionByName(frontier.select("qname", F.lit(cost).alias("hops"), "via", F.lit(False).alias("start"))), "settled")
 

@@ -46,12 +46,11 @@ def hits(graph: IntentGraph, q: Query, all_paths: bool = False, max_len: int | N
         start, goal = q.args
         if start == goal:
             return graph.spark.createDataFrame([], T.HITS)
-        reach = T.hops(graph, schema.REACH, True)
         if all_paths:
             if max_len is None:
                 raise QueryError("all paths need a greatest length")
-            return T.simple_paths(reach, start, goal, max_len)
-        return T.closure(reach, T.start_at(graph, start), small=small).filter(F.col("qname") == goal)
+            return T.simple_paths(T.hops(graph, schema.REACH, True, paired=True), start, goal, max_len)
+        return T.closure(T.hops(graph, schema.REACH, True), T.start_at(graph, start), small=small).filter(F.col("qname") == goal)
     arg = q.args[0]
     if form == "reaches":
         return T.closure(T.hops(graph, schema.REACH, True), T.start_at(graph, arg), small=small)

@@ -39,7 +39,7 @@ UNION SELECT cust, concat('E.', event_type), 'Emits', 'Declared' FROM events JOI
 UNION SELECT supp, concat('E.', event_type), 'Handles', 'Declared' FROM supp JOIN types ON s_suppkey % 7 = i)"""
 _CLAUSES = """clauses AS (SELECT concat('R', r_regionkey) AS qname, 'purpose' AS clause, r_name AS value FROM region
 UNION ALL SELECT nation, 'owner', concat('team', nk % 3) FROM places WHERE nk % 4 <> 0 UNION ALL SELECT 'P', 'owner', 'stock'
-UNION ALL SELECT cust, 'unknown', 'will they pay?' FROM cust WHERE c_acctbal < -900 UNION ALL SELECT src, 'depends_on', dst FROM edges WHERE kind = 'DependsOn')"""
+UNION ALL SELECT cust, 'unknown', 'will they pay?' FROM cust WHERE c_acctbal < 0 UNION ALL SELECT src, 'depends_on', dst FROM edges WHERE kind = 'DependsOn')"""
 _EVENTS = "SELECT a.src, b.src AS dst, 2 AS cost FROM edges a JOIN edges b ON a.dst = b.dst WHERE a.kind = 'Emits' AND b.kind = 'Handles'"
 _WITH = f"WITH RECURSIVE {_PLACES}, {_CUST}, {_SUPP}, {_NODES}, {_EDGES}, {_CLAUSES}"
 
@@ -214,10 +214,10 @@ def filtered_closure(spark, folder):
     return _ask(g, "affects*({}) in module(R2) kind(function)", _least(g.of_kind("state"), "qname")).select("qname", "hops")
 
 
-@query(_closed("SELECT src, dst, 1 AS cost FROM edges WHERE kind = 'DependsOn'", "SELECT (SELECT min(src) FROM edges WHERE kind = 'DependsOn'), 0") .replace("best AS", f"{_OWNERS}, best AS") + " SELECT best.qname, hops FROM best JOIN own USING (qname) WHERE owner = 'team1' AND hops > 0")
+@query(_closed("SELECT src, dst, 1 AS cost FROM edges WHERE kind = 'DependsOn'", "SELECT (SELECT min(src) FROM edges WHERE kind = 'DependsOn'), 0") .replace("best AS", f"{_OWNERS}, best AS") + " SELECT best.qname, hops FROM best JOIN own USING (qname) WHERE owner = 'team2' AND hops > 0")
 def filter_owned_by(spark, folder):
     g = _graph(spark, folder, "DependsOn")
-    return _ask(g, 'depends*({}) owned_by("team1")', _least(g.edges, "src")).select("qname", "hops")
+    return _ask(g, 'depends*({}) owned_by("team2")', _least(g.edges, "src")).select("qname", "hops")
 
 
 @query(f"{_WITH}, k AS (SELECT (SELECT min(src) FROM edges WHERE kind = 'DependsOn') AS q) SELECT 'node' AS side, kind FROM nodes, k WHERE qname = q UNION ALL SELECT 'clause', clause FROM clauses, k WHERE qname = q UNION ALL SELECT 'out', kind FROM edges, k WHERE src = q UNION ALL SELECT 'in', kind FROM edges, k WHERE dst = q")
@@ -320,12 +320,12 @@ def unused_dependency(spark, folder):
 ORACLES["unused_dependency"] = ORACLES["unused_dependency"].replace(" AND hash(src) % 2 >= 0", "")
 
 
-@query(f"""{_WITH}, i AS (SELECT dst, bool_or(kind IN ('Affects', 'Reads')) AS used, bool_or(kind = 'Emits') AS emitted, bool_or(kind = 'Handles') AS handled FROM edges WHERE kind <> 'Handles' OR src > 'R2' GROUP BY dst)
+@query(f"""{_WITH}, i AS (SELECT dst, bool_or(kind IN ('Affects', 'Reads')) AS used, bool_or(kind = 'Emits') AS emitted, bool_or(kind = 'Handles') AS handled FROM edges WHERE kind <> 'Handles' OR src > 'R4.N20' GROUP BY dst)
 SELECT qname, CASE WHEN kind = 'state' THEN 'W0210' WHEN emitted THEN 'W0211' ELSE 'W0212' END AS code FROM nodes LEFT JOIN i ON dst = qname
 WHERE kind = 'state' AND NOT coalesce(used, false) OR kind = 'event' AND coalesce(emitted, false) <> coalesce(handled, false)""")
 def hygiene(spark, folder):
     g = _graph(spark, folder, "Affects", "Reads", "Emits", "Handles")
-    return L.hygiene(IntentGraph(g.nodes, g.edges.filter("kind <> 'Handles' OR src > 'R2'"), g.clauses)).select(F.col("node").alias("qname"), "code")
+    return L.hygiene(IntentGraph(g.nodes, g.edges.filter("kind <> 'Handles' OR src > 'R4.N20'"), g.clauses)).select(F.col("node").alias("qname"), "code")
 
 
 @query(f"{_WITH} SELECT src, dst FROM edges WHERE kind = 'Affects' AND NOT EXISTS (SELECT 1 FROM cust t WHERE t.cust = src AND t.c_custkey % 3 = 0)")
