@@ -28,6 +28,7 @@ repeated rows change nothing; other columns are ignored; an empty table on eithe
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -116,7 +117,7 @@ def _sum(kind: type):
 
 def _total(parts: DataFrame, kind: type) -> np.ndarray | None:
     """Sum of equally long arrays, one a row, in two levels; a task holds one array at a time, the driver gets one."""
-    once = parts.repartition(scratch.shuffle_partitions(parts.sparkSession)).mapInArrow(_sum(kind), "part binary")
+    once = parts.repartition(max(2, math.isqrt(scratch.shuffle_partitions(parts.sparkSession)))).mapInArrow(_sum(kind), "part binary")
     row = once.repartition(1).mapInArrow(_sum(kind), "part binary").first()
     return None if row is None else np.frombuffer(row["part"], kind)
 
