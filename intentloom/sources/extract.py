@@ -33,7 +33,7 @@ class _Reader(ast.NodeVisitor):
     def _declare(self, node, kind: str) -> None:
         parent = next((s[0] for s in reversed(self.stack) if s), None)
         idx, self.decls = self.decls, self.decls + 1
-        self.add("decl", idx, name=node.name, kind=kind, line=node.lineno, end_line=node.end_lineno, parent=parent)
+        self.add("decl", idx, name=node.name, kind=kind, line=min([node.lineno, *(d.lineno for d in node.decorator_list)]), end_line=node.end_lineno, parent=parent)
         if kind == "type":
             self.classes[node.name] = idx
         for d in node.decorator_list:
