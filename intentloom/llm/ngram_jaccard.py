@@ -4,16 +4,16 @@ Which pairs of documents have sets of word n-grams with a Jaccard similarity of
 
 1. *Profile.* One scan hashes each document's n-grams into a sorted set, and counts documents by gram
    in a hashed table of fixed size (so what is broadcast does not grow with the data).
-2. *Keys.* Two sets within the threshold share grams among the s - ceil(t s) + 1 rarest of each, in
-   the common order (count, hash) (prefix filter). Each set gets ``KEYS`` keys, each made of the least
-   values of two hash functions over these rare grams; two sets agree in a key with the square of their rare
-   grams' similarity p, so they miss each other in all with (1 - p^2)^KEYS: 0.0008 for a pair just
-   at the threshold, 0.00002 at 0.7. This is the only approximate step. Pairs without a
-   common passage hardly ever agree in two rare grams, so candidates grow with the true pairs and not with
-   the square of the corpus.
-3. *Candidates.* Keys travel packed, a row for each bucket of hashes with arrays of thousands; in a
+2. *Keys.* Two sets within the threshold share ``SHARED`` grams (or all that they need to share, if fewer) among the
+   s - ceil(t s) + ``SHARED`` rarest of each, in the common order (count, hash) (extended prefix filter, exact).
+   Each of these rare grams is a key, by 32 of its bits; what these bits confuse only adds candidates.
+3. *Candidates.* Keys travel packed, a row for each bucket of keys with arrays of thousands; in a
    bucket they are sorted by (key, size), and a set meets those of its key until their size leaves its
-   band [t s, s / t]. A pair is taken at the first key that it agrees in, hence once.
+   band [t s, s / t]. A meeting counts only where ``SHARED`` - 1 earlier grams and all later ones would be enough
+   overlap, which holds at the first ``SHARED`` common grams of each pair within the threshold; pairs with fewer
+   meetings than these are no candidates. Near copies share hundreds of keys: each set also carries ``TAGS`` tags, each the least of its
+   keys in a hashed order; two sets that agree in a tag both have that key, so they meet there
+   only, with full weight. No pair within the threshold is lost.
 4. *Tiles.* Candidate pairs are grouped by (cluster label, size band of the larger set, block), so the
    sets of a tile are sent to it once, and not once for each pair. In a tile, the parity bitmaps of
    two sets differ in no more bits than the sets differ in grams, so
@@ -47,12 +47,13 @@ N = 2
 THRESHOLD = 0.6
 TABLE_BITS = 20
 SIGNATURE_BITS = 2048
-KEYS = 16
-FLUSH = 1 << 12
+TAGS, SHARED = 2, 4
+#: keys in a packed batch
+FLUSH = 1 << 20
 #: bits of the table of the ids that have a candidate: 2 MB
 SLOT_BITS = 24
 _SLOT_CHUNK = 18
-_SALTS = (T.mix(np.arange(1, 2 * KEYS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_SALTS = (T.mix(np.arange(1, TAGS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 #: pairs in a tile before it is cut into blocks
 TILE_PAIRS = 50_000
 _CHUNK = 1 << 16
@@ -121,19 +122,21 @@ def _keys(n: int, threshold: float, buckets: int, table):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(table.value, np.uint32)
         seen: set[int] = set()
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        n_held = 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.stack([k for *_, k in held])
-            owner, size = (np.repeat(np.array([h[i] for h in held], kind), KEYS) for i, kind in ((0, np.int64), (1, np.int32)))
-            which = np.tile(np.arange(KEYS, dtype=np.uint8), len(held))
-            bucket = (keys.ravel() % np.uint32(buckets)).astype(np.int32)
+            keys, n_keys = np.concatenate([h[2] for h in held]), [len(h[2]) for h in held]
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in n_keys])
+            owner, size = (np.repeat(np.array([h[i] for h in held], kind), n_keys) for i, kind in ((0, np.int64), (1, np.int32)))
+            tags = np.repeat(np.stack([h[3] for h in held]), n_keys, axis=0)
+            bucket = (keys % np.uint32(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             bucket = bucket[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(cut[1:], len(bucket))
             pack = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(cut, ends)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pack(which), pack(owner), pack(size), pack(keys.ravel()), pack(np.repeat((keys >> np.uint32(16)).astype(np.uint16), KEYS, axis=0))], ["bucket", "which", "owner", "size", "own", "keys"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pack(owner), pack(size), pack(keys), pack(place), pack(tags)], ["bucket", "owner", "size", "own", "place", "tags"])
 
         for batch in T.batches(rows):
             for s in sets(batch.column("text"), n):
@@ -141,12 +144,13 @@ def _keys(n: int, threshold: float, buckets: int, table):
                     continue
                 seen.add(h)
                 rarity = counts[s & np.uint64((1 << TABLE_BITS) - 1)]
-                rare = s[np.argsort(rarity, kind="stable")[: len(s) - needed(len(s), threshold) + 1]]
-                least = ((rare >> np.uint64(32)).astype(np.uint32)[:, None] * _SALTS).min(axis=0).astype(np.uint64)
-                held.append((h, len(s), (T.mix(least[::2] << np.uint64(32) | least[1::2]) >> np.uint64(32)).astype(np.uint32)))
-            if len(held) >= FLUSH:
-                yield flush()
-                held = []
+                rare = s[np.argsort(rarity, kind="stable")[: len(s) - needed(len(s), threshold) + SHARED]]
+                keys = (rare >> np.uint64(32)).astype(np.uint32)
+                held.append((h, len(s), keys, keys[(keys[:, None] * _SALTS).argmin(axis=0)]))
+                n_held += len(keys)
+                if n_held >= FLUSH:
+                    yield flush()
+                    held, n_held = [], 0
             if len(seen) > 1 << 20:
                 seen.clear()
         if held:
@@ -158,24 +162,32 @@ def _keys(n: int, threshold: float, buckets: int, table):
 def _candidates(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)])
-        which, owner, size, own, keys = join("which", np.uint8), join("owner", np.int64), join("size", np.int32), join("own", np.uint32), join("keys", np.uint16).reshape(-1, KEYS)
-        order = np.lexsort((owner, size, own, which))
-        which, owner, size, keys, own = which[order], owner[order], size[order], keys[order], own[order]
+        owner, size, own, place, tags = join("owner", np.int64), join("size", np.int32), join("own", np.uint32), join("place", np.int32), join("tags", np.uint32).reshape(-1, TAGS)
+        order = np.lexsort((place, owner, size, own))
+        owner, size, own, place, tags = (x[order] for x in (owner, size, own, place, tags))
         fresh = np.ones(len(own), bool)
-        fresh[1:] = (own[1:] != own[:-1]) | (which[1:] != which[:-1]) | (owner[1:] != owner[:-1])
-        which, owner, size, keys, own = which[fresh], owner[fresh], size[fresh], keys[fresh], own[fresh]
-        left, right, active, step = [], [], np.arange(len(own)), 1
+        fresh[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
+        owner, size, own, place, tags = (x[fresh] for x in (owner, size, own, place, tags))
+        left, right, needs, weights, active, step = [], [], [], [], np.arange(len(own)), 1
         while len(active):
             active = active[active + step < len(own)]
             other = active + step
-            near = (own[active] == own[other]) & (which[active] == which[other]) & (size[active] >= threshold * size[other] - 1e-9)
+            near = (own[active] == own[other]) & (size[active] >= threshold * size[other] - 1e-9)
             active, other = active[near], other[near]
-            first = (keys[active] == keys[other]).argmax(axis=1) == which[active]
-            left.append(active[first])
-            right.append(other[first])
+            least = np.ceil((size[active].astype(np.int64) + size[other]) * threshold / (1 + threshold) - 1e-9).astype(np.int64)
+            take = SHARED - 1 + np.minimum(size[active] - place[active], size[other] - place[other]) >= least
+            need = np.minimum(SHARED, least)
+            weight = np.ones(len(active), np.int64)
+            for k in reversed(range(TAGS)):
+                same = tags[active, k] == tags[other, k]
+                take = np.where(same, tags[active, k] == own[active], take)
+                weight = np.where(same, need, weight)
+            take &= owner[active] != owner[other]
+            for x, y in ((left, active), (right, other), (needs, need), (weights, weight)):
+                x.append(y[take])
             step += 1
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.table({"a": np.minimum(owner[a], owner[b]), "b": np.maximum(owner[a], owner[b]), "larger": size[b].astype(np.int64)})
+        a, b, need, weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, needs, weights))
+        return pa.table({"a": np.minimum(owner[a], owner[b]), "b": np.maximum(owner[a], owner[b]), "larger": size[b].astype(np.int64), "need": need, "weight": weight})
 
     return run
 
@@ -280,8 +292,10 @@ def ngram_jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRE
     owners = profile.filter("kind = 0 AND size > 0").select("set_hash", F.col("id").alias("doc_id")).distinct()
     chunks = {r["id"]: r["counts"] for r in profile.filter("kind = 1").select("id", "counts").repartition("id").mapInArrow(_add, "id bigint, counts binary").collect()}
     table = spark.sparkContext.broadcast(b"".join(chunks.get(i, bytes(4 * _CHUNK)) for i in range((1 << TABLE_BITS) // _CHUNK)))
-    keys = docs.mapInArrow(_keys(n, threshold, 4 * scratch.shuffle_partitions(spark), table), "bucket int, which binary, owner binary, size binary, own binary, keys binary")
-    candidates = scratch.materialise(keys.groupBy("bucket").applyInArrow(_candidates(threshold), "a bigint, b bigint, larger bigint"), "candidates")
+    keys = docs.mapInArrow(_keys(n, threshold, 4 * scratch.shuffle_partitions(spark), table), "bucket int, owner binary, size binary, own binary, place binary, tags binary")
+    met = keys.groupBy("bucket").applyInArrow(_candidates(threshold), "a bigint, b bigint, larger bigint, need bigint, weight bigint")
+    met = met.groupBy("a", "b").agg(F.max("larger").alias("larger"), F.max("need").alias("need"), F.sum("weight").alias("weight"))
+    candidates = scratch.materialise(met.filter("weight >= need").select("a", "b", "larger"), "candidates")
     label = candidates.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("label"))
     band = F.floor(F.log(F.col("larger")) / math.log(1 / min(threshold, 0.99)))
     tiled = candidates.join(label, "a", "left").select("a", "b", F.coalesce("label", "a").alias("label"), band.alias("band"))

@@ -51,3 +51,15 @@ def test_many_near_copies(spark):
     rows = [(i, " ".join(base[: 100 + i % 20]) + f" tail{i}", None, None, None) for i in range(60)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert collected(ngram_jaccard.ngram_jaccard_join(df)) == oracle(ngram_jaccard.SQL, rows)
+
+
+def test_contained_texts(spark):
+    """The rarest grams of a text that holds another are those that they don't share."""
+    from .common import prose
+
+    rows = []
+    for i in range(40):
+        base, more = prose(10_000 + i, 100), prose(20_000 + i, 40 + i % 28)
+        rows += [(2 * i, base, None, None, None), (2 * i + 1, f"{base} {more}", None, None, None)]
+    found = collected(ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)))
+    assert found == oracle(ngram_jaccard.SQL, rows) and len(found) > 30
