@@ -1,7 +1,8 @@
 """URL filter: host word segmentation, then multinomial naive Bayes over the words of host and path.
 
 1. *Pieces.* A URL's host (without its last label) and path are cut into runs of letters, in lower case; escapes,
-   digits, the query and the fragment are left out.
+   digits, the query and the fragment are left out. The last label (.casino, .bet) isn't cut or listed among the words, but
+   scores as one unless it is in ``NEUTRAL``, as country codes are.
 2. *Segmentation.* A piece may be a concatenated name ("freebetsnow"). The unigram model is half the relative
    frequencies of words over all texts of all pages, half ``WORDS``, so it doesn't depend on the corpus's size; a
    stretch that is no known word of up to ``LONGEST`` letters costs ``UNKNOWN`` + ``UNKNOWN_LETTER`` for each letter.
@@ -38,12 +39,17 @@ BLOCK = 1.0
 #: added to each word's count for either label
 SMOOTHING = 0.2
 #: what is blocked; each a name as in a host or path
-BAD = """casino-win free-bets adult-x onlinecasino casinoroyal bestcasinobonus luckyslots slotmachine freespins pokerstarz pokeronline livepoker
+BAD = """onlinecasino casinoroyal bestcasinobonus luckyslots slotmachine freespins pokerstarz pokeronline livepoker
 sportsbetting betnow bettingtips megabets winbigjackpot jackpotwin roulettewin blackjackcasino gamblingonline gamblecity bingowin lottowinner
 adultvideo adultmovies adultdating adultchat sexcam livesex sexchat freeporn porntube pornvideos xxxmovies xxxtube hotgirls nudecams nudegirls escortservice escorts erotic
-camgirls hookupnow milfdating cheapviagra buyviagra buycialis cialisonline pharmacypills cheappills dietpills steroidsbuy paydayloan quickloans instantloan
+camgirls hookupnow milfdating cheapviagra buyviagra buycialis cialisonline pharmacypills discountpills dietpills steroidsbuy paydayloan quickloans instantloan
 replicawatches fakerolex fakepassport crackedsoftware warezdownload keygencrack serialcrack torrentcrack hackaccount getrichquick earnfastcash makemoneyfast
-freeiphone clickhere-win freegiftcard cryptodoubler bitcoindoubler phishinglogin xxx porn sex casino bets poker viagra escort warez nude slots""".split()
+freeiphone freegiftcard cryptodoubler bitcoindoubler phishinglogin adserver adsystem adservice adnetwork adclick adbanner bannerads popupads popunder textads nativeads mobileads adsdelivery adexchange adtech doubleads
+tracker trackers adtracking eventtrack clicktrack usertrack mailtrack pixeltracker clicktracker webtracker usertracking telemetry webbeacon clickstats affiliatelinks clickbait
+spam spammer spambot spammail massmailer bulkmail linkspam linkfarm contentfarm trafficbot
+malware malwaredrop trojan trojandownload ransomware spyware adware keylogger rootkit botnet exploitkit fakeantivirus phishing phisher fakelogin accountverify
+pharmacy onlinepharmacy pharma levitra xanax tramadol oxycontin canadianpharmacy weightlosspills gambling wagering wager betting bookmaker sportsbook baccarat craps
+adultsite adulttoys adultcams adultclips adultpics adultstore adsmanager adsense adsnetwork adspopup ads bet xxx porn sex casino bets poker viagra escort warez nude slots""".split()
 #: what is not
 GOOD = """dailynews worldnews localnews newsroom weatherreport sciencemuseum artmuseum cityhall publiclibrary universitypress highschool mathlessons
 historyproject openscience researchlab medicaljournal healthadvice cityhospital familydoctor gardenguide homegarden cookingrecipes easyrecipes breadrecipe
@@ -51,7 +57,10 @@ travelguide hotelbooking cheapflights trainschedule bustickets carrepair bikesho
 adulteducation adultlearning freesoftware freedownload freeshipping freelancer freebooks opensource codeforum developerblog techblog photoblog myblog personalpage homepage
 onlineshop onlinecourse onlinestore customerservice supportforum helpdesk contact about privacy terms archive article articles category tag author
 news forum shop wiki docs mail post posts product products search login account images static assets files about-us footballscores soccerclub chessclub gamereview videogames boardgames windpower winter windows wine winery
-loanlibrary studentloan betterhome betterhealth sussex essex expertsexchange girlscouts livestream livemusic giftshop watchrepair cashregister""".split()
+loanlibrary studentloan betterhome betterhealth sussex essex expertsexchange girlscouts livestream livemusic giftshop watchrepair cashregister
+farm farming farmhouse organicfarm familyfarm farmmarket racetrack trackandfield athletics runningtrack trackrecord soundtrack parceltracking packagetracking ordertracking
+pillow pillows bannermaking bannerprinting clickandcollect linkedlibrary mailinglist servermanual networknews exchangerate antivirus virusresearch trafficnews trafficreport
+adviceline advancedmaths address adaptor adventure systembooks deliverymenu banners pixelart pixelcamera lighthousebeacon""".split()
 #: what says nothing; counted for both labels
 NEUTRAL = "www m mobile blog web example index page pages home main site en de fr es it pt html htm php a b c x y".split()
 #: words that the model knows whatever the corpus
@@ -65,6 +74,11 @@ research lab medical journal health advice hospital family doctor garden guide h
 bus tickets car repair bike shop store club music piano film review education learning lancer freelance freelancer source code forum developer blog tech photo my personal page pages
 course customer support help desk contact about privacy terms archive article articles category tag author wiki docs mail mobile example index post posts product
 products search images static assets files us football scores soccer chess game games board wind power winter windows wine winery student essex sussex expert experts exchange scouts stream
+ad ads server banner banners popup network click clicks native delivery exchange track tracker trackers tracking pixel telemetry beacon stats affiliate links link bait traffic bot
+spam spammer mailer mass bulk farm farming content malware drop virus trojan ransomware spyware adware keylogger rootkit botnet exploit kit antivirus phishing phisher verify
+pharma levitra xanax tramadol oxycontin canadian weight loss wagering wager bookmaker baccarat craps discount organic house market race and field athletics running record sound parcel package order
+pillow pillows making printing collect linked list manual rate research report line advanced maths address adaptor adventure system menu camera light lighthouse
+site toys clips pics store manager sense event user mail web
 register vip pro club zone hub site web net link day time life love work free house food kids""".split()
 
 
@@ -80,6 +94,12 @@ def pieces(url: Column) -> Column:
     return letters(F.concat(host, F.lit(" "), path))
 
 
+def last_label(url: Column) -> Column:
+    """The host's last label in lower case, or the empty string."""
+    bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//|[?#][\s\S]*$", "")
+    return F.lower(F.regexp_extract(F.regexp_extract(bare, r"^(?:[^/@]*@)?([^/:]*)", 1), r"\.(\p{L}+)\.?$", 1))
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
     """(word, n) over all texts of all pages."""
     text = F.regexp_replace(F.col("html").cast("string"), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", " ")
@@ -148,5 +168,6 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame
     in_order = F.array_sort(F.collect_list(F.struct("at", "words", "score")))
     url_scores = by_url.agg(in_order.alias("x")).select(F.col("url").alias("_url"), F.flatten("x.words").alias("_words"), F.aggregate("x.score", F.lit(0.0), lambda a, b: a + b).alias("_score"))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
-    score = F.round(F.coalesce("_score", F.lit(0.0)), 4)
-    return rows.join(url_scores, rows["url"] == url_scores["_url"], "left").select("page_id", "url", F.coalesce("_words", F.expr("cast(array() as array<string>)")).alias("words"), score.alias("score"), (score >= BLOCK).alias("blocked"))
+    label = ratios.filter(~F.col("word").isin(NEUTRAL)).select(F.col("word").alias("_label"), F.col("ratio").alias("_ratio"))
+    score = F.round(F.coalesce("_score", F.lit(0.0)) + F.coalesce("_ratio", F.lit(0.0)), 4)
+    return rows.join(url_scores, rows["url"] == url_scores["_url"], "left").join(label, last_label(rows["url"]) == label["_label"], "left").select("page_id", "url", F.coalesce("_words", F.expr("cast(array() as array<string>)")).alias("words"), score.alias("score"), (score >= BLOCK).alias("blocked"))

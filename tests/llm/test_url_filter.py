@@ -81,3 +81,11 @@ def test_held_out_names(spark):
     rows = [(i, f"http://{n}.com", None) for i, n in enumerate(bad + good)]
     out = {r["page_id"]: r["blocked"] for r in U.url_filter(pages(spark, rows)).collect()}
     assert sum(out[i] for i in range(8)) >= 7 and sum(out[i] for i in range(8, 16)) <= 1
+
+
+def test_other_block_categories_and_last_labels(spark):
+    bad = "adsbanners.net click-trackers.org spamlinks.com malwarekit.net my.casino luckystar.bet mysite.xxx some.porn adserving.com trackerhub.io ransomwarekit.net phishmail.org buyxanax.com pillstore.net wagerzone.com adultfilms.net spywaredrop.com bulkspammer.com popupmedia.net botnetpanel.org".split()
+    good = "organicfarm.net racetrack.org pillowshop.com museum.de farmnews.com parceltracking.net trackclub.org adultchoir.org addressbook.com antivirusnews.com farmersmarket.com villagehall.org bannershop.net mailarchive.org wellness.com windowfarm.com healthcare.org lightweight.net beaconhill.edu bettertrains.com".split()
+    out = {r["url"]: r["blocked"] for r in U.url_filter(pages(spark, [(i, f"http://{n}/", None) for i, n in enumerate(bad + good)])).collect()}
+    caught, wrong = [n for n in bad if out[f"http://{n}/"]], [n for n in good if out[f"http://{n}/"]]
+    assert len(caught) >= 15 and len(wrong) <= 2 and set(bad[4:8]) <= set(caught), (set(bad) - set(caught), wrong)
