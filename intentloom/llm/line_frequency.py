@@ -31,14 +31,6 @@ MIN_DOCS, MAX_SHARE, MIN_KEPT = 5, 0.01, 0.2
 BROADCAST_HASHES = 4_000_000
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), r"[ \t\r\f]+", " "))
 
@@ -57,7 +49,7 @@ def line_frequency_rules(documents: DataFrame) -> DataFrame:
     above = counts.join(totals, "host").filter(F.col("n") > F.greatest(F.lit(float(MIN_DOCS)), MAX_SHARE * F.col("docs")))
     furniture = scratch.materialise(above.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("removed")), "furniture")
     size = furniture.agg(F.sum(F.size("removed"))).first()[0] or 0
-    key, removed, kept = (fresh(documents, n) for n in ("host__", "removed__", "kept__"))
+    key, removed, kept = (scratch.fresh(documents, n) for n in ("host__", "removed__", "kept__"))
     table = furniture.select(F.col("host").alias(key), F.col("removed").alias(removed))
     joined = documents.withColumn(key, host).join(F.broadcast(table) if size <= BROADCAST_HASHES else table, key, "left")
     stays = F.filter(lines(text), lambda x: ~F.coalesce(F.array_contains(F.col(removed), F.xxhash64(normalised(x))), F.lit(False)))

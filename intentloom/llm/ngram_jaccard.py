@@ -1,34 +1,35 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection.
 
-Which pairs of documents have sets of word n-grams with a Jaccard similarity of ``threshold`` or more?
+Which documents have sets of word n-grams with a Jaccard similarity of ``threshold`` or more?
 
 1. *Profile.* One scan hashes each document's n-grams into a sorted set, and counts documents by gram
    in a hashed table of fixed size (so what is broadcast does not grow with the data).
 2. *Keys.* Two sets within the threshold share ``SHARED`` grams (or all that they need to share, if fewer) among the
    s - ceil(t s) + ``SHARED`` rarest of each, in the common order (count, hash) (extended prefix filter, exact).
    Each of these rare grams is a key, by 32 of its bits; what these bits confuse only adds candidates.
-3. *Candidates.* Keys travel packed, a row for each bucket of keys with arrays of thousands; in a
-   bucket they are sorted by (key, size), and a set meets those of its key until their size leaves its
-   band [t s, s / t]. A meeting counts only where ``SHARED`` - 1 earlier grams and all later ones would be enough
-   overlap, which holds at the first ``SHARED`` common grams of each pair within the threshold; pairs with fewer
-   meetings than these are no candidates. Near copies share hundreds of keys: each set also carries ``TAGS`` tags, each the least of its
-   keys in a hashed order; two sets that agree in a tag both have that key, so they meet there
-   only, with full weight. No pair within the threshold is lost.
-4. *Tiles.* Candidate pairs are grouped by (cluster label, size band of the larger set, block), so the
-   sets of a tile are sent to it once, and not once for each pair. In a tile, the parity bitmaps of
-   two sets differ in no more bits than the sets differ in grams, so
+3. *Labels.* Sets that agree in one of ``TAGS`` tags (the least of their keys in as many hashed orders) and whose sketches look
+   alike are given one label. A label is only a guess at who belongs together: pairs of one label are all compared
+   in tiles (5), pairs of two labels are found by their keys (4), so none is lost whatever the labels.
+4. *Candidates.* Keys travel packed, a row for each bucket of keys with arrays of thousands; in a bucket those of one
+   label only are dropped, and sets of different labels (or without one) meet if their sizes are within the band [t s, s / t]. A meeting
+   counts only where ``SHARED`` - 1 earlier grams and all later ones would be enough overlap, which holds at the first ``SHARED`` common
+   grams of each pair within the threshold; pairs with fewer meetings than these are no candidates. A key that more than ``HOT`` documents may
+   have is split: its sets go in blocks, and each pair of blocks is a group of its own.
+5. *Tiles.* The sets of a label are split into size bands, a band into blocks of bounded number and size; a tile is two
+   blocks of the same or neighbouring bands. Candidates of different labels are put into tiles by cluster, band and block. In a tile, the
+   parity bitmaps of two sets differ in no more bits than the sets differ in grams, so
    (|A| + |B| - popcount(a ^ b)) / 2 bounds the overlap from above; pairs that pass are
-   intersected exactly as sorted arrays.
+   intersected exactly, as sorted arrays. A tile gives a row for each of its sets: how many documents it is linked with
+   there, and the least set that it is connected with. Pairs leave no tile, so what travels grows with the sets.
 
-Documents with the same set are one set in all of this; the result links each of them to the one
-with the smallest id (similarity 1), and only that one with its similar sets. A thousand
-copies thus give a thousand rows and not half a million; all pairs follow from these.
-No partner or candidate is capped.
+Result: (doc_id, class_id, n_links), a row for each document that is linked with another one. n_links: with how many
+documents it is within the threshold, copies of the same set included; class_id: the least doc_id among those that it is
+connected with, over any number of links. No partner, candidate or class is capped.
 
-Defined results: a null text counts as empty; a text without words has no pairs; one of fewer than n
-words has its whole word sequence as its only gram; rows without doc_id are left out; rows that
-share a doc_id are alternatives, of which the best similarity counts, and never pair with
-themselves; other columns are ignored, whatever their names; an empty table gives no rows.
+Defined results: a null text counts as empty; a text without words has no links; one of fewer than n
+words has its whole word sequence as its only gram; rows without doc_id are left out (``keep_one`` has them); rows with the same doc_id
+and the same set are one document; rows that share a doc_id but have different sets are a document each, with a row
+each; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,25 +39,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, text as T
+from .minimisers import pack, runs, unpack
 
 N = 2
 THRESHOLD = 0.6
 TABLE_BITS = 20
 SIGNATURE_BITS = 2048
-TAGS, SHARED = 2, 4
-#: keys in a packed batch
-FLUSH = 1 << 20
-#: bits of the table of the ids that have a candidate: 2 MB
+TAGS, SHARED, SKETCH, ALIKE = 4, 4, 32, 0.5
+#: documents that may have a key, and multiples of the mean over the table, beyond which the key is split
+HOT, HOT_MEANS = 1 << 16, 32
+#: keys in a packed batch; pairs looked at at once
+FLUSH, _PAIRS = 1 << 20, 1 << 20
+#: sets and grams in a block of a label
+BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
+#: candidate pairs in a tile before it is cut into blocks
+TILE_PAIRS = 50_000
+#: bits of the table of the ids that are looked for: 2 MB
 SLOT_BITS = 24
 _SLOT_CHUNK = 18
 _SALTS = (T.mix(np.arange(1, TAGS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-#: pairs in a tile before it is cut into blocks
-TILE_PAIRS = 50_000
 _CHUNK = 1 << 16
+_TABLE = (1 << TABLE_BITS) - 1
 
 
 def sets(col: pa.Array, n: int) -> list[np.ndarray]:
@@ -88,21 +95,27 @@ def needed(size: int, threshold: float) -> int:
     return math.ceil(threshold * size - 1e-9)
 
 
-_PROFILE = "kind int, id bigint, set_hash bigint, size bigint, counts binary"
+def key_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(32)).astype(np.uint32)
+
+
+_PROFILE = "kind int, key bigint, doc_id bigint, set_hash bigint, size bigint, counts binary"
 
 
 def _profile(n: int):
+    names = [c.split()[0] for c in _PROFILE.split(", ")]
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << TABLE_BITS, np.uint32)
         for batch in T.batches(rows):
             found = sets(batch.column("text"), n)
             sizes = np.array([len(s) for s in found], np.int64)
-            table += np.bincount(np.concatenate(found).astype(np.int64) & ((1 << TABLE_BITS) - 1), minlength=1 << TABLE_BITS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), batch.column("doc_id"), pa.array([set_hash(s) for s in found], pa.int64()), pa.array(sizes), pa.nulls(len(found), pa.binary())], ["kind", "id", "set_hash", "size", "counts"])
+            table += np.bincount(key_of(np.concatenate(found)) & np.uint32(_TABLE), minlength=1 << TABLE_BITS).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32)), batch.column("key"), batch.column("doc_id"), pa.array([set_hash(s) for s in found], pa.int64()), pa.array(sizes), pa.nulls(len(found), pa.binary())], names)
         if table.any():
             chunks = [table[i : i + _CHUNK].tobytes() for i in range(0, len(table), _CHUNK)]
             k = len(chunks)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(np.arange(k)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(chunks, pa.binary())], ["kind", "id", "set_hash", "size", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(np.arange(k)), *(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array(chunks, pa.binary())], names)
 
     return run
 
@@ -111,83 +124,173 @@ def _add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum by chunk; a task holds one array for each of its chunks."""
     total: dict[int, np.ndarray] = {}
     for batch in rows:
-        for i, x in zip(batch.column("id").to_pylist(), batch.column("counts")):
+        for i, x in zip(batch.column("key").to_pylist(), batch.column("counts")):
             part = np.frombuffer(x.as_buffer(), np.uint32)
             total[i] = np.add(total[i], part, out=total[i]) if i in total else part.copy()
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["id", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["key", "counts"])
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A byte of the least hash in each of ``SKETCH`` equal ranges of hashes; 0: none is in it."""
+    shift = np.uint64(64 - SKETCH.bit_length() + 1)
+    bins = np.arange(SKETCH, dtype=np.uint64)
+    at = np.minimum(np.searchsorted(s, bins << shift), len(s) - 1)
+    return np.where(s[at] >> shift == bins, (s[at] >> np.uint64(40)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a == b) & (a > 0)).sum(axis=1) >= ALIKE * ((a > 0) | (b > 0)).sum(axis=1)
 
 
-def _keys(n: int, threshold: float, buckets: int, table):
+def link(tag: np.ndarray, owner: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between sets of one tag that look alike, each with the tag's first or with its neighbour; which ones stand for the tag further on."""
+    order = np.lexsort((owner, tag))
+    tag, own, seen = tag[order], owner[order], look[order]
+    begin, end = runs(tag)
+    first = np.repeat(begin, end - begin)
+    at = np.flatnonzero(first != np.arange(len(tag)))
+    with_first, with_last = _alike(seen[at], seen[first[at]]), _alike(seen[at], seen[at - 1])
+    to = np.where(with_first, first[at], at - 1)
+    linked = (with_first | with_last) & (own[at] != own[to])
+    alone = np.ones(len(tag), bool)
+    alone[at[with_first | with_last]] = False
+    return own[at[linked]], own[to[linked]], order[alone]
+
+
+_SETS = "kind int, owner bigint, size int, keys binary, bucket int, a binary, b binary, c binary"
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _encoded(n: int, threshold: float, buckets: int, table):
+    """Distinct sets with their keys (kind 0), entries of tags in packed buckets (1), links of tags within the task (2)."""
+    schema = pa.schema([(c.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in _SETS.split(", ")])
+
+    def rows_of(**columns) -> pa.RecordBatch:
+        k = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(k, f.type) for f in schema], schema=schema)
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(table.value, np.uint32)
         seen: set[int] = set()
-        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
         n_held = 0
 
-        def flush() -> pa.RecordBatch:
-            keys, n_keys = np.concatenate([h[2] for h in held]), [len(h[2]) for h in held]
-            place = np.concatenate([np.arange(n, dtype=np.int32) for n in n_keys])
-            owner, size = (np.repeat(np.array([h[i] for h in held], kind), n_keys) for i, kind in ((0, np.int64), (1, np.int32)))
-            tags = np.repeat(np.stack([h[3] for h in held]), n_keys, axis=0)
-            bucket = (keys % np.uint32(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = np.append(cut[1:], len(bucket))
-            pack = lambda x: pa.array([x[order[a:b]].tobytes() for a, b in zip(cut, ends)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pack(owner), pack(size), pack(keys), pack(place), pack(tags)], ["bucket", "owner", "size", "own", "place", "tags"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            owner = np.array([h[0] for h in held], np.int64)
+            yield rows_of(kind=pa.array(np.zeros(len(held), np.int32)), owner=pa.array(owner), size=pa.array([h[1] for h in held]), keys=pa.array([h[2].tobytes() for h in held], pa.binary()))
+            tag = (np.stack([h[3] for h in held]).astype(np.uint64) << np.uint64(3) | np.arange(TAGS, dtype=np.uint64)).ravel()
+            owners, looks = np.repeat(owner, TAGS), np.repeat(np.stack([h[4] for h in held]), TAGS, axis=0)
+            u, v, alone = link(tag, owners, looks)
+            if len(u):
+                yield rows_of(kind=pa.array([2]), a=pa.array([u.tobytes()], pa.binary()), b=pa.array([v.tobytes()], pa.binary()))
+            packed = pack((T.mix(tag[alone]) % np.uint64(buckets)).astype(np.int64), {"a": tag[alone], "b": owners[alone], "c": looks[alone]})
+            yield rows_of(kind=pa.array(np.ones(packed.num_rows, np.int32)), **{c: packed.column(c) for c in ("bucket", "a", "b", "c")})
 
         for batch in T.batches(rows):
             for s in sets(batch.column("text"), n):
                 if not len(s) or (h := set_hash(s)) in seen:
                     continue
                 seen.add(h)
-                rarity = counts[s & np.uint64((1 << TABLE_BITS) - 1)]
-                rare = s[np.argsort(rarity, kind="stable")[: len(s) - needed(len(s), threshold) + SHARED]]
-                keys = (rare >> np.uint64(32)).astype(np.uint32)
-                held.append((h, len(s), keys, keys[(keys[:, None] * _SALTS).argmin(axis=0)]))
+                rarity = counts[key_of(s) & np.uint32(_TABLE)]
+                keys = key_of(s[np.argsort(rarity, kind="stable")[: len(s) - needed(len(s), threshold) + SHARED]])
+                held.append((h, len(s), keys, keys[(keys[:, None] * _SALTS).argmin(axis=0)], sketch(s)))
                 n_held += len(keys)
                 if n_held >= FLUSH:
-                    yield flush()
+                    yield from flush()
                     held, n_held = [], 0
             if len(seen) > 1 << 20:
                 seen.clear()
         if held:
-            yield flush()
+            yield from flush()
+
+    return run
+
+
+def _links_of(t: pa.Table) -> pa.Table:
+    u, v, _ = link(unpack(t, "a", np.uint64), unpack(t, "b", np.int64), unpack(t, "c", np.uint8).reshape(-1, SKETCH))
+    return pa.table([pa.array(u), pa.array(v)], schema=_LINKS)
+
+
+def _links_in(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for a, b in zip(batch.column("a"), batch.column("b")):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (a, b)], schema=_LINKS)
+
+
+def _spread(buckets: int, table):
+    """(bucket, owner, label, size, key, place, side), packed: each set's keys to their buckets, split keys to all pairs of blocks that the set is in."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.frombuffer(table.value, np.uint32)
+        hot = max(HOT, HOT_MEANS * int(counts.mean()))
+        for batch in T.batches(rows, "keys", 4 * FLUSH):
+            raw, offsets = T.string_bytes(batch.column("keys"))
+            key, ptr = np.frombuffer(raw.tobytes(), np.uint32), offsets // 4
+            n = np.diff(ptr)
+            place = (np.arange(len(key)) - np.repeat(ptr[:-1], n)).astype(np.int32)
+            owner, label, size = (np.repeat(batch.column(c).to_numpy().astype(kind), n) for c, kind in (("owner", np.int64), ("label", np.uint32), ("size", np.int32)))
+            blocks = -(-counts[key & np.uint32(_TABLE)].astype(np.int64) // hot)
+            times = np.maximum(blocks, 1)
+            at = np.repeat(np.arange(len(key)), times)
+            key, place, owner, label, size, blocks = (x[at] for x in (key, place, owner, label, size, blocks))
+            other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            own = (T.mix(owner.view(np.uint64)) % np.maximum(blocks, 1).astype(np.uint64)).astype(np.int64)
+            low, high = np.minimum(own, other), np.maximum(own, other)
+            side = np.where(own == other, 2, np.where(own < other, 0, 1)).astype(np.uint8)
+            split = T.mix(T.mix(key.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)) + high.astype(np.uint64))
+            key = np.where(blocks > 1, key_of(split), key).astype(np.uint32)
+            yield pack((key % np.uint32(buckets)).astype(np.int64), {"owner": owner, "label": label, "size": size, "own": key, "place": place, "side": side})
 
     return run
 
 
-def _candidates(threshold: float):
+def _ranges(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) for each i and each j from begin[i] to end[i], in pieces of about ``_PAIRS``."""
+    n = np.maximum(end - begin, 0)
+    total, at = np.cumsum(n), 0
+    while at < len(n):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + _PAIRS, "right")))
+        i = np.repeat(np.arange(at, to), n[at:to])
+        yield i, begin[i] + np.arange(len(i)) - np.repeat(total[at:to] - n[at:to] - done, n[at:to])
+        at = to
+
+
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("larger", pa.int64()), ("need", pa.int64()), ("weight", pa.int64())])
+
+
+def _meet(threshold: float):
     def run(t: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)])
-        owner, size, own, place, tags = join("owner", np.int64), join("size", np.int32), join("own", np.uint32), join("place", np.int32), join("tags", np.uint32).reshape(-1, TAGS)
-        order = np.lexsort((place, owner, size, own))
-        owner, size, own, place, tags = (x[order] for x in (owner, size, own, place, tags))
-        fresh = np.ones(len(own), bool)
-        fresh[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
-        owner, size, own, place, tags = (x[fresh] for x in (owner, size, own, place, tags))
-        left, right, needs, weights, active, step = [], [], [], [], np.arange(len(own)), 1
-        while len(active):
-            active = active[active + step < len(own)]
-            other = active + step
-            near = (own[active] == own[other]) & (size[active] >= threshold * size[other] - 1e-9)
-            active, other = active[near], other[near]
-            least = np.ceil((size[active].astype(np.int64) + size[other]) * threshold / (1 + threshold) - 1e-9).astype(np.int64)
-            take = SHARED - 1 + np.minimum(size[active] - place[active], size[other] - place[other]) >= least
-            need = np.minimum(SHARED, least)
-            weight = np.ones(len(active), np.int64)
-            for k in reversed(range(TAGS)):
-                same = tags[active, k] == tags[other, k]
-                take = np.where(same, tags[active, k] == own[active], take)
-                weight = np.where(same, need, weight)
-            take &= owner[active] != owner[other]
-            for x, y in ((left, active), (right, other), (needs, need), (weights, weight)):
-                x.append(y[take])
-            step += 1
-        a, b, need, weight = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, needs, weights))
-        return pa.table({"a": np.minimum(owner[a], owner[b]), "b": np.maximum(owner[a], owner[b]), "larger": size[b].astype(np.int64), "need": need, "weight": weight})
+        own, label, owner = unpack(t, "own", np.uint32), unpack(t, "label", np.uint32), unpack(t, "owner", np.int64)
+        size, place, side = unpack(t, "size", np.int32).astype(np.int64), unpack(t, "place", np.int32), unpack(t, "side", np.uint8)
+        order = np.lexsort((size, label, own))
+        own, label, owner, size, place, side = (x[order] for x in (own, label, owner, size, place, side))
+        both = own.astype(np.uint64) << np.uint64(32) | label
+        begin, end = runs(own)
+        group_end = np.repeat(end, end - begin)
+        begin, end = runs(both)
+        run_end, number = np.repeat(end, end - begin), np.repeat(np.arange(len(begin), dtype=np.int64), end - begin)
+        # sets without label meet each other as far as the size band goes
+        i = np.flatnonzero(label == 0)
+        band = np.searchsorted(number << 32 | size, number[i] << 32 | (size[i] / threshold + 1e-6).astype(np.int64), "right")
+        found = []
+        for at, first, last in ((i, i + 1, band), (np.arange(len(own)), run_end, group_end)):
+            for x, y in _ranges(first, last):
+                x = at[x]
+                near = ((side[x] == 2) | (side[x] != side[y])) & (owner[x] != owner[y])
+                near &= np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-9
+                x, y = x[near], y[near]
+                least = np.ceil((size[x] + size[y]) * threshold / (1 + threshold) - 1e-9).astype(np.int64)
+                take = SHARED - 1 + np.minimum(size[x] - place[x], size[y] - place[y]) >= least
+                x, y, need = x[take], y[take], np.minimum(SHARED, least[take])
+                if len(x):
+                    found.append(np.stack([np.minimum(owner[x], owner[y]), np.maximum(owner[x], owner[y]), np.maximum(size[x], size[y]), need]))
+        a, b, larger, need = np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+        order = np.lexsort((b, a))
+        a, b, larger, need = (v[order] for v in (a, b, larger, need))
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        return pa.table([pa.array(v) for v in (a[at], b[at], larger[at], need[at], np.diff(np.append(at, len(a))))], schema=_MET)
 
     return run
 
@@ -203,28 +306,37 @@ def _slot(ids: np.ndarray) -> np.ndarray:
     return (T.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _only(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id may be among ``ids``: a table of fixed size in place of a shuffle of all texts; the join that follows is exact."""
+def _only(rows_: DataFrame, keys: DataFrame, key: str, inside: bool = True) -> DataFrame:
+    """Those of ``rows_`` whose key may be among ``keys``, or else those whose key certainly isn't: a table of fixed size in place of a shuffle of all texts; the join that follows is exact."""
 
-    def to_slots(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            slot = _slot(batch.column("doc_id").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(slot >> _SLOT_CHUNK), pa.array(slot)], ["chunk", "slot"])
+    return _filtered(rows_, _slot_table(keys, key), key, inside)
 
-    chunks = ids.select("doc_id").mapInArrow(to_slots, "chunk bigint, slot bigint").groupBy("chunk").applyInArrow(_slots, "chunk bigint, bits binary").collect()
+
+def _to_slots(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        slot = np.unique(_slot(batch.column(0).to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array(slot >> _SLOT_CHUNK), pa.array(slot)], ["chunk", "slot"])
+
+
+def _slot_table(keys: DataFrame, key: str):
+    slots = keys.select(key).mapInArrow(_to_slots, "chunk bigint, slot bigint")
+    chunks = slots.groupBy("chunk").applyInArrow(_slots, "chunk bigint, bits binary").collect()
     size = 1 << (_SLOT_CHUNK - 3)
     table = bytearray(1 << (SLOT_BITS - 3))
     for r in chunks:
         table[r["chunk"] * size : (r["chunk"] + 1) * size] = r["bits"]
-    shared = documents.sparkSession.sparkContext.broadcast(bytes(table))
+    return slots.sparkSession.sparkContext.broadcast(bytes(table))
+
 
+def _filtered(rows_: DataFrame, shared, key: str, inside: bool) -> DataFrame:
     def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
         for batch in rows:
-            slot = _slot(batch.column("doc_id").to_numpy())
-            yield batch.filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+            slot = _slot(batch.column(key).to_numpy())
+            there = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+            yield batch.filter(pa.array(there == inside))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return rows_.mapInArrow(keep, rows_.schema)
 
 
 def _signature(s: np.ndarray) -> np.ndarray:
@@ -233,84 +345,203 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def _verify(n: int, threshold: float):
-    schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
-
-    def tile(members: dict[int, tuple[int, np.ndarray]], pairs: list[np.ndarray]) -> pa.RecordBatch:
-        ab = np.concatenate(pairs)
-        index = {h: i for i, h in enumerate(members)}
-        ids = np.array([d for d, _ in members.values()], np.int64)
-        arrays = [s for _, s in members.values()]
-        sizes = np.array([len(s) for s in arrays], np.int64)
-        signs = np.stack([_signature(s) for s in arrays])
-        a, b = (np.array([index[h] for h in x.tolist()], np.int64) for x in (ab[:, 0], ab[:, 1]))
-        keep_a, keep_b, overlap = [], [], []
-        for i in range(0, len(a), 8192):
-            x, y = a[i : i + 8192], b[i : i + 8192]
-            both = sizes[x] + sizes[y]
-            most = (both - np.bitwise_count(signs[x] ^ signs[y]).sum(axis=1, dtype=np.int64)) // 2
-            least = np.ceil(both * threshold / (1 + threshold) - 1e-9)
-            for u, v, need in zip(*(z[most >= least] for z in (x, y, least))):
-                merged = np.concatenate([arrays[u], arrays[v]])
-                merged.sort(kind="stable")
-                if (o := int((merged[1:] == merged[:-1]).sum())) >= need:
-                    keep_a.append(u), keep_b.append(v), overlap.append(o)
-        u, v, o = (np.array(z, np.int64) for z in (keep_a, keep_b, overlap))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[u], ids[v])), pa.array(np.maximum(ids[u], ids[v])), pa.array(o / (sizes[u] + sizes[v] - o))], schema=schema)
+class Tile:
+    """The sets of one tile: which of them are within the threshold of which."""
+
+    def __init__(self, members: dict[int, tuple[int, int, np.ndarray]], threshold: float):
+        self.owner = np.array(list(members), np.int64)
+        self.copies = np.array([c for c, _, _ in members.values()], np.int64)
+        self.side = np.array([s for _, s, _ in members.values()])
+        self.sizes = np.array([len(s) for _, _, s in members.values()], np.int64)
+        self.ptr = np.append(0, np.cumsum(self.sizes))
+        arrays = [s for _, _, s in members.values()]
+        self.signs = np.stack([_signature(s) for s in arrays])
+        # each gram as its place among the tile's grams, so a set stays a sorted array
+        grams, self.rank = np.unique(np.concatenate(arrays), return_inverse=True)
+        self.mark = np.zeros(len(grams), bool)
+        self.threshold = threshold
+        self.links, self.root = np.zeros(len(arrays), np.int64), np.arange(len(arrays))
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Link the pairs (x, y), of which x is sorted, that are within the threshold."""
+        both = self.sizes[x] + self.sizes[y]
+        differ = np.concatenate([np.bitwise_count(self.signs[x[k : k + 8192]] ^ self.signs[y[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 8192)]) if len(x) else both
+        most = (both - differ) // 2
+        least = np.ceil(both * self.threshold / (1 + self.threshold) - 1e-9)
+        may = most >= least
+        x, y, least = x[may], y[may], least[may]
+        for a, b in zip(*runs(x)):
+            i, others = int(x[a]), y[a:b]
+            own = self.rank[self.ptr[i] : self.ptr[i + 1]]
+            self.mark[own] = True
+            n = self.sizes[others]
+            first = np.cumsum(n) - n
+            at = np.repeat(self.ptr[others] - first, n) + np.arange(n.sum())
+            overlap = np.add.reduceat(self.mark[self.rank[at]], first, dtype=np.int64)
+            self.mark[own] = False
+            near = others[overlap >= least[a:b]]
+            self.links[i] += self.copies[near].sum()
+            self.links[near] += self.copies[i]
+            for j in near.tolist():
+                p, q = self.find(i), self.find(j)
+                if p != q:
+                    self.root[max(p, q)] = min(p, q)
+
+    def compare_all(self) -> None:
+        order = np.lexsort((self.sizes, self.side))
+        size, side = self.sizes[order], self.side[order]
+        i = np.flatnonzero(side != 1)
+        other = np.where(side == 0, np.searchsorted(side, 1), np.arange(len(side)) + 1)[i]
+        end = np.searchsorted(side << 32 | size, np.where(side == 0, 1, side)[i] << 32 | (size[i] / self.threshold + 1e-6).astype(np.int64), "right")
+        begin = np.where(side[i] == 0, np.searchsorted(side << 32 | size, 1 << 32 | np.ceil(size[i] * self.threshold - 1e-6).astype(np.int64)), other)
+        for x, y in _ranges(begin, end):
+            self.compare(order[i[x]], order[y])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.links)
+        least: dict[int, int] = {}
+        roots = [self.find(i) for i in at.tolist()]
+        for i, r in zip(at.tolist(), roots):
+            least[r] = min(least.get(r, self.owner[i]), self.owner[i])
+        return self.owner[at], self.links[at], np.array([least[r] for r in roots], np.int64)
+
+
+_LINKED = pa.schema([("owner", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
+#: a tile's side for sets of given pairs
+GIVEN = 3
+
 
+def _verify(n: int, threshold: float):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members, pairs = None, {}, []
-        for batch in rows:
-            tiles, kinds = batch.column("tile").to_numpy(), batch.column("kind").to_numpy()
-            a, b = batch.column("a").to_numpy(), batch.column("b").fill_null(0).to_numpy()
-            found = iter([])
-            cut = np.flatnonzero(np.concatenate([[True], (tiles[1:] != tiles[:-1]) | (kinds[1:] != kinds[:-1])]))
-            for i, j in zip(cut, np.append(cut[1:], len(tiles))):
-                if tiles[i] != now:
-                    if pairs:
-                        yield tile(members, pairs)
-                    now, members, pairs = tiles[i], {}, []
-                if kinds[i]:
-                    pairs.append(np.stack([a[i:j], b[i:j]], axis=1))
-                    continue
-                for part in T.batches(iter([batch.slice(i, j - i)])):
-                    found = sets(part.column("text"), n)
-                    for h, d, s in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), found):
-                        if set_hash(s) == h:  # else another row with this doc_id
-                            members[h] = (d, s)
-        if pairs:
-            yield tile(members, pairs)
+        now, members, pairs, out = None, {}, [], []
+
+        def done() -> None:
+            if len(members) > 1:
+                tile = Tile(members, threshold)
+                if pairs:
+                    index = {h: i for i, h in enumerate(members)}
+                    ab = np.array([(index[a], index[b]) for a, b in pairs if a in index and b in index], np.int64).reshape(-1, 2)
+                    ab = ab[np.argsort(ab[:, 0], kind="stable")]
+                    for k in range(0, len(ab), _PAIRS):
+                        tile.compare(ab[k : k + _PAIRS, 0], ab[k : k + _PAIRS, 1])
+                else:
+                    tile.compare_all()
+                out.append(tile.rows())
+
+        def taken() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], schema=_LINKED)
+                out.clear()
+
+        for batch in T.batches(rows):
+            found = sets(batch.column("text"), n)
+            for t, kind, a, b, side, s in zip(*(batch.column(c).to_pylist() for c in ("tile", "kind", "a", "b", "side")), found):
+                if t != now:
+                    done()
+                    now, members, pairs = t, {}, []
+                if kind:
+                    pairs.append((a, b))
+                elif set_hash(s) == a:
+                    members[a] = (b, side, s)
+            yield from taken()
+        done()
+        yield from taken()
 
     return run
 
 
-def ngram_jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, jaccard) with doc_a < doc_b; see the module's docstring for what rows there are."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    profile = scratch.materialise(docs.mapInArrow(_profile(n), _PROFILE), "profile")
-    owners = profile.filter("kind = 0 AND size > 0").select("set_hash", F.col("id").alias("doc_id")).distinct()
-    chunks = {r["id"]: r["counts"] for r in profile.filter("kind = 1").select("id", "counts").repartition("id").mapInArrow(_add, "id bigint, counts binary").collect()}
-    table = spark.sparkContext.broadcast(b"".join(chunks.get(i, bytes(4 * _CHUNK)) for i in range((1 << TABLE_BITS) // _CHUNK)))
-    keys = docs.mapInArrow(_keys(n, threshold, 4 * scratch.shuffle_partitions(spark), table), "bucket int, owner binary, size binary, own binary, place binary, tags binary")
-    met = keys.groupBy("bucket").applyInArrow(_candidates(threshold), "a bigint, b bigint, larger bigint, need bigint, weight bigint")
-    met = met.groupBy("a", "b").agg(F.max("larger").alias("larger"), F.max("need").alias("need"), F.sum("weight").alias("weight"))
-    candidates = scratch.materialise(met.filter("weight >= need").select("a", "b", "larger"), "candidates")
+def _row_key() -> Column:
+    """The same for rows with the same doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
+def rows_with_keys(documents: DataFrame) -> DataFrame:
+    return documents.select(_row_key().alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _label_tiles(labelled: DataFrame, threshold: float) -> DataFrame:
+    """(tile, side, set_hash) of (owner, label, size): the tiles that each set is in."""
+    # a little wider than the threshold needs, so that rounding puts no pair two bands apart
+    band = F.floor(F.log("size") / (1.001 * math.log(1 / min(threshold, 0.99))))
+    sized = labelled.withColumn("band", band)
+    n = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_GRAMS))
+    blocks = sized.groupBy("label", "band").agg(n.alias("n"))
+    near = [blocks.select("label", (F.col("band") + by).alias("band"), F.col("n").alias(name)) for by, name in ((1, "before"), (-1, "after"))]
+    for x in near:
+        blocks = blocks.join(x, ["label", "band"], "left")
+    own = sized.join(blocks, ["label", "band"]).withColumn("i", F.pmod(F.xxhash64("owner"), F.col("n")))
+
+    def tiles(n: Column, low: Column, high: Column, of, side) -> Column:
+        """One for each of n blocks j."""
+        j = F.sequence(F.lit(0).cast("bigint"), F.coalesce(n, F.lit(0)).cast("bigint"))
+        return F.transform(F.filter(j, lambda j: j < F.coalesce(n, F.lit(0))), lambda j: F.struct(F.xxhash64(F.lit("label"), "label", low, high, *of(j)).alias("tile"), side(j).cast("int").alias("side")))
+
+    i, at = F.col("i"), F.col("band")
+    same = tiles(F.col("n"), at, at, lambda j: (F.least(i, j), F.greatest(i, j)), lambda j: F.when(i == j, 2).when(i < j, 0).otherwise(1))
+    up = tiles(F.col("after"), at, at + 1, lambda j: (i, j), lambda j: F.lit(0))
+    down = tiles(F.col("before"), at - 1, at, lambda j: (j, i), lambda j: F.lit(1))
+    return own.select(F.col("owner").alias("set_hash"), F.explode(F.concat(same, up, down)).alias("t")).select("t.tile", "t.side", "set_hash")
+
+
+def _pair_tiles(candidates: DataFrame, threshold: float) -> DataFrame:
+    """(tile, a, b): candidates by cluster, size band of the larger set and block."""
     label = candidates.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("label"))
-    band = F.floor(F.log(F.col("larger")) / math.log(1 / min(threshold, 0.99)))
+    band = F.floor(F.log("larger") / math.log(1 / min(threshold, 0.99)))
     tiled = candidates.join(label, "a", "left").select("a", "b", F.coalesce("label", "a").alias("label"), band.alias("band"))
     many = tiled.groupBy("label", "band").count().filter(F.col("count") > TILE_PAIRS).select("label", "band", F.ceil(F.sqrt(F.col("count") / TILE_PAIRS)).alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
-    tiled = tiled.join(many, ["label", "band"], "left").select(F.xxhash64("label", "band", F.pmod(F.xxhash64("a"), blocks), F.pmod(F.xxhash64("b"), blocks)).alias("tile"), "a", "b")
-    tiled = scratch.materialise(tiled, "tiles")
-    members = tiled.select("tile", F.explode(F.array("a", "b")).alias("set_hash")).distinct()
-    first = owners.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
-    sent = members.join(first, "set_hash")
-    sent = sent.join(_only(docs, sent), "doc_id").select("tile", F.lit(0).alias("kind"), F.col("set_hash").alias("a"), F.col("doc_id").alias("b"), "text")
-    pairs = tiled.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text"))
-    found = sent.unionByName(pairs).repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_verify(n, threshold), "doc_a bigint, doc_b bigint, jaccard double")
-    same = owners.join(first.withColumnRenamed("doc_id", "doc_a"), "set_hash").select("doc_a", F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return found.unionByName(same).filter("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    return tiled.join(many, ["label", "band"], "left").select(F.xxhash64(F.lit("pair"), "label", "band", F.pmod(F.xxhash64("a"), blocks), F.pmod(F.xxhash64("b"), blocks)).alias("tile"), "a", "b")
+
+
+def linked_sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of (key, doc_id, text): the profile (key, doc_id, set_hash, size), and (owner, links, least) of the sets in each tile."""
+    spark = docs.sparkSession
+    profile = scratch.materialise(docs.mapInArrow(_profile(n), _PROFILE), "profile")
+    chunks = {r["key"]: r["counts"] for r in profile.filter("kind = 1").select("key", "counts").repartition("key").mapInArrow(_add, "key bigint, counts binary").collect()}
+    table = spark.sparkContext.broadcast(b"".join(chunks.get(i, bytes(4 * _CHUNK)) for i in range((1 << TABLE_BITS) // _CHUNK)))
+    buckets = scratch.shuffle_partitions(spark)
+    encoded = scratch.materialise(docs.select("text").mapInArrow(_encoded(n, threshold, buckets, table), _SETS), "sets")
+    within = encoded.filter("kind = 2").select("a", "b").mapInArrow(_links_in, "u bigint, v bigint")
+    across = encoded.filter("kind = 1").select("bucket", "a", "b", "c").groupBy("bucket").applyInArrow(_links_of, "u bigint, v bigint")
+    label = F.when(F.col("label") == 0, 1).otherwise(F.col("label"))
+    labels = components(within.unionByName(across), "u", "v").select(F.col("doc_id").alias("owner"), F.pmod(F.xxhash64("group_id"), F.lit(1 << 32)).alias("label")).select("owner", label.alias("label"))
+    distinct = encoded.filter("kind = 0").select("owner", "size", "keys").dropDuplicates(["owner"]).join(labels, "owner", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    spread = distinct.mapInArrow(_spread(4 * buckets, table), "bucket int, owner binary, label binary, size binary, own binary, place binary, side binary")
+    met = spread.groupBy("bucket").applyInArrow(_meet(threshold), "a bigint, b bigint, larger bigint, need bigint, weight bigint")
+    met = met.groupBy("a", "b").agg(F.max("larger").alias("larger"), F.max("need").alias("need"), F.sum("weight").alias("weight"))
+    candidates = scratch.materialise(met.filter("weight >= need").select("a", "b", "larger"), "candidates")
+    pairs = scratch.materialise(_pair_tiles(candidates, threshold), "tiles")
+    given = pairs.select("tile", F.lit(GIVEN).alias("side"), F.explode(F.array("a", "b")).alias("set_hash")).distinct()
+    owners = profile.filter("kind = 0 AND size > 0").groupBy("key", "doc_id", "set_hash", "size").agg(F.count("*").alias("n_rows"))
+    known = owners.groupBy("doc_id", "set_hash", "size").agg(F.min("key").alias("key")).groupBy("set_hash", "size").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
+    members = _label_tiles(labels.join(known.select(F.col("set_hash").alias("owner"), "size"), "owner"), threshold).unionByName(given)
+    sent = scratch.materialise(members.join(known.select("set_hash", "key", "copies"), "set_hash"), "members")
+    text = _only(docs.select("key", "text"), sent, "key").dropDuplicates(["key"])
+    rows = sent.join(text, "key").select("tile", F.lit(0).alias("kind"), F.col("set_hash").alias("a"), F.col("copies").alias("b"), "side", "text")
+    rows = rows.unionByName(pairs.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(GIVEN).alias("side"), F.lit(None).cast("string").alias("text")))
+    found = rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_verify(n, threshold), "owner bigint, links bigint, least bigint")
+    found = scratch.materialise(found, "links")
+    scratch.discard(encoded, candidates, pairs, sent)
+    return owners, found
+
+
+def ngram_jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links); see the module's docstring."""
+    owners, linked = linked_sets(rows_with_keys(documents).filter("doc_id IS NOT NULL"), n, threshold)
+    docs = owners.select("doc_id", "set_hash").distinct()
+    copies = docs.groupBy("set_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    links = linked.groupBy(F.col("owner").alias("set_hash")).agg(F.sum("links").alias("links"))
+    groups = components(linked, "owner", "least").select(F.col("doc_id").alias("set_hash"), "group_id")
+    known = copies.join(links, "set_hash", "left").join(groups, "set_hash", "left").select("set_hash", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_id", "set_hash").alias("group_id")).filter("n_links > 0")
+    least = known.groupBy("group_id").agg(F.min("first").alias("class_id"))
+    return docs.join(known.join(least, "group_id"), "set_hash").select("doc_id", "class_id", "n_links")
 
 
 def components(pairs: DataFrame, left: str = "doc_a", right: str = "doc_b") -> DataFrame:
@@ -322,32 +553,52 @@ def components(pairs: DataFrame, left: str = "doc_a", right: str = "doc_b") -> D
     """
     edges = scratch.materialise(pairs.select(F.col(left).alias("u"), F.col(right).alias("v")).union(pairs.select(right, left)).distinct(), "edges")
     labels = scratch.materialise(edges.groupBy(F.col("u").alias("doc_id")).agg(F.least(F.col("u"), F.min("v")).alias("group_id")), "labels")
+    old = labels
     while True:
         near = edges.join(labels, edges["v"] == labels["doc_id"]).groupBy(F.col("u").alias("doc_id")).agg(F.min("group_id").alias("near"))
         step = labels.join(near, "doc_id").select("doc_id", F.least("group_id", "near").alias("jump"), "group_id")
         to = labels.select(F.col("doc_id").alias("jump"), F.col("group_id").alias("further"))
         step = scratch.materialise(step.join(to, "jump", "left").select("doc_id", F.least("jump", F.coalesce("further", "jump")).alias("group_id"), F.col("group_id").alias("was")), "labels")
-        labels = step.select("doc_id", "group_id")
+        scratch.discard(old)
+        labels, old = step.select("doc_id", "group_id"), step
         if not step.filter("group_id <> was").limit(1).count():
+            scratch.discard(edges)
             return labels
 
 
-def keep_one(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The documents but for those that are connected with one of a smaller id; rows without doc_id stay."""
-    dropped = components(pairs).filter("doc_id <> group_id").select(F.col("doc_id").alias("_dropped"))
-    return documents.join(dropped, documents["doc_id"] == dropped["_dropped"], "left_anti")
+def keep_one(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of each class: that of the smallest doc_id (rows without one come last), of several rows with that id the one whose key (a
+    hash of id and text) is least, of rows with the same id and text the least in the order of their columns. Rows without words stay."""
+    columns = documents.columns
+    key, goes, row = (scratch.fresh(documents, name) for name in ("key__", "goes__", "row__"))
+    owners, linked = linked_sets(rows_with_keys(documents), n, threshold)
+    groups = components(linked, "owner", "least").select(F.col("doc_id").alias("set_hash"), "group_id")
+    grouped = owners.join(groups, "set_hash", "left").select("key", "doc_id", "n_rows", F.coalesce("group_id", "set_hash").alias("group_id"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key")))
+    many = grouped.groupBy("group_id").agg(best.alias("best"), F.sum("n_rows").alias("n")).filter("n > 1").select("group_id", F.col("best.key").alias("best"))
+    marked = grouped.join(many, "group_id").filter("key <> best OR n_rows > 1").select(F.col("key").alias(key), (F.col("key") != F.col("best")).alias(goes))
+    marked = scratch.materialise(marked, "marked")
+    keyed = documents.withColumn(key, _row_key())
+    table = _slot_table(marked, key)
+    maybe = _filtered(keyed, table, key, True).join(marked, key, "left")
+    once = maybe.filter(~F.col(goes)).groupBy(key).agg(F.min(F.struct(*columns)).alias(row)).select(f"{row}.*")
+    return _filtered(keyed, table, key, False).select(columns).unionByName(maybe.filter(F.col(goes).isNull()).select(columns)).unionByName(once)
 
 
 SQL = f"""
-WITH w AS (SELECT doc_id, {T.WORDS_SQL} AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, {T.WORDS_SQL} AS w FROM documents WHERE doc_id IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
       ELSE list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N} - 1], ' ')) END)) AS s FROM w WHERE len(w) > 0),
-u AS (SELECT min(doc_id) AS doc_id, s FROM g GROUP BY s),
-e AS (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM u),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) / (a.n + b.n - count(*)) AS j
-      FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id AND least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n) - 1e-9
-      GROUP BY a.doc_id, b.doc_id, a.n, b.n),
-c AS (SELECT doc_a, doc_b, j FROM p WHERE j >= {THRESHOLD} - 1e-9
-      UNION ALL SELECT u.doc_id, g.doc_id, 1.0 FROM g JOIN u USING (s) WHERE u.doc_id < g.doc_id)
-SELECT doc_a, doc_b, round(max(j), 6) AS jaccard FROM c GROUP BY doc_a, doc_b
+u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min(doc_id), s) AS k, s, min(doc_id) AS least, count(*) AS copies FROM g GROUP BY s),
+e AS (SELECT k, copies, len(s) AS n, unnest(s) AS gram FROM u),
+p AS (SELECT a.k AS x, b.k AS y, any_value(a.copies) AS cx, any_value(b.copies) AS cy
+      FROM e a JOIN e b ON a.gram = b.gram AND a.k < b.k AND least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n) - 1e-9
+      GROUP BY a.k, b.k, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= {THRESHOLD} - 1e-9),
+q AS MATERIALIZED (SELECT x, y, cy AS c FROM p UNION ALL SELECT y, x, cx FROM p),
+r AS (SELECT k AS x, k AS root FROM u UNION SELECT q.y, r.root FROM r JOIN q ON q.x = r.x AND r.root < q.y),
+c AS (SELECT x, min(root) AS root FROM r GROUP BY x),
+l AS (SELECT x, sum(c) AS n FROM q GROUP BY x),
+d AS (SELECT u.k, u.s, u.least, c.root, u.copies - 1 + coalesce(l.n, 0) AS n_links FROM u JOIN c ON u.k = c.x LEFT JOIN l ON u.k = l.x),
+m AS (SELECT root, min(least) AS class_id FROM d GROUP BY root)
+SELECT g.doc_id, m.class_id, CAST(d.n_links AS BIGINT) AS n_links FROM g JOIN d USING (s) JOIN m USING (root) WHERE d.n_links > 0
 """

@@ -35,15 +35,116 @@ def test_line_frequency_rejects_depleted(spark):
     assert 201 not in out and 200 not in out and "menu home" not in out[100]
 
 
-def test_components_chain_and_keep_one(spark):
+def test_components_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300)], "doc_a bigint, doc_b bigint")
     got = dict(ngram_jaccard.components(pairs).collect())
     assert all(got[i] == 1 for i in range(1, 41)) and got[300] == 100
-    docs = spark.createDataFrame([(i,) for i in (1, 2, 40, 50, 100, 300)] + [(None,)], "doc_id bigint")
-    assert {r[0] for r in ngram_jaccard.keep_one(docs, pairs).collect()} == {1, 50, 100, None}
     assert ngram_jaccard.components(pairs.limit(0)).count() == 0
 
 
+def kept(rows):
+    """keep_one by brute force: all pairs of rows."""
+    import re
+
+    def grams(text):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        return frozenset(zip(w, w[1:])) or frozenset((x,) for x in w)
+
+    found = [grams(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(found):
+        for j in range(i):
+            if a and len(a & found[j]) >= ngram_jaccard.THRESHOLD * len(a | found[j]) and group[i] != group[j]:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    best = {}
+    for i, r in enumerate(rows):
+        best.setdefault(group[i], []).append((r[0] is None, r[0] or 0, r))
+    return [min((x[:2] for x in v)) for v in best.values()], group
+
+
+def test_keep_one_of_each_class(spark):
+    from .common import prose
+
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b), (4, b.upper()), (5, c), (5, c), (5, c), (None, c), (None, prose(4, 60)), (None, prose(4, 60)), (7, ""), (7, ""), (8, None), (9, prose(5, 70))]
+    rows = [(i, t, "en", "s", None) for i, t in rows]
+    got = ngram_jaccard.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    want, _ = kept(rows)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(want)
+    assert {r["text"] for r in got if r["doc_id"] == 2} == {b} and sum(r["text"] == c for r in got) == 1
+
+
+def test_keep_one_awkward(spark):
+    df = awkward(spark)
+    got = ngram_jaccard.keep_one(df)
+    assert got.columns == df.columns and ngram_jaccard.keep_one(empty(spark)).count() == 0
+    want, _ = kept(awkward_rows())
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == sorted(want)
+
+
+def near_texts():
+    import random
+
+    from .common import prose
+
+    rng, texts = random.Random(9), []
+    for g in range(4):
+        base = prose(70 + g, 60).split()
+        for _ in range(15):
+            w = base[: 30 + rng.randint(0, 30)]
+            for _ in range(rng.randint(0, 8)):
+                w[rng.randrange(len(w))] = f"z{rng.randint(0, 9)}"
+            texts.append(" ".join(w))
+    return texts
+
+
+def test_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(ngram_jaccard, "TILE_PAIRS", 3)
+    rows = [(i, t, None, None, None) for i, t in enumerate(near_texts())]
+    found = collected(ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA)))
+    assert found == oracle(ngram_jaccard.SQL, rows) and len(found) > 30
+
+
+@pytest.mark.parametrize("hot,pairs,labels", [(1 << 16, 1 << 20, 1), (1 << 16, 7, 3), (2, 1 << 20, 3), (2, 7, 1), (3, 50, 60)])
+def test_no_pair_is_lost_whatever_the_labels(hot, pairs, labels, monkeypatch):
+    """Within the process, as workers don't see patched settings: pairs of different labels, or of none (0), are candidates."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    J = ngram_jaccard
+    for k, v in {"HOT": hot, "HOT_MEANS": 0, "_PAIRS": pairs}.items():
+        monkeypatch.setattr(J, k, v)
+    found = {J.set_hash(s): s for s in J.sets(pa.array(near_texts()), J.N)}
+    counts = np.bincount(J.key_of(np.concatenate(list(found.values()))) & np.uint32(J._TABLE), minlength=1 << J.TABLE_BITS).astype(np.uint32)
+    table = SimpleNamespace(value=counts.tobytes())
+    encoded = [r for b in J._encoded(J.N, J.THRESHOLD, 3, table)(iter([pa.record_batch({"text": near_texts()})])) for r in b.to_pylist() if r["kind"] == 0]
+    assert {r["owner"] for r in encoded} == set(found)
+    label = {r["owner"]: i % labels for i, r in enumerate(encoded)}
+    batch = pa.record_batch({"owner": pa.array([r["owner"] for r in encoded]), "size": pa.array([r["size"] for r in encoded]), "label": pa.array([label[r["owner"]] for r in encoded]), "keys": pa.array([r["keys"] for r in encoded], pa.binary())})
+    buckets, weight = {}, {}
+    for b in J._spread(5, table)(iter([batch])):
+        for r in b.to_pylist():
+            buckets.setdefault(r["bucket"], []).append(r)
+    for rows in buckets.values():
+        for r in J._meet(J.THRESHOLD)(pa.Table.from_pylist(rows)).to_pylist():
+            n, _ = weight.get((r["a"], r["b"]), (0, 0))
+            weight[r["a"], r["b"]] = (n + r["weight"], r["need"])
+    met = {k for k, (n, need) in weight.items() if n >= need}
+    near = [(min(a, b), max(a, b)) for a in found for b in found if a < b and len(np.intersect1d(found[a], found[b])) >= J.THRESHOLD * len(np.union1d(found[a], found[b]))]
+    assert len(near) > 100 and {p for p in near if label[p[0]] != label[p[1]] or not label[p[0]]} <= met
+    assert all(label[a] != label[b] or not label[a] for a, b in met)
+    tile = J.Tile({h: (1, 2, s) for h, s in found.items()}, J.THRESHOLD)
+    tile.compare_all()
+    assert tile.links.sum() == 2 * len(near)
+    tile = J.Tile({h: (1, i % 2, s) for i, (h, s) in enumerate(found.items())}, J.THRESHOLD)
+    tile.compare_all()
+    side = {h: i % 2 for i, h in enumerate(found)}
+    assert tile.links.sum() == 2 * sum(side[a] != side[b] for a, b in near)
+
+
 def test_many_near_copies(spark):
     from .common import prose
 
