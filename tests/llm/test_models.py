@@ -42,19 +42,61 @@ def test_gradients():
         assert abs((up - down) / (2 * h) - g[k][i]) < 1e-4
 
 
+def found_candidates(texts):
+    raw, offsets, rows, starts, ends = secrets.candidates(pa.array(texts, pa.string()))
+    return [(r, raw[a:b].tobytes().decode()) for r, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist())]
+
+
 def test_candidates_against_regex():
     rng = random.Random(1)
-    texts = ["".join(rng.choices("abcXYZ0189 +/_-=.é\n", k=rng.randint(0, 120))) for _ in range(300)] + [None, "", "a1" * 3000]
-    raw, offsets, rows, starts, ends = secrets.candidates(pa.array(texts, pa.string()))
-    got = [(r, raw[a:b].tobytes().decode()) for r, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist())]
+    texts = ["".join(rng.choices("abcXYZ0189 +/_-.é\n", k=rng.randint(0, 120))) for _ in range(300)] + [None, "", "a1" * 3000]
     want = []
     for r, t in enumerate(texts):
-        for m in re.finditer(r"([A-Za-z0-9+/_-]{12,})(={0,2})", t or ""):
-            c = m[1]
-            letters = re.search("[a-zA-Z]", c)
-            if re.search("[0-9]", c) and letters or len(c) >= secrets.LONG and re.search("[a-z]", c) and re.search("[A-Z]", c):
-                want.append((r, m[0]))
-    assert got == want
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{12,}", t or ""):
+            c = m[0]
+            letters, capitals = re.search("[a-zA-Z]", c), re.search("[A-Z]", c)
+            if re.search("[0-9]", c) and letters or len(c) >= secrets.LONG and re.search("[a-z]", c) and capitals or len(c) >= secrets.SHOUTED and capitals and not re.search("[a-z0-9]", c):
+                want.append((r, c))
+    assert found_candidates(texts) == want
+
+
+VALUES = {
+    'password = "hunter2!xY"': ["hunter2!xY"], "password: correcthorsebatterystaple": ["correcthorsebatterystaple"], 'api_key = "p@ss.w0rd!Long#12"': ["p@ss.w0rd!Long#12"], "pin=493028174650": ["493028174650"],
+    "db_pwd := 'a b c', user=x": ["a b c", "x"], "https://bob:s3!t@example.com/x": ["s3!t"], "my password is Tr0ub4dor&3, ok": ["Tr0ub4dor&3"], '{"token":"ab","n":1}': ["ab", "1"], "a == b": ["b"], "x=1&token=abc&y=2": ["1", "abc", "2"],
+    "nothing here is one": [], "see https://example.com": [], "| token | = | \"zz\"": ["zz"], "pässwort: größe": ["größe"], "=": [], "key=": [], "a::b": [], "x = ": [], ":": [],
+}
+
+
+def test_values_are_candidates_whatever_their_form():
+    texts = list(VALUES)
+    got = found_candidates(texts)
+    assert {t: [c for r, c in got if r == i] for i, t in enumerate(texts)} == VALUES
+    assert found_candidates([f"{'x' * 9000} token={'p@' * 5000} {'y' * 9000}", None, "pwd=a"]) == [(0, "p@" * 5000), (2, "a")]
+
+
+def test_short_and_wordy_secrets_are_found(spark, net):
+    bad = ['password = "hunter2!xY"', 'passphrase: "correct horse battery staple"', 'api_key = "p@ss.w0rd!Long#12"', "db_password=Tr0ub4dor&3", "postgres://bob:s3cr3t!@db.example.com/x"]
+    good = [f"sha256: {hashlib.sha256(b'z').hexdigest()}", f"commit {hashlib.sha1(b'z').hexdigest()} fixes", "note: this is fine", "password: required", 'name = "hunter2!xY"', "Zieh: das ist gut; Ort: Bonn"]
+    found = {r["doc_id"] for r in secrets.secret_scan(docs(spark, list(enumerate(bad + good))), net[0]).collect()}
+    assert set(range(len(bad))) <= found and len(found) <= len(bad) + 1
+
+
+def test_awkward_rows_with_secrets(spark, net):
+    """Null ids, repeated rows, clashing columns, overlapping and neighbouring findings, a tie at the threshold."""
+    key, other = hashlib.sha1(b"x").hexdigest(), hashlib.sha1(b"y").hexdigest()
+    rows = [(None, f"token={key}"), (1, f"é token={key}"), (1, f"é token={key}"), (2, f'password="a {key} b" token={other}'), (3, None), (4, "")]
+    df = docs(spark, rows).selectExpr("*", "'c' AS score", "'d' AS fingerprint", "1 AS start")
+    found = [(r["doc_id"], r["start"], r["n_chars"]) for r in secrets.secret_scan(df, net[0]).collect()]
+    assert sorted(found, key=str) == sorted([(None, 6, 40), (1, 8, 40), (1, 8, 40), (2, 10, 44), (2, 62, 40)], key=str)
+    clean = [(r["doc_id"], r["text"], r["score"]) for r in secrets.redact(df, net[0]).collect()]
+    m = secrets.MASK
+    want = [(None, f"token={m}", "c"), (1, f"é token={m}", "c"), (1, f"é token={m}", "c"), (2, f'password="{m}" token={m}', "c"), (3, None, "c"), (4, "", "c")]
+    assert sorted(clean, key=str) == sorted(want, key=str)
+    tied = secrets.Network()
+    tied.p, tied.scale, tied.shift = net[0].p, net[0].scale, net[0].shift
+    _, _, rows, _, _, score = secrets.secrets_of(net[0], pa.array([f"token={key}"]))
+    tied.threshold = float(score[0])
+    assert len(secrets.secrets_of(tied, pa.array([f"token={key}"] * 2))[2]) == 2
 
 
 def docs(spark, rows):
