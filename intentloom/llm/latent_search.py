@@ -8,7 +8,8 @@ Which documents contain a benchmark item, word for word or paraphrased?
 2. *Factorise.* Passages of ``PASSAGE`` words, each ``STRIDE`` after the last, are TF-IDF vectors (term frequency times idf) over the
    informative terms. A distributed randomised SVD finds their ``RANK`` leading right singular
    vectors: every partition adds up its part of (A'A) W for a random W; QR; once more for
-   (A'A) Q; eigenvectors of Q'A'AQ. Only terms x (RANK + 10) numbers leave the executors.
+   (A'A) Q; eigenvectors of Q'A'AQ. Only terms x (RANK + 10) numbers leave a partition, as fixed-point integers, so
+   their sum doesn't depend on the order in which partitions are added.
 3. *Search.* Passages and items are projected; each pair with a cosine of ``COSINE`` or more is a candidate. All
    passages are compared with all items.
 4. *Check.* The longest common subsequence of an item's informative words with the passage and its
@@ -16,8 +17,10 @@ Which documents contain a benchmark item, word for word or paraphrased?
    one if also ``ANSWER_SHARE`` of the informative words of the item's answer (its last sentence) are there.
 
 A term is informative if at most ``MAX_SHARE`` of the documents (10 at least) contain it, or if it belongs to an
-item that would else have fewer than ``LEAST_TERMS`` such terms. What is broadcast grows with the
-benchmark alone, which is taken in blocks of ``BLOCK`` items.
+item that would else have fewer than ``LEAST_TERMS`` such terms. Vocabulary, basis and document frequencies are those of the whole
+benchmark. Beyond ``MAX_COLUMNS`` informative terms several share a column of the matrix (the check goes by the terms themselves), so the basis that
+is broadcast has 53 MB at most. Items are searched for ``BLOCK`` at a time, one scan of the encoded corpus for each; what is found
+doesn't depend on ``BLOCK``. The vocabulary (8 bytes a term) grows with the benchmark alone.
 
 Result: (doc_id, item_id, cosine, lcs_share), a row for each leak with the best values found.
 
@@ -42,17 +45,22 @@ from . import scratch, text as T
 from .minimisers import ids_and_text
 
 PASSAGE, STRIDE = 64, 32
-RANK, OVERSAMPLING, SEED = 192, 10, 20
+RANK, OVERSAMPLING, SEED, NOISE = 192, 10, 20, 1e-5
 COSINE = 0.25
 SURE, LIKELY, ANSWER_SHARE = 0.6, 0.4, 0.8
 MAX_SHARE, LEAST_TERMS = 0.1, 4
-#: items searched for at once: bounds the vocabulary, hence the Gram matrix in a task's memory (150 MB at 6000 terms)
-BLOCK = 256
+MAX_COLUMNS = 1 << 16
+#: columns up to which a task multiplies by way of A'A (144 MB); beyond, row by row, which gives the same
+GRAM_COLUMNS = 6000
+#: items searched for in one scan, and compared at once
+BLOCK, _ITEMS = 16_384, 256
 _ROWS, _PAIRS = 1 << 14, 1 << 20
+#: fixed point of the partial sums
+_ONE = float(1 << 16)
 
 
 class Items:
-    """A block of the benchmark: vocabulary, word sequences and answers."""
+    """The benchmark: vocabulary, word sequences and answers."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = np.array([i for i, _ in rows], np.int64)
@@ -69,17 +77,28 @@ class Items:
         return np.uint16 if len(self.terms) < 65535 else np.uint32
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
-        """Choose the informative terms: ``column`` by term (-1: none) and ``idf`` by column."""
+        """Choose the informative terms: ``column`` by term (-1: none), ``idf`` by term and the number of columns; words and answers keep only these."""
         common = df > max(10, MAX_SHARE * n_docs)
         for own in self.words:
             if len(own) and len(np.unique(own[~common[own]])) < LEAST_TERMS:
                 common[own] = False
-        self.column = np.where(common, -1, np.cumsum(~common) - 1)
-        self.idf = np.log((1 + n_docs) / (1 + np.minimum(df, n_docs)))[~common].astype(np.float32) + np.float32(0.01)
-        keep = lambda own: (c := self.column[own])[c >= 0]
+        n = int((~common).sum())
+        self.n_columns = min(n, MAX_COLUMNS)
+        self.column = np.where(common, -1, (np.cumsum(~common) - 1) % MAX_COLUMNS).astype(np.int32)
+        of_term = np.log((1 + n_docs) / (1 + np.minimum(df, n_docs))).astype(np.float32) + np.float32(0.01)
+        self.idf = np.zeros(self.n_columns, np.float32)
+        np.maximum.at(self.idf, self.column[~common], of_term[~common])
+        keep = lambda own: own[self.column[own] >= 0]
         self.lengths = [len(own) for own in self.words]
         self.words, self.answers = [keep(x) for x in self.words], [set(keep(x).tolist()) for x in self.answers]
 
+    def block(self, at: int) -> "Items":
+        """The items from ``at`` on, without vocabulary."""
+        out = object.__new__(Items)
+        for name in ("ids", "words", "answers", "lengths"):
+            setattr(out, name, getattr(self, name)[at : at + BLOCK])
+        return out
+
 
 def _encode(terms, kind: type):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +152,15 @@ class Passages:
     def __init__(self, batch: pa.RecordBatch, column: np.ndarray, kind: type):
         raw, offsets = T.string_bytes(batch.column("words"))
         self.ptr = offsets // np.dtype(kind).itemsize
-        lookup = np.append(np.int32(-1), column.astype(np.int32))
-        all_columns = lookup[np.frombuffer(raw.tobytes(), kind)]
+        numbers = np.frombuffer(raw.tobytes(), kind)
+        all_columns = np.append(np.int32(-1), column)[numbers]
         self.at = np.flatnonzero(all_columns >= 0)  # informative words, in order
-        self.sequence = all_columns[self.at]
+        self.sequence = numbers[self.at].astype(np.int64) - 1  # their terms
+        columns = all_columns[self.at]
         doc = np.searchsorted(self.ptr, self.at, "right") - 1
         self.base = np.concatenate([[0], np.cumsum(-(-np.diff(self.ptr) // STRIDE))])
         stride, d = self.base[doc] + (self.at - self.ptr[doc]) // STRIDE, len(column) + 1
-        key = np.unique(stride * d + self.sequence)
+        key = np.unique(stride * d + columns)
         stride, self.col = key // d, key % d
         self.begin = np.flatnonzero(np.diff(stride, prepend=-1))
         self.end = np.append(self.begin[1:], len(self.col))
@@ -183,19 +203,29 @@ class Passages:
                 cols = self.col[first[i : i + max(1, _PAIRS // (m * m)), None] + np.arange(m)]
                 np.add.at(gram.reshape(-1), (cols[:, :, None] * gram.shape[1] + cols[:, None, :]).ravel(), np.float32(1))
 
+    def add_products(self, total: np.ndarray, basis: np.ndarray) -> None:
+        """Add A'(A basis) of these passages' rows to ``total``, row by row."""
+        for own, reach in self.blocks():
+            z = self.project(own, reach, basis)
+            for k in range(own.start, own.stop):
+                to = self.end[k + 1] if self.joined[k] else self.end[k]
+                np.add.at(total, self.col[self.begin[k] : to], z[k - own.start])
+
 
 def _gram_times(column, basis, kind: type):
     """This partition's part of A'(A B) = (A'A) B, but for the scaling of its rows by idf."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = basis.value
-        gram, any_ = np.zeros((len(b), len(b)), np.float32), False
+        small, any_ = len(b) <= GRAM_COLUMNS, False
+        total = np.zeros((len(b), len(b)) if small else b.shape, np.float32)
         for batch in T.batches(rows, "words"):
             p = Passages(batch, column.value, kind)
-            p.add_pairs(gram)
+            p.add_pairs(total) if small else p.add_products(total, b)
             any_ |= len(p.begin) > 0
         if any_:
-            yield pa.RecordBatch.from_arrays([pa.array([(gram @ b).tobytes()], pa.binary())], ["part"])
+            part = np.rint((total @ b if small else total).astype(np.float64) * _ONE).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary())], ["part"])
 
     return run
 
@@ -222,10 +252,9 @@ def _search(items, column, basis, latent, kind: type):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = items.value
         b, queries = basis.value, latent.value
-        masks = [place_masks(own) for own in it.words]
-        member = np.zeros((len(b), len(it.words)), bool)
-        for i, own in enumerate(it.words):
-            member[own, i] = True
+        masks: dict[int, dict[int, int]] = {}
+        n_terms = len(column.value)
+        member = np.unique(np.concatenate([np.unique(own) + i * n_terms for i, own in enumerate(it.words)]))
         lengths, informative = np.array(it.lengths), np.array([len(own) for own in it.words])
         for batch in T.batches(rows, "words"):
             p = Passages(batch, column.value, kind)
@@ -234,32 +263,41 @@ def _search(items, column, basis, latent, kind: type):
             for own, reach in p.blocks():
                 z = p.project(own, reach, b)
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-                cosine = z @ queries.T
-                row, item = np.nonzero(cosine >= COSINE)
-                doc = p.doc[own][row]
-                start = p.ptr[doc] + (p.held[own][row] - p.base[doc]) * STRIDE
-                x = np.searchsorted(p.at, np.maximum(p.ptr[doc], start - lengths[item]))
-                y = np.searchsorted(p.at, np.minimum(p.ptr[doc + 1], start + PASSAGE + lengths[item]))
-                # the common subsequence is no longer than the number of the surroundings' words that the item has
-                size, need = y - x, LIKELY * informative[item]
-                can = np.flatnonzero((size >= need) & (size > 0))
-                row, item, doc, x, y, size, need = (v[can] for v in (row, item, doc, x, y, size, need))
-                if not len(row):
-                    continue
-                first = np.cumsum(size) - size
-                at = np.repeat(x - first, size) + np.arange(size.sum())
-                can = np.flatnonzero(np.add.reduceat(member[p.sequence[at], np.repeat(item, size)].astype(np.int64), first) >= need)
-                for k, i, d, u, v in zip(row[can].tolist(), item[can].tolist(), doc[can].tolist(), x[can].tolist(), y[can].tolist()):
-                    n, region = len(it.words[i]), p.sequence[u:v].tolist()
-                    share = lcs(masks[i], n, region) / n
-                    if share >= SURE or share >= LIKELY and len(it.answers[i].intersection(region)) >= ANSWER_SHARE * len(it.answers[i]):
-                        out.append((int(ids[d]), int(it.ids[i]), float(cosine[k, i]), share))
+                for q in range(0, len(queries), _ITEMS):
+                    cosine = z @ queries[q : q + _ITEMS].T
+                    row, item = np.nonzero(cosine >= COSINE)
+                    near, item = cosine[row, item], item + q
+                    doc = p.doc[own][row]
+                    start = p.ptr[doc] + (p.held[own][row] - p.base[doc]) * STRIDE
+                    x = np.searchsorted(p.at, np.maximum(p.ptr[doc], start - lengths[item]))
+                    y = np.searchsorted(p.at, np.minimum(p.ptr[doc + 1], start + PASSAGE + lengths[item]))
+                    # the common subsequence is no longer than the number of the surroundings' words that the item has
+                    size, need = y - x, LIKELY * informative[item]
+                    can = np.flatnonzero((size >= need) & (size > 0))
+                    near, item, doc, x, y, size, need = (v[can] for v in (near, item, doc, x, y, size, need))
+                    if not len(near):
+                        continue
+                    first = np.cumsum(size) - size
+                    at = np.repeat(x - first, size) + np.arange(size.sum())
+                    wanted = p.sequence[at] + np.repeat(item, size) * n_terms
+                    has = member[np.minimum(np.searchsorted(member, wanted), len(member) - 1)] == wanted
+                    can = np.flatnonzero(np.add.reduceat(has.astype(np.int64), first) >= need)
+                    for c, i, d, u, v in zip(near[can].tolist(), item[can].tolist(), doc[can].tolist(), x[can].tolist(), y[can].tolist()):
+                        n, region = len(it.words[i]), p.sequence[u:v].tolist()
+                        if i not in masks:
+                            masks[i] = place_masks(it.words[i])
+                        share = lcs(masks[i], n, region) / n
+                        if share >= SURE or share >= LIKELY and len(it.answers[i].intersection(region)) >= ANSWER_SHARE * len(it.answers[i]):
+                            out.append((int(ids[d]), int(it.ids[i]), c, share))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["doc_id", "item_id", "cosine", "lcs_share"])
 
     return run
 
 
+_LEAKS = "doc_id bigint, item_id bigint, cosine double, lcs_share double"
+
+
 def _leaks(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | None:
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
@@ -272,41 +310,35 @@ def _leaks(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame | None:
     if counted is None:
         return None
     items.weigh(counted[1:], int(counted[0]))
-    d = len(items.idf)
     column = share(items.column)
     corpus = encoded.filter("words IS NOT NULL").select("doc_id", "words")
-    basis = np.random.default_rng(SEED).standard_normal((d, min(d, RANK + OVERSAMPLING))).astype(np.float32)
+    basis = np.random.default_rng(SEED).standard_normal((items.n_columns, min(items.n_columns, RANK + OVERSAMPLING))).astype(np.float32)
     for last in (False, True):
-        product = _total(corpus.select("words").mapInArrow(_gram_times(column, share(basis * items.idf[:, None]), kind), "part binary"), np.float32)
+        product = _total(corpus.select("words").mapInArrow(_gram_times(column, share(basis * items.idf[:, None]), kind), "part binary"), np.int64)
         if product is None:
             return None
-        product = product.reshape(basis.shape) * items.idf[:, None]
+        product = product.reshape(basis.shape) / _ONE * items.idf[:, None]
         if last:
-            values, vectors = np.linalg.eigh((basis.T.astype(np.float64) @ product + product.T.astype(np.float64) @ basis) / 2)
-            basis = (basis @ vectors[:, np.argsort(-values)[:RANK]]).astype(np.float32)
+            values, vectors = np.linalg.eigh((basis.T.astype(np.float64) @ product + product.T @ basis) / 2)
+            best = np.argsort(-values)[:RANK]
+            # directions that the passages don't have are rounding errors
+            basis = (basis @ vectors[:, best[values[best] > NOISE * values.max()]]).astype(np.float32)
         else:
-            basis = np.linalg.qr(product.astype(np.float64))[0].astype(np.float32)
+            basis = np.linalg.qr(product)[0].astype(np.float32)
     queries = np.zeros((len(rows), basis.shape[1]), np.float32)
     for i, own in enumerate(items.words):
         if len(own):
-            cols = np.unique(own)
+            cols = np.unique(items.column[own])
             q = items.idf[cols] @ basis[cols]
             queries[i] = q / max(np.linalg.norm(q), 1e-12)
-    return corpus.mapInArrow(_search(share(items), column, share(basis * items.idf[:, None]), share(queries), kind), "doc_id bigint, item_id bigint, cosine double, lcs_share double")
+    scaled = share(basis * items.idf[:, None])
+    return reduce(DataFrame.unionByName, [corpus.mapInArrow(_search(share(items.block(i)), column, scaled, share(queries[i : i + BLOCK]), kind), _LEAKS) for i in range(0, len(rows), BLOCK)])
 
 
 def latent_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = ids_and_text(documents)
     wanted = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text")
-    found, block = [], []
-    for row in wanted.toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == BLOCK:
-            found.append(_leaks(docs, block))
-            block = []
-    if block:
-        found.append(_leaks(docs, block))
-    found = [f for f in found if f is not None]
-    if not found:
-        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, cosine double, lcs_share double")
-    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.round(F.max("cosine"), 4).alias("cosine"), F.round(F.max("lcs_share"), 4).alias("lcs_share"))
+    found = _leaks(docs, [tuple(row) for row in wanted.toLocalIterator()])
+    if found is None:
+        return documents.sparkSession.createDataFrame([], _LEAKS)
+    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("cosine"), 4).alias("cosine"), F.round(F.max("lcs_share"), 4).alias("lcs_share"))

@@ -133,6 +133,44 @@ def test_toxicity_held_out(spark):
     assert len(found & truth) >= 0.95 * len(truth) and len({i for i in found if i >= 200} - truth) <= 3
 
 
+def test_toxicity_ratios_and_scores_from_dictionaries():
+    """Features, log-count ratios and scores recomputed without arrays."""
+    import math
+
+    texts = ["Ein BÄR, der brummt!", "zwei bären", "", "ab", "hateful Words 99", "words of love", "hateful bear", "ein wort"]
+    y = [0, 0, 0, 0, 1, 0, 1, 0]
+
+    def grams(t):
+        raw = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in t.lower().encode())
+        return {raw[i : i + n] for n in toxicity.SIZES for i in range(len(raw) - n + 1)}
+
+    found = list(toxicity.Features().of(pa.array(texts)))
+    slots = {}
+    for t in texts:
+        for g in grams(t):
+            (slots[g],) = set(np.concatenate([f for f in toxicity.Features().of(pa.array([g.decode("latin-1")])) if len(f)]).tolist()) if len(g) == 3 and g.isascii() else (None,)
+    assert [len(f) for f in found] == [len(grams(t)) for t in texts]
+    assert all({slots[g] for g in grams(t) if slots[g] is not None} <= set(f.tolist()) for t, f in zip(texts, found))
+    model = toxicity.Model().fit(found, np.array(y, np.float32))
+    for f in set(np.concatenate(found).tolist()):
+        p, q = (sum(f in set(x.tolist()) for x, label in zip(found, y) if label == k) for k in (1, 0))
+        want = math.log((p + toxicity.SMOOTHING) / (sum(y) + 2 * toxicity.SMOOTHING)) - math.log((q + toxicity.SMOOTHING) / (len(y) - sum(y) + 2 * toxicity.SMOOTHING))
+        assert abs(model.ratio[f] - want) < 1e-5
+    for x in found:
+        assert abs(model.score(x) - (sum(float(model.weight[f]) for f in x.tolist()) + model.bias)) < 1e-4
+    assert min(model.score(x) for x, label in zip(found, y) if label) > max(model.score(x) for x, label in zip(found, y) if not label)
+
+
+def test_toxicity_ties_and_shared_ids(spark):
+    bad, good = "hateful stupidfool disgusting", prose(3, 30)
+    rows = [(i, f"{prose(i, 25)} {bad if i % 2 else good}") for i in range(40)]
+    rows += [(100, f"{good}"), (100, f"{prose(9, 9)} {bad}"), (101, bad), (102, bad), (103, None), (None, bad)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    got = [(r["doc_id"], r["score"]) for r in toxicity.toxic_documents(docs(spark, rows), labels).collect()]
+    found = dict(got)
+    assert len(found) == len(got) and found[101] == found[102] and 100 in found and 103 not in found and None not in found
+
+
 def test_toxicity_awkward(spark):
     labels = spark.createDataFrame([(i, int(i in (6, 7))) for i in range(14)], "doc_id bigint, toxic int")
     out = toxicity.toxic_documents(awkward(spark), labels)
@@ -176,6 +214,70 @@ def test_planted_leaks(spark):
     assert not found.keys() - truth and all(found[1000 + i, i]["lcs_share"] == 1 for i in range(40))
 
 
+def exhaustive(rows, items):
+    """All (doc_id, item_id) by the longest common subsequence around every stride, without any search."""
+    L = latent_search
+    it = L.Items(items)
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    number = {}
+    for (_, t), own in zip(items, it.words):
+        number |= dict(zip(split(t), own.tolist()))
+    docs = [(d, [number.get(x, -1) for x in split(t)]) for d, t in rows]
+    df = np.zeros(len(it.terms), np.int64)
+    for _, w in docs:
+        for x in set(w) - {-1}:
+            df[x] += 1
+    it.weigh(df, len(docs))
+    out = set()
+    for d, w in docs:
+        for start in range(0, len(w), L.STRIDE):
+            if not any(x >= 0 and it.column[x] >= 0 for x in w[start : start + L.STRIDE]):
+                continue
+            for i, own in enumerate(it.words):
+                region = [x for x in w[max(0, start - it.lengths[i]) : start + L.PASSAGE + it.lengths[i]] if x >= 0 and it.column[x] >= 0]
+                if (d, items[i][0]) in out or not len(own) or len(set(region) & set(own.tolist())) < L.LIKELY * len(set(own.tolist())) / 2:
+                    continue
+                share = longest(own.tolist(), region) / len(own)
+                if share >= L.SURE or share >= L.LIKELY and len(it.answers[i] & set(region)) >= L.ANSWER_SHARE * len(it.answers[i]):
+                    out.add((d, items[i][0]))
+    return out
+
+
+def test_leaks_against_exhaustive_search_and_in_any_blocks(spark, monkeypatch):
+    rng = random.Random(17)
+    common = prose(50, 40).split()
+    items = [(i, " ".join(rng.sample(common, 6)) + " " + prose(700 + i, 20 + i) + ". " + prose(1700 + i, 4)) for i in range(24)]
+    rows = [(i, " ".join(rng.choices(common, k=40)) + " " + prose(i, 60)) for i in range(60)]
+    for i, (k, t) in enumerate(items):
+        w = t.split()
+        kept = [x for x in w if rng.random() > 0.1 * (i % 8)]
+        rows.append((100 + i, f"{prose(2000 + i, 30 + i)} {' '.join(kept)} {prose(3000 + i, 40)}"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = exhaustive(rows, items)
+    found = latent_search.latent_leaks(docs(spark, rows), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and 10 < len(want) < 60
+    monkeypatch.setattr(latent_search, "BLOCK", 5)
+    mixed = latent_search.latent_leaks(docs(spark, rows[::-1]).repartition(3), bench.orderBy("text")).collect()
+    key = lambda r: (r["doc_id"], r["item_id"], r["lcs_share"])
+    assert sorted(map(key, mixed)) == sorted(map(key, found))
+    cosines = {key(r): r["cosine"] for r in found}
+    assert all(abs(cosines[key(r)] - r["cosine"]) < 1e-3 for r in mixed)
+
+
+def test_products_row_by_row_and_by_gram_matrix():
+    L = latent_search
+    texts = [prose(i, 90 + i) for i in range(20)] + ["", prose(5, 30)]
+    it = L.Items([(i, t) for i, t in enumerate(texts[:12])])
+    encoded = list(L._encode(type("B", (), {"value": it.terms}), it.kind())(iter([pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": texts})])))
+    it.weigh(np.frombuffer(encoded[-1].column("df")[0].as_py(), np.int64)[1:], len(texts))
+    p = L.Passages(encoded[0], it.column, it.kind())
+    basis = np.random.default_rng(1).standard_normal((it.n_columns, 7)).astype(np.float32)
+    gram, rows = np.zeros((it.n_columns, it.n_columns), np.float32), np.zeros_like(basis)
+    p.add_pairs(gram)
+    p.add_products(rows, basis)
+    assert np.allclose(gram @ basis, rows, atol=1e-2)
+
+
 def test_latent_awkward(spark):
     bench = spark.createDataFrame([(1, prose(2, 80)), (2, "one"), (3, None)], "item_id bigint, text string")
     found = {(r[0], r[1]) for r in latent_search.latent_leaks(awkward(spark), bench).filter("item_id <> 2").select("doc_id", "item_id").collect()}
