@@ -3,12 +3,13 @@
 A line that many documents of one host share is furniture, not content. Lines are normalised (lower case,
 digits as 0, runs of blanks as one, trimmed) and hashed; for each host the distinct documents
 that contain a line are counted, where byte-identical documents are one. A line of more than
-``max(MIN_DOCS, MAX_SHARE x the host's distinct documents)`` documents is removed from all of them, and a
+``max(MIN_DOCS, min(MAX_SHARE x docs, ROOT x sqrt(docs)))`` of the host's ``docs`` distinct documents is removed from all of them (the limit
+is a share of a small host, and grows with the root of a large one), and a
 document of which less than ``MIN_KEPT`` of the characters remains is rejected.
 
-All of it are built-in expressions: one aggregation of hashes, then a scan with a small join. A host
-has at most (mean lines a document) / MAX_SHARE lines above its limit, however many documents it
-has; whether the table of them is broadcast is decided by its measured size.
+All of it are built-in expressions: one aggregation of hashes, then a scan with a join by host. The table of removed lines is
+broadcast if its measured size allows; else documents travel to it, those of a host with many documents by several
+ways (``SALTED``), each with its copy of the host's lines.
 
 Result: the documents that stay, with all their columns; ``text`` without the removed lines, ``n_chars`` (if
 there is one) set to its new length where lines were removed.
@@ -21,18 +22,25 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
 
-MIN_DOCS, MAX_SHARE, MIN_KEPT = 5, 0.01, 0.2
+MIN_DOCS, MAX_SHARE, ROOT, MIN_KEPT = 5, 0.01, 5.0, 0.2
 #: hashes (8 bytes each) up to which the table of removed lines is broadcast
 BROADCAST_HASHES = 4_000_000
+#: documents of a host that go one way; at least a ten-thousandth of all, so there are no more salted hosts than that
+SALTED, MOST_SALTED = 100_000, 10_000
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), r"[ \t\r\f]+", " "))
+    plain = F.translate(F.lower(line), "123456789", "000000000")
+    # most lines have none of these, and a search is cheaper than a replacement
+    blanks = reduce(Column.__or__, [F.contains(plain, F.lit(x)) for x in ("  ", "\t", "\r", "\f")])
+    return F.trim(F.when(blanks, F.regexp_replace(plain, r"[ \t\r\f]+", " ")).otherwise(plain))
 
 
 def lines(text: Column) -> Column:
@@ -46,12 +54,22 @@ def line_frequency_rules(documents: DataFrame) -> DataFrame:
     per_text = documents.select(host.alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("copy"), F.array_distinct(hashed).alias("lines"))
     totals = per_text.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     counts = per_text.select("host", "copy", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > MIN_DOCS)
-    above = counts.join(totals, "host").filter(F.col("n") > F.greatest(F.lit(float(MIN_DOCS)), MAX_SHARE * F.col("docs")))
+    limit = F.greatest(F.lit(float(MIN_DOCS)), F.least(MAX_SHARE * F.col("docs"), ROOT * F.sqrt("docs")))
+    totals = scratch.materialise(totals, "hosts")
+    above = counts.join(totals, "host").filter(F.col("n") > limit)
     furniture = scratch.materialise(above.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("removed")), "furniture")
     size = furniture.agg(F.sum(F.size("removed"))).first()[0] or 0
-    key, removed, kept = (scratch.fresh(documents, n) for n in ("host__", "removed__", "kept__"))
+    key, removed, kept, salt = (scratch.fresh(documents, n) for n in ("host__", "removed__", "kept__", "salt__"))
     table = furniture.select(F.col("host").alias(key), F.col("removed").alias(removed))
-    joined = documents.withColumn(key, host).join(F.broadcast(table) if size <= BROADCAST_HASHES else table, key, "left")
+    keyed = documents.withColumn(key, host)
+    if size <= BROADCAST_HASHES:
+        joined = keyed.join(F.broadcast(table), key, "left")
+    else:
+        way = max(SALTED, (totals.agg(F.sum("docs")).first()[0] or 0) // MOST_SALTED)
+        ways = F.broadcast(totals.filter(F.col("docs") > way).select(F.col("host").alias(key), F.ceil(F.col("docs") / way).alias(salt)))
+        table = table.join(ways, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(salt), F.lit(1)) - 1)))
+        keyed = keyed.join(ways, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(text), F.col(salt)), F.lit(0)))
+        joined = keyed.join(table, [key, salt], "left")
     stays = F.filter(lines(text), lambda x: ~F.coalesce(F.array_contains(F.col(removed), F.xxhash64(normalised(x))), F.lit(False)))
     joined = joined.withColumn(kept, F.when(F.col(removed).isNotNull() & text.isNotNull(), F.array_join(stays, "\n")))
     changed = F.col(kept).isNotNull() & (F.col(kept) != text)
@@ -68,7 +86,7 @@ WITH d AS (SELECT *, coalesce(source, '') AS host, string_split(coalesce(text, '
 l AS (SELECT DISTINCT host, coalesce(text, '') AS t, unnest(list_transform(lines, lambda x: {_NORMAL})) AS k FROM d),
 c AS (SELECT host, k, count(*) AS n FROM l WHERE k <> '' GROUP BY host, k),
 h AS (SELECT host, count(DISTINCT coalesce(text, '')) AS docs FROM d GROUP BY host),
-b AS (SELECT host, list(k) AS ks FROM c JOIN h USING (host) WHERE n > greatest({MIN_DOCS}, {MAX_SHARE} * docs) GROUP BY host),
+b AS (SELECT host, list(k) AS ks FROM c JOIN h USING (host) WHERE n > greatest({MIN_DOCS}, least({MAX_SHARE} * docs, {ROOT} * sqrt(docs))) GROUP BY host),
 r AS (SELECT d.*, CASE WHEN ks IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x: NOT list_contains(ks, {_NORMAL})), chr(10)) END AS kept
       FROM d LEFT JOIN b USING (host))
 SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE kept END AS text, lang, source,

@@ -4,6 +4,10 @@ A window is ``WINDOW`` consecutive words. Its minimiser is the leftmost of its `
 of K words with the least hash; equal windows have equal minimisers at equal places in them. So a
 window that occurs in two documents has a minimiser that occurs in two: those of one document only
 are left out before any text travels (``repeated``).
+
+A minimiser with more than ``hot`` occurrences (a passage that many documents have) isn't gathered in its bucket: its windows
+are rows of their own, which are counted by distinct pairs of window and document, with partial sums, and joined with
+the counts (``hot_windows``).
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ K = 10
 SPAN = WINDOW - K + 1
 #: bits of the table of repeated minimisers: 16 MB, whatever the input; a bit that is set wrongly only lets more travel
 TABLE_BITS = 27
+#: occurrences of a minimiser from which on its windows are rows of their own; a bucket has at most ``HOT_SHARE`` of these
+HOT, HOT_SHARE = 1 << 16, 64
 _POSITION = np.uint64((1 << 24) - 1)
 _FLUSH = 1 << 19
 
@@ -105,31 +111,67 @@ def _positions(bits: int):
 
 
 def _packed(keys: list, docs: list, bits: int) -> pa.RecordBatch:
-    key = np.concatenate(keys)
-    return pack((key >> np.uint64(64 - bits)).astype(np.int64), {"key": key, "doc": np.concatenate(docs)})
+    """Of each key its least and its greatest document, and how often it occurs: two rows at most, however many there are."""
+    key, doc = np.concatenate(keys), np.concatenate(docs)
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    begin, end = runs(key)
+    other = doc[begin] != doc[end - 1]
+    key, doc = np.concatenate([key[begin], key[begin[other]]]), np.concatenate([doc[begin], doc[end[other] - 1]])
+    n = np.concatenate([end - begin, np.zeros(other.sum(), np.int64)]).astype(np.uint32)
+    return pack((key >> np.uint64(64 - bits)).astype(np.int64), {"key": key, "doc": doc, "n": n})
 
 
-def _bits(bits: int):
+def _bits(bits: int, hot: int):
     def run(t: pa.Table) -> pa.Table:
-        key = unpack(t, "key", np.uint64)
-        docs, _, _ = count_docs(key, unpack(t, "doc", np.int64))
+        key, n = unpack(t, "key", np.uint64), unpack(t, "n", np.uint32).astype(np.int64)
+        docs, _, order = count_docs(key, unpack(t, "doc", np.int64))
         table = np.zeros(max(8, 1 << (TABLE_BITS - bits)), np.uint8)
         table[((key[docs > 1] >> np.uint64(64 - TABLE_BITS)) & np.uint64(len(table) - 1)).astype(np.int64)] = 1
-        return pa.table({"bucket": t.column("bucket")[:1], "bits": pa.array([np.packbits(table).tobytes()], pa.binary())})
+        begin, _ = runs(key[order])
+        often = np.add.reduceat(n[order], begin) > max(hot, n.sum() // HOT_SHARE) if len(begin) else np.zeros(0, bool)
+        return pa.table({"bucket": t.column("bucket")[:1], "bits": pa.array([np.packbits(table).tobytes()], pa.binary()), "hot": pa.array([key[order][begin[often]].tobytes()], pa.binary())})
 
     return run
 
 
-def repeated(docs: DataFrame) -> Broadcast:
-    """The table of minimisers that occur in two documents or more."""
+def repeated(docs: DataFrame, hot: int = HOT) -> tuple[Broadcast, Broadcast]:
+    """The table of minimisers that occur in two documents or more; the hot ones, sorted."""
     bits = min(bucket_bits(docs), TABLE_BITS - 3)
-    packed = docs.mapInArrow(_positions(bits), "bucket int, key binary, doc binary")
-    rows = packed.groupBy("bucket").applyInArrow(_bits(bits), "bucket int, bits binary").collect()
+    packed = docs.mapInArrow(_positions(bits), "bucket int, key binary, doc binary, n binary")
+    rows = packed.groupBy("bucket").applyInArrow(_bits(bits, hot), "bucket int, bits binary, hot binary").collect()
     table = bytearray(1 << (TABLE_BITS - 3))
     size = len(table) >> bits
     for r in rows:
         table[r["bucket"] * size : (r["bucket"] + 1) * size] = r["bits"]
-    return docs.sparkSession.sparkContext.broadcast(bytes(table))
+    often = np.sort(np.frombuffer(b"".join(bytes(r["hot"]) for r in rows), np.uint64))
+    return tuple(docs.sparkSession.sparkContext.broadcast(x) for x in (bytes(table), often))
+
+
+def is_hot(hot: Broadcast, key: np.ndarray) -> np.ndarray:
+    if not len(hot.value):
+        return np.zeros(len(key), bool)
+    return hot.value[np.minimum(np.searchsorted(hot.value, key), len(hot.value) - 1)] == key
+
+
+def with_hot_windows(found: DataFrame, docs: DataFrame, hot: Broadcast) -> DataFrame:
+    """``found`` and the repeated windows of hot minimisers: (doc_id, first, last, first_copy, n_docs)."""
+    if not len(hot.value):
+        return found
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.batches(rows):
+            w = T.words(batch.column("text"))
+            starts, chosen, key = of_windows(w)
+            at = starts[is_hot(hot, key[chosen])]
+            of = np.searchsorted(w.ptr, at, "right") - 1
+            ids = batch.column("doc_id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(at - w.ptr[of]), pa.array(T.ngrams(w.hashes, WINDOW)[at].view(np.int64))], ["doc_id", "first", "window"])
+
+    rows = scratch.materialise(docs.mapInArrow(run, "doc_id bigint, first bigint, window bigint"), "hot")
+    counts = rows.select("window", "doc_id").distinct().groupBy("window").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("least")).filter("n_docs > 1")
+    hits = rows.join(counts, "window").select("doc_id", "first", F.col("first").alias("last"), (F.col("least") == F.col("doc_id")).alias("first_copy"), "n_docs")
+    return found.unionByName(hits)
 
 
 def is_repeated(table: Broadcast, key: np.ndarray) -> np.ndarray:

@@ -15,6 +15,9 @@ A passage of 50 words has its minimiser at some o from 0 to 40, so nothing is mi
 matches are chains of these. Words are compared by 32-bit hashes, 50 at a time, in one bucket
 with the same 64-bit minimiser.
 
+Suffixes at minimisers that very many documents have aren't gathered in a bucket; their windows are counted by
+``minimisers.with_hot_windows``.
+
 The result and the defined results for null, empty, repeated and clashing input are those of
 ``super_kmers``; n_docs is left out.
 """
@@ -34,7 +37,7 @@ LEFT, RIGHT = M.SPAN - 1, M.WINDOW
 _FLUSH = 1 << 14
 
 
-def _suffixes(table, bits: int):
+def _suffixes(table, hot, bits: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -46,7 +49,7 @@ def _suffixes(table, bits: int):
             w = T.words(batch.column("text"))
             _, chosen, key = M.of_windows(w)
             at = np.unique(chosen)
-            at = at[M.is_repeated(table, key[at])]
+            at = at[M.is_repeated(table, key[at]) & ~M.is_hot(hot, key[at])]
             short = (w.hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # 0: no word
             ids = batch.column("doc_id").to_numpy()
             for i in range(0, len(at), _FLUSH):
@@ -107,12 +110,13 @@ def _match(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": doc[row[begin]], "first": word[begin], "last": word[end - 1] if len(begin) else word, "first_copy": np.logical_and.reduceat(mine, begin) if len(begin) else mine})
 
 
-def suffix_array_repeats(documents: DataFrame) -> DataFrame:
+def suffix_array_repeats(documents: DataFrame, hot: int = M.HOT) -> DataFrame:
     docs = M.ids_and_text(documents)
     bits = M.bucket_bits(docs)
-    suffixes = docs.mapInArrow(_suffixes(M.repeated(docs), bits), "bucket int, key binary, doc binary, at binary, context binary")
+    table, often = M.repeated(docs, hot)
+    suffixes = docs.mapInArrow(_suffixes(table, often, bits), "bucket int, key binary, doc binary, at binary, context binary")
     found = suffixes.groupBy("bucket").applyInArrow(_match, "doc_id bigint, first bigint, last bigint, first_copy boolean")
-    return M.passages(found.withColumn("n_docs", F.lit(None).cast("bigint"))).drop("n_docs")
+    return M.passages(M.with_hot_windows(found.withColumn("n_docs", F.lit(None).cast("bigint")), docs, often)).drop("n_docs")
 
 
 SQL = f"SELECT doc_id, start_word, n_words, first_copy FROM ({M.SQL})"

@@ -4,7 +4,8 @@ Finds every passage of ``WINDOW`` (50) words or more that occurs in two document
 windows with the same minimiser form a super-k-mer: one stretch of text, sent once to the
 minimiser's bucket instead of once for each of its windows. All occurrences of a window have the same
 minimiser, hence meet in one bucket, where sorting the windows' hashes counts them exactly.
-Super-k-mers whose minimiser occurs in a single document stay at home (``minimisers.repeated``).
+Super-k-mers whose minimiser occurs in a single document stay at home (``minimisers.repeated``); windows of minimisers that very many
+documents have are counted by the engine's own aggregation (``minimisers.with_hot_windows``).
 
 Result: (doc_id, start_word, n_words, first_copy, n_docs), a row for each maximal stretch of words
 that repeated windows cover. first_copy: no document with a smaller id has any of its
@@ -29,7 +30,7 @@ from . import minimisers as M, text as T
 _FLUSH = 8 << 20
 
 
-def _strings(table, bits: int):
+def _strings(table, hot, bits: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -46,7 +47,7 @@ def _strings(table, bits: int):
             w = T.words(batch.column("text"))
             starts, chosen, key = M.of_windows(w)
             begin, end = M.runs(chosen)  # no minimiser is in two texts, so no run is
-            keep = M.is_repeated(table, key[chosen[begin]])
+            keep = M.is_repeated(table, key[chosen[begin]]) & ~M.is_hot(hot, key[chosen[begin]])
             first, last = starts[begin[keep]], starts[end[keep] - 1]
             if not len(first):
                 continue
@@ -84,11 +85,13 @@ def _count(t: pa.Table) -> pa.Table:
     return pa.table({"doc_id": doc[of[begin]], "first": word[begin], "last": word[end - 1] if len(begin) else word, "first_copy": reduced(np.logical_and, least == doc[of]), "n_docs": reduced(np.maximum, docs)})
 
 
-def super_kmer_repeats(documents: DataFrame) -> DataFrame:
+def super_kmer_repeats(documents: DataFrame, hot: int = M.HOT) -> DataFrame:
     docs = M.ids_and_text(documents)
     bits = M.bucket_bits(docs)
-    strings = docs.mapInArrow(_strings(M.repeated(docs), bits), "bucket int, doc binary, start binary, length binary, payload binary")
-    return M.passages(strings.groupBy("bucket").applyInArrow(_count, "doc_id bigint, first bigint, last bigint, first_copy boolean, n_docs bigint"))
+    table, often = M.repeated(docs, hot)
+    strings = docs.mapInArrow(_strings(table, often, bits), "bucket int, doc binary, start binary, length binary, payload binary")
+    found = strings.groupBy("bucket").applyInArrow(_count, "doc_id bigint, first bigint, last bigint, first_copy boolean, n_docs bigint")
+    return M.passages(M.with_hot_windows(found, docs, often))
 
 
 SQL = M.SQL

@@ -35,6 +35,37 @@ def test_line_frequency_rejects_depleted(spark):
     assert 201 not in out and 200 not in out and "menu home" not in out[100]
 
 
+def test_line_frequency_without_broadcast(spark, monkeypatch):
+    """Salted hosts: the rows are the same."""
+    for k, v in {"BROADCAST_HASHES": -1, "SALTED": 3}.items():
+        monkeypatch.setattr(line_frequency, k, v)
+    out = line_frequency.line_frequency_rules(awkward(spark)).select(COLUMNS)
+    assert collected(out) == oracle(line_frequency.SQL, awkward_rows())
+
+
+@pytest.mark.parametrize("operator,sql", [(suffix_array.suffix_array_repeats, suffix_array.SQL), (super_kmers.super_kmer_repeats, super_kmers.SQL)])
+def test_passage_in_all_documents(spark, operator, sql):
+    """One passage in each of 400 documents, as hot minimisers (counted as rows) and not: the same rows."""
+    from .common import prose
+
+    shared = prose(5, 75)
+    rows = [(i // 2 if i > 390 else i, f"{prose(1000 + i, i % 60)} {shared} {prose(2000 + i, 30)} {shared if i % 50 == 0 else ''}", None, None, None) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = oracle(sql, rows)
+    assert collected(operator(df, 20)) == want and collected(operator(df)) == want and len(want) >= 395
+
+
+def test_first_pass_sends_two_rows_a_key():
+    import numpy as np
+
+    from intentloom.llm import minimisers as M
+
+    key, doc = np.repeat(np.arange(1, 4, dtype=np.uint64) << np.uint64(40), 1000), np.tile(np.arange(1000), 3)
+    packed = M._packed([key], [doc], 8)
+    assert sum(len(x.as_py()) for x in packed.column("key")) == 2 * 3 * 8
+    assert sum(int(np.frombuffer(x.as_py(), np.uint32).sum()) for x in packed.column("n")) == 3000
+
+
 def test_components_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300)], "doc_a bigint, doc_b bigint")
     got = dict(ngram_jaccard.components(pairs).collect())
