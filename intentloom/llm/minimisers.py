@@ -12,7 +12,7 @@ the counts (``hot_windows``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,13 +57,23 @@ def bucket_bits(df: DataFrame) -> int:
     return max(8, (4 * scratch.shuffle_partitions(df.sparkSession) - 1).bit_length())
 
 
-def pack(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on: what numbers have in common compresses well in this order."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(t: pa.Table, name: str, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(size, -1).T).view(kind).ravel() for x in t.column(name)])
+
+
+def pack(bucket: np.ndarray, columns: dict[str, np.ndarray], to_bytes: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> pa.RecordBatch:
     """One row for each bucket; in it, each column's values as bytes."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     spans = list(zip(cut, np.append(cut[1:], len(bucket))))
-    arrays = [pa.array([v[a:b].tobytes() for a, b in spans], pa.binary()) for v in (c[order] for c in columns.values())]
+    arrays = [pa.array([to_bytes(v[a:b]) for a, b in spans], pa.binary()) for v in (c[order] for c in columns.values())]
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), *arrays], ["bucket", *columns])
 
 

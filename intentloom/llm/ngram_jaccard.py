@@ -43,13 +43,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, text as T
-from .minimisers import pack, runs, unpack
+from .minimisers import from_planes, pack, planes, runs, unpack
 
 N = 2
 THRESHOLD = 0.6
 TABLE_BITS = 20
 SIGNATURE_BITS = 2048
-TAGS, SHARED, SKETCH, ALIKE = 4, 4, 32, 0.5
+TAGS, SHARED, SKETCH, ALIKE = 6, 4, 32, 0.35
 #: documents that may have a key, and multiples of the mean over the table, beyond which the key is split
 HOT, HOT_MEANS = 1 << 16, 32
 #: keys in a packed batch; pairs looked at at once
@@ -219,7 +219,7 @@ def _links_in(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(buckets: int, table):
-    """(bucket, owner, label, size, key, place, side), packed: each set's keys to their buckets, split keys to all pairs of blocks that the set is in."""
+    """(bucket, id, label, size, key, place, side), packed: each set's keys to their buckets, split keys to all pairs of blocks that the set is in."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(table.value, np.uint32)
@@ -229,18 +229,18 @@ def _spread(buckets: int, table):
             key, ptr = np.frombuffer(raw.tobytes(), np.uint32), offsets // 4
             n = np.diff(ptr)
             place = (np.arange(len(key)) - np.repeat(ptr[:-1], n)).astype(np.int32)
-            owner, label, size = (np.repeat(batch.column(c).to_numpy().astype(kind), n) for c, kind in (("owner", np.int64), ("label", np.uint32), ("size", np.int32)))
+            ids, label, size = (np.repeat(batch.column(c).to_numpy().astype(kind), n) for c, kind in (("id", np.int64), ("label", np.uint32), ("size", np.int32)))
             blocks = -(-counts[key & np.uint32(_TABLE)].astype(np.int64) // hot)
             times = np.maximum(blocks, 1)
             at = np.repeat(np.arange(len(key)), times)
-            key, place, owner, label, size, blocks = (x[at] for x in (key, place, owner, label, size, blocks))
+            key, place, ids, label, size, blocks = (x[at] for x in (key, place, ids, label, size, blocks))
             other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            own = (T.mix(owner.view(np.uint64)) % np.maximum(blocks, 1).astype(np.uint64)).astype(np.int64)
+            own = (T.mix(ids.view(np.uint64)) % np.maximum(blocks, 1).astype(np.uint64)).astype(np.int64)
             low, high = np.minimum(own, other), np.maximum(own, other)
             side = np.where(own == other, 2, np.where(own < other, 0, 1)).astype(np.uint8)
             split = T.mix(T.mix(key.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)) + high.astype(np.uint64))
             key = np.where(blocks > 1, key_of(split), key).astype(np.uint32)
-            yield pack((key % np.uint32(buckets)).astype(np.int64), {"owner": owner, "label": label, "size": size, "own": key, "place": place, "side": side})
+            yield pack((key % np.uint32(buckets)).astype(np.int64), {"id": ids, "label": label, "size": size, "own": key, "place": place, "side": side}, planes)
 
     return run
 
@@ -262,8 +262,8 @@ _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("larger", pa.int64()),
 
 def _meet(threshold: float):
     def run(t: pa.Table) -> pa.Table:
-        own, label, owner = unpack(t, "own", np.uint32), unpack(t, "label", np.uint32), unpack(t, "owner", np.int64)
-        size, place, side = unpack(t, "size", np.int32).astype(np.int64), unpack(t, "place", np.int32), unpack(t, "side", np.uint8)
+        own, label, owner = from_planes(t, "own", np.uint32), from_planes(t, "label", np.uint32), from_planes(t, "id", np.int64)
+        size, place, side = from_planes(t, "size", np.int32).astype(np.int64), from_planes(t, "place", np.int32), from_planes(t, "side", np.uint8)
         order = np.lexsort((size, label, own))
         own, label, owner, size, place, side = (x[order] for x in (own, label, owner, size, place, side))
         both = own.astype(np.uint64) << np.uint64(32) | label
@@ -513,10 +513,17 @@ def linked_sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
     label = F.when(F.col("label") == 0, 1).otherwise(F.col("label"))
     labels = components(within.unionByName(across), "u", "v").select(F.col("doc_id").alias("owner"), F.pmod(F.xxhash64("group_id"), F.lit(1 << 32)).alias("label")).select("owner", label.alias("label"))
     distinct = encoded.filter("kind = 0").select("owner", "size", "keys").dropDuplicates(["owner"]).join(labels, "owner", "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    spread = distinct.mapInArrow(_spread(4 * buckets, table), "bucket int, owner binary, label binary, size binary, own binary, place binary, side binary")
+    # ids of sets that lie together differ in few bytes, their hashes in all
+    distinct = scratch.materialise(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    scratch.discard(encoded)
+    spread = distinct.mapInArrow(_spread(4 * buckets, table), "bucket int, id binary, label binary, size binary, own binary, place binary, side binary")
     met = spread.groupBy("bucket").applyInArrow(_meet(threshold), "a bigint, b bigint, larger bigint, need bigint, weight bigint")
     met = met.groupBy("a", "b").agg(F.max("larger").alias("larger"), F.max("need").alias("need"), F.sum("weight").alias("weight"))
-    candidates = scratch.materialise(met.filter("weight >= need").select("a", "b", "larger"), "candidates")
+    met = met.filter("weight >= need").select("a", "b", "larger")
+    for end in ("a", "b"):
+        met = met.withColumnRenamed(end, "id").join(distinct.select("id", F.col("owner").alias(end)), "id").drop("id")
+    candidates = scratch.materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "larger"), "candidates")
+    scratch.discard(distinct)
     pairs = scratch.materialise(_pair_tiles(candidates, threshold), "tiles")
     given = pairs.select("tile", F.lit(GIVEN).alias("side"), F.explode(F.array("a", "b")).alias("set_hash")).distinct()
     owners = profile.filter("kind = 0 AND size > 0").groupBy("key", "doc_id", "set_hash", "size").agg(F.count("*").alias("n_rows"))
@@ -528,7 +535,7 @@ def linked_sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, D
     rows = rows.unionByName(pairs.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(GIVEN).alias("side"), F.lit(None).cast("string").alias("text")))
     found = rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_verify(n, threshold), "owner bigint, links bigint, least bigint")
     found = scratch.materialise(found, "links")
-    scratch.discard(encoded, candidates, pairs, sent)
+    scratch.discard(candidates, pairs, sent)
     return owners, found
 
 

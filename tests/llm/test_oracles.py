@@ -154,7 +154,7 @@ def test_no_pair_is_lost_whatever_the_labels(hot, pairs, labels, monkeypatch):
     encoded = [r for b in J._encoded(J.N, J.THRESHOLD, 3, table)(iter([pa.record_batch({"text": near_texts()})])) for r in b.to_pylist() if r["kind"] == 0]
     assert {r["owner"] for r in encoded} == set(found)
     label = {r["owner"]: i % labels for i, r in enumerate(encoded)}
-    batch = pa.record_batch({"owner": pa.array([r["owner"] for r in encoded]), "size": pa.array([r["size"] for r in encoded]), "label": pa.array([label[r["owner"]] for r in encoded]), "keys": pa.array([r["keys"] for r in encoded], pa.binary())})
+    batch = pa.record_batch({"id": pa.array([r["owner"] for r in encoded]), "size": pa.array([r["size"] for r in encoded]), "label": pa.array([label[r["owner"]] for r in encoded]), "keys": pa.array([r["keys"] for r in encoded], pa.binary())})
     buckets, weight = {}, {}
     for b in J._spread(5, table)(iter([batch])):
         for r in b.to_pylist():
