@@ -58,7 +58,21 @@ def normal_path(path: Column) -> Column:
 def nearest(wanted: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
     """(key, nearest): for each distinct ``key``, the name of least edit distance, the first in order among equals.
 
-    Every name is compared, so the cost is keys x names; keys are what failed to resolve, which are few.
+    Lengths differ by no more than the distance, so names are joined by length: first those of about the key's length, then, of
+    keys without a name so near, those of lengths that could still be as near as the best so far.
     """
-    pairs = wanted.select(key).distinct().crossJoin(names.select(F.col(name).alias("_name")).distinct())
-    return pairs.groupBy(key).agg(F.min_by("_name", F.struct(F.levenshtein(key, "_name"), F.col("_name"))).alias("nearest"))
+    keys = wanted.select(F.col(key).alias("_key")).filter("_key IS NOT NULL").distinct().withColumn("_n", F.length("_key"))
+    known = names.select(F.col(name).alias("_name")).distinct().withColumn("_n", F.length("_name"))
+    longest = known.agg(F.max("_n")).first()[0]
+    if longest is None:
+        return keys.select(F.col("_key").alias(key), F.lit(None).cast("string").alias("nearest"))
+
+    def best(rows: DataFrame, lengths) -> DataFrame:
+        met = rows.select("_key", F.explode(lengths).alias("_n")).join(known, "_n")
+        return met.groupBy("_key").agg(F.min(F.struct(F.levenshtein("_key", "_name").alias("d"), F.col("_name"))).alias("b"))
+
+    near = keys.join(best(keys, F.sequence(F.col("_n") - 1, F.col("_n") + 1)), "_key", "left")
+    far = near.filter("b IS NULL OR b.d > 1").withColumn("_reach", F.coalesce("b.d", F.greatest("_n", F.lit(longest)))).drop("b")
+    rest = best(far, F.filter(F.sequence(F.greatest(F.lit(0), F.col("_n") - F.col("_reach")), F.least(F.lit(longest), F.col("_n") + F.col("_reach"))), lambda n: F.abs(n - F.col("_n")) > 1))
+    both = near.select("_key", "b").join(rest.withColumnRenamed("b", "c"), "_key", "left")
+    return both.select(F.col("_key").alias(key), F.least("b", "c")["_name"].alias("nearest"))

@@ -30,7 +30,18 @@ class IntentGraph:
         return self.edges.filter(F.col("kind").isin(*kinds))
 
     def with_findings(self, findings: DataFrame) -> "IntentGraph":
-        return replace(self, findings=findings)
+        out = replace(self, findings=findings)
+        out.__dict__["_local"] = self.__dict__.setdefault("_local", {})
+        return out
+
+    def local(self, most: int):
+        """The graph in the driver's memory if it has at most ``most`` edges, else None; loaded once."""
+        kept = self.__dict__.setdefault("_local", {})
+        if most not in kept:
+            from .operators import local
+
+            kept[most] = local.load(self.nodes, self.edges, most) if most else None
+        return kept[most]
 
     def ask(self, text: str, **options) -> DataFrame:
         from .plans import compile as plan

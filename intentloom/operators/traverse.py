@@ -1,22 +1,22 @@
 """Traversals: hops, shortest chains, all simple paths, neighbourhoods.
 
 A hop is an edge, or (event hop) an Emits edge with a Handles edge of the same event, which counts as two.
-``closure`` settles nodes in the order of their cost. Up to ``SMALL`` hops it searches in the driver's memory;
-beyond, each level is a join of the frontier with the hops, written to the shared folder.
-Both give the same chains: of equally long ones the least by edge_id in the order of the walk.
+``closure`` settles nodes level by level: each level is a join of the last one with the hops, written once to the shared
+folder as (node, node before, edge, rank), and never written again. Chains are built at the end, for the nodes asked for.
+Graphs of up to ``SMALL`` edges are searched in the driver's memory (``operators.local``), which gives the same chains: of
+equally long ones the least by edge_id in the order of the walk.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import shared
 from ..graph import IntentGraph
 
-SMALL = 200_000
+#: edges of a graph that is searched in the driver's memory: some 100 MB
+SMALL = 1_000_000
 HITS = "qname string, hops int, via array<bigint>"
 
 
@@ -45,58 +45,67 @@ def hops(graph: IntentGraph, kinds: list[str], events: bool, reverse: bool = Fal
     return out.filter("src <> dst")
 
 
-def _in_memory(rows: list, starts: list[tuple[str, tuple[int, ...]]], limit: int | None) -> list[tuple[str, list[int]]]:
-    reach = defaultdict(list)
-    for src, dst, segment in rows:
-        reach[src].append((dst, tuple(segment)))
-    settled: dict[str, tuple[int, ...]] = {}
-    for node, trail in sorted(starts, key=lambda s: (len(s[1]), s[1])):
-        settled.setdefault(node, trail)
-    first = set(settled)
-    pending: dict[int, dict[str, tuple[int, ...]]] = defaultdict(dict)
-
-    def relax(node: str, trail: tuple[int, ...]) -> None:
-        for dst, segment in reach[node]:
-            if dst not in settled and (limit is None or len(trail) + len(segment) <= limit):
-                new, level = trail + segment, pending[len(trail) + len(segment)]
-                if dst not in level or new < level[dst]:
-                    level[dst] = new
-
-    for node, trail in settled.items():
-        relax(node, trail)
-    while pending:
-        cost = min(pending)
-        fresh = {n: t for n, t in pending.pop(cost).items() if n not in settled}
-        settled |= fresh
-        for node, trail in fresh.items():
-            relax(node, trail)
-    return [(n, list(t)) for n, t in settled.items() if n not in first]
-
-
-def closure(hop: DataFrame, starts: DataFrame, limit: int | None = None, small: int = SMALL) -> DataFrame:
-    """(qname, hops, via): all that ``starts`` (qname, via) reach, without themselves; via in the order of the walk."""
+_ORDER = "struct<a: int, b: array<bigint>, c: bigint>"
+#: levels of chains that are joined in one plan
+_LEVELS = 6
+
+
+def _empty(table: DataFrame) -> bool:
+    return table.limit(1).count() == 0
+
+
+def closure(hop: DataFrame, starts: DataFrame, limit: int | None = None, goal: str | None = None, chains: bool = True) -> DataFrame:
+    """(qname, hops, via): all that ``starts`` (qname, via) reach, without themselves; via in the order of the walk, null without ``chains``.
+
+    Hops are of one edge. goal: the search ends with the level that holds it, and only it is reported. In a level nodes are ranked by the rank of the node
+    before and the edge, starts before others, so the least candidate of a node has the least chain.
+    """
     spark = hop.sparkSession
-    if small:
-        rows = hop.limit(small + 1).collect()
-        if len(rows) <= small:
-            found = _in_memory(rows, [(r["qname"], tuple(r["via"])) for r in starts.select("qname", "via").collect()], limit)
-            return spark.createDataFrame([(n, len(v), v) for n, v in found if not n.startswith(WITHIN)], HITS)
-    hop = shared.written(hop, "hops")
-    first = starts.groupBy("qname").agg(F.min(F.struct(F.size("via"), F.col("via")))["via"].alias("via"))
-    settled = shared.written(first.select("qname", F.size("via").alias("hops"), "via", F.lit(True).alias("start")), "settled")
-    frontier, pending = settled.select("qname", "via"), None
-    while True:
-        step = frontier.join(hop, frontier["qname"] == hop["src"]).select(F.col("dst").alias("qname"), F.concat("via", "segment").alias("via"))
-        if limit is not None:
-            step = step.filter(F.size("via") <= limit)
-        if pending is not None:
-            step = step.unionByName(pending)
-        pending = shared.written(step.join(settled.select("qname"), "qname", "left_anti").groupBy("qname").agg(F.min(F.struct(F.size("via").alias("n"), F.col("via"))).alias("best")).select("qname", F.col("best.via").alias("via")), "pending")
-        cost = pending.agg(F.min(F.size("via"))).first()[0]
-        if cost is None:
-            return settled.filter(~F.col("start") & ~F.startswith("qname", F.lit(WITHIN))).select("qname", "hops", "via")
-        frontier = pending.filter(F.size("via") == cost)
-        settled = shared.written(settled.unionByName(frontier.select("qname", F.lit(cost).alias("hops"), "via", F.lit(False).alias("start"))), "settled")
+    hop = shared.written(hop.select(F.col("src").alias("before"), "dst", F.col("segment")[0].alias("edge")), "hops")
+    first = starts.groupBy("qname").agg(F.min(F.struct(F.size("via").alias("n"), F.col("via"))).alias("s")).select("qname", F.col("s.n").alias("n"), F.col("s.via").alias("via"))
+    first = shared.written(first, "starts")
+    last_start = first.agg(F.max("n")).first()[0]
+    if last_start is None:
+        return spark.createDataFrame([], HITS)
+    cost, frontier = first.agg(F.min("n")).first()[0], None
+    levels: list[tuple[int, DataFrame]] = []
+    while limit is None or cost <= limit:
+        level = first.filter(F.col("n") == cost).select("qname", F.lit(None).cast("string").alias("before"), F.lit(None).cast("bigint").alias("edge"), "via", F.lit(None).cast(_ORDER).alias("_r"))
+        if frontier is not None:
+            # starts with the same chain are equal in order
+            start = F.col("before").isNull()
+            place = F.struct(F.when(start, 0).otherwise(1).alias("a"), F.when(start, F.col("via")).alias("b"), F.when(~start, F.col("rank")).alias("c"))
+            step = frontier.select(place.alias("_r"), F.col("qname").alias("before")).join(hop, "before").select(F.col("dst").alias("qname"), "before", "edge", "_r")
+            for done in (first, *(x for _, x in levels)):
+                step = step.join(done.select("qname"), "qname", "left_anti")
+            best = step.groupBy("qname").agg(F.min(F.struct("_r", "edge", "before")).alias("b"))
+            level = level.unionByName(best.select("qname", F.col("b.before").alias("before"), F.col("b.edge").alias("edge"), F.lit(None).cast("array<bigint>").alias("via"), F.col("b._r").alias("_r")))
+        frontier = shared.written(level.sort("_r", "via", "edge", "before").withColumn("rank", F.monotonically_increasing_id()).drop("_r"), "level")
+        if not _empty(frontier):
+            levels.append((cost, frontier))
+            if goal is not None and not _empty(frontier.filter(F.col("qname") == goal)):
+                break
+        elif cost >= last_start:
+            break
+        cost += 1
+    return _chained(spark, levels, goal, chains)
+
+
+def _chained(spark, levels: list[tuple[int, DataFrame]], goal: str | None, chains: bool) -> DataFrame:
+    """The chains of the levels' nodes, from the last level back to the starts."""
+    out = None
+    for i, (cost, level) in enumerate(reversed(levels)):
+        own = level.filter(F.col("before").isNotNull() & (F.col("qname") == goal if goal is not None else ~F.startswith("qname", F.lit(WITHIN))))
+        own = own.select("qname", F.lit(cost).alias("hops"), F.col("qname").alias("at"), F.expr("cast(array() as array<bigint>)").alias("via"))
+        out = own if out is None else out.unionByName(own)
+        if chains:
+            here = level.select(F.col("qname").alias("at"), "before", F.coalesce("via", F.array("edge")).alias("_own"))
+            out = out.join(here, "at", "left").select("qname", "hops", F.when(F.col("_own").isNull(), F.col("at")).otherwise(F.coalesce("before", F.lit(WITHIN))).alias("at"), F.when(F.col("_own").isNull(), F.col("via")).otherwise(F.concat("_own", "via")).alias("via"))
+            if i % _LEVELS == _LEVELS - 1:
+                out = shared.written(out, "chains")
+    if out is None:
+        return spark.createDataFrame([], HITS)
+    return out.select("qname", F.col("hops").cast("int").alias("hops"), F.col("via") if chains else F.lit(None).cast("array<bigint>").alias("via"))
 
 
 def start_at(graph: IntentGraph, qname: str) -> DataFrame:
@@ -140,9 +149,11 @@ def simple_paths(hop: DataFrame, start: str, goal: str, max_len: int) -> DataFra
     return found if found is not None else spark.createDataFrame([], HITS)
 
 
-def neighbourhood(graph: IntentGraph, qname: str, depth: int) -> DataFrame:
+def neighbourhood(graph: IntentGraph, qname: str, depth: int, small: int = SMALL) -> DataFrame:
     """(qname, hops) of all nodes within ``depth`` edges of any kind and direction, itself included."""
+    if (local := graph.local(small)) is not None:
+        return graph.spark.createDataFrame(local.neighbourhood(qname, depth), "qname string, hops int")
     both = [graph.edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.array("edge_id").alias("segment")) for a, b in (("src", "dst"), ("dst", "src"))]
-    near = closure(both[0].unionByName(both[1]).filter("src <> dst"), start_at(graph, qname), depth)
+    near = closure(both[0].unionByName(both[1]).filter("src <> dst"), start_at(graph, qname), depth, chains=False)
     return near.select("qname", "hops").unionByName(graph.nodes.filter(F.col("qname") == qname).select("qname", F.lit(0).alias("hops")))
 
