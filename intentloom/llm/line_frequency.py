@@ -22,8 +22,6 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +34,20 @@ BROADCAST_HASHES = 4_000_000
 SALTED, MOST_SALTED = 100_000, 10_000
 
 
-def normalised(line: Column) -> Column:
-    plain = F.translate(F.lower(line), "123456789", "000000000")
-    # most lines have none of these, and a search is cheaper than a replacement
-    blanks = reduce(Column.__or__, [F.contains(plain, F.lit(x)) for x in ("  ", "\t", "\r", "\f")])
-    return F.trim(F.when(blanks, F.regexp_replace(plain, r"[ \t\r\f]+", " ")).otherwise(plain))
-
-
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def normalised(text: Column) -> Column:
+    """The text's lines, normalised. All but the trimming is done on the whole text at once; a single blank matches nothing, so most texts stay as they are."""
+    plain = F.translate(F.lower(text), "123456789", "000000000")
+    return F.transform(lines(F.regexp_replace(plain, r"[ \t\r\f]{2,}|[\t\r\f]", " ")), lambda x: F.trim(x))
+
+
 def line_frequency_rules(documents: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    hashed = F.transform(F.filter(F.transform(lines(text), normalised), lambda x: x != ""), lambda x: F.xxhash64(x))
+    hashed = F.transform(F.filter(normalised(text), lambda x: x != ""), lambda x: F.xxhash64(x))
     per_text = documents.select(host.alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("copy"), F.array_distinct(hashed).alias("lines"))
     totals = per_text.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     counts = per_text.select("host", "copy", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > MIN_DOCS)
@@ -70,7 +67,8 @@ def line_frequency_rules(documents: DataFrame) -> DataFrame:
         table = table.join(ways, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(salt), F.lit(1)) - 1)))
         keyed = keyed.join(ways, key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(text), F.col(salt)), F.lit(0)))
         joined = keyed.join(table, [key, salt], "left")
-    stays = F.filter(lines(text), lambda x: ~F.coalesce(F.array_contains(F.col(removed), F.xxhash64(normalised(x))), F.lit(False)))
+    # a removed line is null, which is left out when they are joined
+    stays = F.zip_with(lines(text), F.transform(normalised(text), lambda x: F.xxhash64(x)), lambda x, h: F.when(~F.coalesce(F.array_contains(F.col(removed), h), F.lit(False)), x))
     joined = joined.withColumn(kept, F.when(F.col(removed).isNotNull() & text.isNotNull(), F.array_join(stays, "\n")))
     changed = F.col(kept).isNotNull() & (F.col(kept) != text)
     out = joined.filter(~F.coalesce(changed & (F.length(kept) < MIN_KEPT * F.length(text)), F.lit(False)))
