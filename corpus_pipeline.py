@@ -3,6 +3,11 @@
 Every stage works on all that its predecessor kept. All but the last return the columns of documents.
 SQL can't express decontamination (a randomised SVD), the secret scan (a trained network) or packing (byte-pair
 encoding), so ORACLE_SQL is None and tests/llm holds run() against brute-force versions of the stages.
+
+Defined results: columns of documents other than the five are left out by the first stage, whatever their names. A null or empty text passes all filters and
+gives its separator alone; texts of any length are taken whole. Of repeated rows with words one stays; repeated rows without words all stay. A row without
+doc_id is compared like any other, and stays only if its class has no row with an id; decontamination leaves it in, as it reports ids; its windows have null
+in doc_ids. An empty table gives no windows.
 """
 
 from __future__ import annotations

@@ -20,18 +20,10 @@ BLOCKS = "file string, block int, line int, end_line int, kind string, name stri
 _WORD = re.compile(r"[^\W\d][\w.]*")
 
 
-def lines(sources: DataFrame, keep_last: bool = False) -> DataFrame:
-    """(file, line, text) of (file, text); a line break at the end begins no line, unless ``keep_last``."""
-    text = F.coalesce("text", F.lit("")) if keep_last else F.regexp_replace(F.coalesce("text", F.lit("")), r"\r?\n\z", "")
-    return sources.select("file", F.posexplode(F.split(text, r"\r?\n" if not keep_last else "\n", -1)).alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), "text")
-
-
-def runs(lines_: DataFrame, is_comment: Column) -> DataFrame:
-    """(file, first, last): maximal runs of lines that are comments."""
-    order = Window.partitionBy("file").orderBy("line")
-    marked = lines_.select("file", "line", is_comment.alias("c")).withColumn("begins", F.col("c") & ~F.coalesce(F.lag("c").over(order), F.lit(False)))
-    numbered = marked.withColumn("run", F.sum(F.col("begins").cast("int")).over(order)).filter("c")
-    return numbered.groupBy("file", "run").agg(F.min("line").alias("first"), F.max("line").alias("last")).drop("run")
+def lines(sources: DataFrame) -> DataFrame:
+    """(file, line, text) of (file, text); a line break at the end begins no line."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r?\n\z", "")
+    return sources.select("file", F.posexplode(F.split(text, r"\r?\n", -1)).alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), "text")
 
 
 def comment_text(line: Column, token: Column) -> Column:
