@@ -8,12 +8,13 @@ A store is a folder of immutable Parquet shards. What belongs to it is what its
   a run of ``FAN_IN`` or more is merged into files of about ``TARGET`` bytes, and so on upwards, so a row is
   rewritten about log(TARGET / least shard) / log(FAN_IN) times in its life. Nothing is shuffled:
   each merge task reads whole shards that together fill a target. Shards of ``TARGET`` / 2 or more are left alone.
-* A commit writes the next manifest under a temporary name and renames it to its number, which fails if
+* A commit writes the next manifest under a temporary name and gives it its number by a rename (on a local disk by a hard link, as a rename
+  there would replace what another writer has put meanwhile), which fails if
   another writer was first; that writer's changes are then taken in and the commit is tried
   again. Readers see the old version or the new one. A merge whose row count differs from its
   inputs' is not committed. ``vacuum`` deletes shards that the newest manifest doesn't list.
 
-The rename must be atomic (HDFS, a POSIX file system).
+The rename must be atomic, as in HDFS.
 
 Defined results: every row, null or not, repeated or not, of any length, with whatever columns, is read back
 exactly as often as it was appended; arrivals of another schema are refused; an empty arrival adds no
@@ -40,6 +41,8 @@ FAN_IN = 4
 #: shards below this size are all in the lowest tier
 LEAST = 1 << 20
 ATTEMPTS = 20
+#: bytes of input in a shard that arrives, and shards that arrive together
+SMALL, ARRIVAL = 8 << 20, 24
 
 
 @dataclass(frozen=True)
@@ -99,7 +102,13 @@ class Store:
         options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
         options[0] = getattr(hadoop, "Options$Rename").NONE
         try:
-            hadoop.FileContext.getFileContext(draft.toUri(), self._conf).rename(draft, final, options)
+            if self._fs.getScheme() == "file":
+                path = self._jvm.java.nio.file.Path.of
+                none = self.spark.sparkContext._gateway.new_array(self._jvm.java.lang.String, 0)
+                self._jvm.java.nio.file.Files.createLink(*(path(x.toUri().getPath(), none) for x in (final, draft)))
+                self._fs.delete(draft, False)
+            else:
+                hadoop.FileContext.getFileContext(draft.toUri(), self._conf).rename(draft, final, options)
             return True
         except Py4JJavaError as e:
             self._fs.delete(draft, False)
@@ -144,23 +153,29 @@ class Store:
             session.conf.set(f"spark.sql.files.{key}", str(value))
         return session
 
-    def compact(self) -> Manifest | None:
-        """Merge until no tier has ``fan_in`` shards; commits a version for each tier merged."""
-        session = self._merge_session()
+    def compact(self, keep_merged: bool = True) -> Manifest | None:
+        """Merge until no tier has ``fan_in`` shards that fewer could hold; commits a version for each tier merged. Without ``keep_merged`` what has been
+        merged is deleted at once, so older versions can't be read."""
+        session, done = self._merge_session(), set()
         while now := self.manifest():
             tiers: dict[int, list[Shard]] = defaultdict(list)
             for s in now.shards:
                 if 2 * s.size < self.target:
                     tiers[self.tier(s.size)].append(s)
-            run = next((t for _, t in sorted(tiers.items()) if len(t) >= self.fan_in), None)
+            run = next((x for t, x in sorted(tiers.items()) if len(x) >= self.fan_in and frozenset(s.path for s in x) not in done), None)
             if run is None:
                 return now
             merged = self._write(session.read.schema(StructType.fromJson(json.loads(now.schema))).parquet(*(f"{self.path}/{s.path}" for s in run)))
             if sum(s.rows for s in merged) != sum(s.rows for s in run):
                 raise RuntimeError("a merge has changed the number of rows")
-            if len(merged) >= len(run):
-                return now
-            self._commit(now.schema, merged, {s.path for s in run})
+            if len(merged) < len(run):
+                self._commit(now.schema, merged, {s.path for s in run})
+                for s in () if keep_merged else run:
+                    self._fs.delete(self._at(f"{self.path}/{s.path}"), False)
+            else:  # these can't become fewer; on to the next tier
+                done.add(frozenset(s.path for s in run))
+                for folder in {s.path.rsplit("/", 1)[0] for s in merged}:
+                    self._fs.delete(self._at(f"{self.path}/{folder}"), True)
         return None
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -187,11 +202,21 @@ class Store:
         return gone
 
 
-def shard(documents: DataFrame, target: int = TARGET) -> DataFrame:
-    """Append ``documents`` to a new store in the shared folder, compact it, and read its newest version."""
-    store = Store(documents.sparkSession, scratch.new_path(documents.sparkSession, "store"), target)
-    store.append(documents)
-    store.compact()
+def shard(documents: DataFrame, target: int = TARGET, small: int = SMALL, arrival: int = ARRIVAL) -> DataFrame:
+    """``documents`` as they would arrive: small shards, of which ``arrival`` at a time are committed to a new store in the shared folder; after
+    each arrival the store is compacted and what was merged deleted. Its newest version, read."""
+    spark = documents.sparkSession
+    store = Store(spark, scratch.new_path(spark, "store"), target)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(small))
+        shards = store._write(documents)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    schema = documents.schema.json()
+    for i in range(0, max(1, len(shards)), arrival):
+        store._commit(schema, shards[i : i + arrival])
+        store.compact(keep_merged=False)
     store.vacuum()
     return store.read()
 
