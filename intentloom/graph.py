@@ -18,6 +18,8 @@ class IntentGraph:
     edges: DataFrame
     clauses: DataFrame
     findings: DataFrame | None = None
+    #: of a project on disk: (qname, kind, file, line, end_line, subject_line, subject_end) of its blocks
+    blocks: DataFrame | None = None
 
     @property
     def spark(self):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema, shared
-from .graph import IntentGraph, clauses_of, conform, edges_of, nodes_of
+from .graph import IntentGraph, clauses_of, conform, edges_of, finding, nodes_of
 from .operators import hierarchy as H
 from .operators import lint as L
 from .operators import resolution as R
@@ -25,10 +25,11 @@ def file_modules(sources: DataFrame, globs: DataFrame, blocks: DataFrame) -> Dat
     return named.select("file", module.alias("module"), F.lit(None).cast("string").alias("package"))
 
 
-def derive(sources: DataFrame, modules: DataFrame, states: DataFrame, roots: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Derived nodes and edges of the Python files that lie in a module; states: (file, module, identifier, state)."""
+def derive(sources: DataFrame, modules: DataFrame, states: DataFrame, roots: list[str], cache: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Derived nodes and edges of the Python files that lie in a module; states: (file, module, identifier, state); cache: a folder of facts by text."""
     modules = modules.filter("module IS NOT NULL")
-    facts = shared.written(extract.facts(sources.join(modules.select("file"), "file", "left_semi")), "facts")
+    own = sources.join(modules.select("file"), "file", "left_semi")
+    facts = shared.written(files.with_cache(own, cache, extract.VERSION, extract.facts) if cache else extract.facts(own), "facts")
     fact = lambda kind: facts.filter(F.col("fact") == kind).drop("fact")
     imports = R.import_targets(fact("import"), modules, [".py"], "__init__", roots)
     decls = fact("decl")
@@ -40,8 +41,11 @@ def derive(sources: DataFrame, modules: DataFrame, states: DataFrame, roots: lis
     return known.select("qname", "kind", "file", "line"), called.unionByName(R.touch_edges(seen.withColumnRenamed("state", "dst")))
 
 
-def load(spark: SparkSession, root: str, marker: str = S.MARKER) -> IntentGraph:
-    """The graph of the project at ``root``, with the findings of scan and rules under the manifest's policy."""
+def load(spark: SparkSession, root: str, marker: str = S.MARKER, check_stale: bool = False, cache: str | None = None) -> IntentGraph:
+    """The graph of the project at ``root``, with the findings of scan and rules under the manifest's policy.
+
+    check_stale: also what changed after its block, by ``git blame`` of the files with blocks; without a repository none is.
+    """
     place = files.find_manifest(root)
     manifest = files.read_manifest(place.read_text(encoding="utf-8")) if place else {}
     globs = files.module_globs(spark, manifest)
@@ -50,10 +54,10 @@ def load(spark: SparkSession, root: str, marker: str = S.MARKER) -> IntentGraph:
     blocks = shared.written(blocks, "blocks")
     modules = shared.written(file_modules(sources, globs, blocks), "modules")
     states = blocks.filter("kind = 'state' AND identifier IS NOT NULL").drop("module").join(modules, "file").filter("module IS NOT NULL").select("file", "module", "identifier", F.col("qname").alias("state"))
-    derived_nodes, derived_edges = derive(sources, modules, states, manifest.get("roots", [""]))
+    derived_nodes, derived_edges = derive(sources, modules, states, manifest.get("roots", [""]), cache)
     declared = blocks.withColumn("line", F.coalesce("subject_line", "line"))
     ambient = spark.createDataFrame([(m, "module") for m in dict.fromkeys(manifest.get("modules", {}).values())], "qname string, kind string")
-    merged, rejected, _ = H.merge_nodes(*(conform(x, schema.NODES) for x in (declared, ambient, derived_nodes)))
+    merged, rejected, duplicates = H.merge_nodes(*(conform(x, schema.NODES) for x in (declared, ambient, derived_nodes)))
     nodes = shared.written(nodes_of(merged.withColumn("annotated", F.coalesce("annotated", F.lit(False)))), "nodes")
     derived_edges = shared.written(H.drop_rejected(derived_edges, rejected), "derived")
     clauses = shared.written(clauses_of(clauses), "clauses")
@@ -73,9 +77,19 @@ def load(spark: SparkSession, root: str, marker: str = S.MARKER) -> IntentGraph:
     found = L.lint(graph, **levels, off=off)
     if owners := files.find_ownership_file(root):
         found = found.unionByName(L.apply_policy(L.promote_strict(graph, L.foreign_owners(graph, files.ownership_rules(spark, owners))), **levels, off=off))
+    taken = nodes.select("qname", F.concat_ws(":", "file", "line").alias("at"))
+    again = duplicates.select("qname", "file", "line").unionByName(rejected.join(derived_nodes.select("qname", "file", "line").distinct(), "qname"))
+    clash = finding(again.join(taken, "qname"), "E0305", F.concat(F.lit("the name "), "qname", F.lit(" is taken, at "), "at"))
+    found = found.unionByName(L.apply_policy(clash, off=off))
+    if check_stale:
+        spans = blocks.filter("subject_line IS NOT NULL").dropDuplicates(["qname"])
+        blamed = shared.written(files.blame(spans.select("file"), root), "blame")
+        subjects = spans.select("qname", "file", F.col("subject_line").alias("line"), F.col("subject_end").alias("end_line"))
+        late = L.stale(spans.select("qname", "file", "line", "end_line"), subjects, blamed)
+        found = found.unionByName(L.apply_policy(L.promote_strict(graph, late), **levels, off=off))
     scanned = conform(told.withColumn("severity", F.when(F.substring("code", 1, 1) == "E", "error").otherwise("warning")), schema.FINDINGS)
     found = found.unionByName(L.apply_policy(scanned, off=off))
-    return graph.with_findings(shared.written(found, "findings"))
+    return replace(graph.with_findings(shared.written(found, "findings")), blocks=blocks)
 
 
 def propose_manifest(root: str) -> str:

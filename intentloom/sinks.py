@@ -8,10 +8,45 @@ from pyspark.sql import functions as F
 from .graph import IntentGraph
 
 
+def in_order(findings: DataFrame) -> DataFrame:
+    return findings.orderBy(F.split("file", "/"), "line", "code", "message")
+
+
+def finding_line(row) -> str:
+    """One finding to read."""
+    return f"{row['file'] or '-'}:{row['line'] or 0}: {row['severity']} {row['code']}: {row['message']}"
+
+
+def blocks_json(graph: IntentGraph) -> list[str]:
+    """One JSON text a block, with its clauses."""
+    given = graph.clauses.groupBy("qname").agg(F.array_sort(F.collect_list(F.struct("ord", "clause", "value"))).alias("clauses"))
+    rows = graph.blocks.select("qname", "kind", F.struct("file", "line").alias("at"), "identifier").join(given, "qname", "left").orderBy(F.split("at.file", "/"), "at.line")
+    return [r[0] for r in rows.select(F.to_json(F.struct("qname", "kind", "at", "identifier", "clauses"))).toLocalIterator()]
+
+
+def unresolved(graph: IntentGraph) -> list[str]:
+    """What references name that doesn't exist."""
+    if graph.findings is None:
+        return []
+    lost = graph.findings.filter("code = 'E0306'").select(F.regexp_extract("message", r" names (\S+), which doesn't exist", 1).alias("x")).distinct()
+    return [r[0] for r in lost.orderBy("x").collect()]
+
+
+def answer_lines(graph: IntentGraph, hits: DataFrame) -> list[str]:
+    """Hits to read, each with its chain."""
+    import json
+
+    out = []
+    for r in answer_json(graph, hits).toLocalIterator():
+        hit = json.loads(r[0])
+        out.append(hit["qname"])
+        out += [f"    {e['src']} -{e['kind']}-> {e['dst']} ({e['trust']})" for e in hit["via"]]
+    return out or ["nothing found"]
+
+
 def findings_json(findings: DataFrame) -> DataFrame:
     """One JSON text a finding, in the order of place and code."""
-    ordered = findings.orderBy(F.split("file", "/"), "line", "code", "message")
-    return ordered.select(F.to_json(F.struct("code", "severity", F.struct("file", "line").alias("at"), "node", "message")).alias("value"))
+    return in_order(findings).select(F.to_json(F.struct("code", "severity", F.struct("file", "line").alias("at"), "node", "message")).alias("value"))
 
 
 def answer_json(graph: IntentGraph, hits: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 FACTS = "fact string, file string, idx int, name string, kind string, line int, end_line int, parent int, shape string, obj string, class_decl int, enclosing int, form string, alias string, module string, write boolean"
 _TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 _SCHEMA = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in FACTS.split(", "))])
+#: changes whenever the same text gives other facts
+VERSION = "2"
 #: methods that change what they are called on
 MUTATORS = {"append", "extend", "insert", "remove", "pop", "clear", "update", "add", "discard", "setdefault", "popitem", "sort"}
 
@@ -36,8 +38,16 @@ class _Reader(ast.NodeVisitor):
         self.add("decl", idx, name=node.name, kind=kind, line=min([node.lineno, *(d.lineno for d in node.decorator_list)]), end_line=node.end_lineno, parent=parent)
         if kind == "type":
             self.classes[node.name] = idx
-        for d in node.decorator_list:
-            self.visit(d)
+        # what runs where the declaration stands: decorators, defaults, annotations, bases
+        outside = [*node.decorator_list]
+        if kind == "type":
+            outside += [*node.bases, *(k.value for k in node.keywords)]
+        else:
+            a = node.args
+            every = [*a.posonlyargs, *a.args, *a.kwonlyargs, *(x for x in (a.vararg, a.kwarg) if x)]
+            outside += [*a.defaults, *(x for x in a.kw_defaults if x), *(x.annotation for x in every if x.annotation), *([node.returns] if node.returns else [])]
+        for x in outside:
+            self.visit(x)
         self.stack.append((idx, kind))
         self.made.append({})
         for child in node.body:
@@ -71,11 +81,23 @@ class _Reader(ast.NodeVisitor):
                 self.add("import", self.imports, form="Named", module=module, name=a.name, alias=a.asname or a.name, line=node.lineno)
                 self.imports += 1
 
+    def _construction(self, target, value) -> None:
+        """Remember that a name holds an object of a class of this file."""
+        if isinstance(target, ast.Name) and isinstance(value, ast.Call) and isinstance(value.func, ast.Name) and value.func.id in self.classes:
+            self.made[-1][target.id] = self.classes[value.func.id]
+
     def visit_Assign(self, node) -> None:
-        if len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Call) and isinstance(node.value.func, ast.Name) and node.value.func.id in self.classes:
-            self.made[-1][node.targets[0].id] = self.classes[node.value.func.id]
+        if len(node.targets) == 1:
+            self._construction(node.targets[0], node.value)
         self.generic_visit(node)
 
+    def visit_AnnAssign(self, node) -> None:
+        self._construction(node.target, node.value)
+        if node.value is not None:
+            self.generic_visit(node)
+        else:
+            self.visit(node.annotation)
+
     def visit_AugAssign(self, node) -> None:
         self._touch(node.target, True)
         self.visit(node.value)
