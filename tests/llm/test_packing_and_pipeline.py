@@ -78,6 +78,35 @@ def test_pipeline_against_its_stages(spark, tmp_path):
     assert got == brute(want, packing.WINDOW)
 
 
+def test_pipeline_over_awkward_rows(spark, tmp_path):
+    """Nulls in all columns, empty and long texts, repeated rows, null ids, clashing extra columns; an empty table."""
+    key = "0123456789abcdef0123456789abcdef01234567"
+    rows = [*awkward_rows(), (300, f"token={key} {prose(9, 12)}", None, None, None), (None, f"pwd: {key} {prose(10, 12)}", None, None, None)]
+    df = awkward(spark)
+    more = spark.createDataFrame(rows[-2:], df.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    df.unionByName(more, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(500, 30)), (None, "x"), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    windows = corpus_pipeline.run(spark, str(tmp_path)).orderBy("window_id").collect()
+    ids = [i for w in windows for i in w["doc_ids"]]
+    kept = list(dict.fromkeys(ids))
+    by_id = {r[0]: r[1] for r in rows}
+    # one of the two long copies, one of the near ones; rows without words all stay; 200 and 201 are depleted
+    assert 4 in kept and 5 not in kept and 8 in kept and 9 not in kept and {0, 1, 2, 3, 300} <= set(kept) and not {200, 201} & set(kept)
+    names = decoder()
+    stream = [t for w in windows for t in w["tokens"]]
+    assert all(w["n_tokens"] == packing.WINDOW for w in windows[:-1]) and not {200, 201, 5, 9} & set(kept) and None in kept
+    text = b"".join(names[t] if t != packing.SEPARATOR else b"\0" for t in stream).decode()
+    assert key not in text and text.count(secrets.MASK) == 2 and by_id[4] in text
+    where = tmp_path / "none"
+    empty(spark).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{where}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(where)).count() == 0
+
+
+def decoder():
+    return {int(b): base64.b64decode(a) for a, b in map(bytes.split, open(packing.VOCABULARY, "rb"))}
+
+
 def test_registry():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secret_scan", "packing"]
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
