@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..sources import braces
 from . import clauses as C
 
 #: the line that begins a block, and what begins a comment by extension
@@ -88,37 +89,9 @@ def python_declarations(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda r: (r[0], -r[1]))
 
 
-_GRAMMARS = {
-    ".ts": [(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)", "function"), (r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)", "type"), (r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)", "state"), (r"^\s+(?:public\s+|private\s+|static\s+|async\s+)*(\w+)\s*\([^;]*\)\s*(?::[^{]+)?\{", "function")],
-    ".go": [(r"^func\s+(?:\([^)]*\)\s*)?(\w+)", "function"), (r"^type\s+(\w+)", "type"), (r"^(?:var|const)\s+(\w+)", "state")],
-    ".java": [(r"^\s*(?:(?:public|private|protected|abstract|final|static)\s+)*(?:class|interface|enum|record)\s+(\w+)", "type"), (r"^\s+(?:(?:public|private|protected|abstract|final|static|synchronized)\s+)*[\w<>\[\], .]+\s+(\w+)\s*\([^;]*\)\s*(?:throws [\w, .]+)?\{", "function"), (r"^\s+(?:(?:public|private|protected|final|static)\s+)+[\w<>\[\], .]+\s+(\w+)\s*[=;]", "state")],
-    ".rs": [(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)", "function"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)", "type"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:static|const)\s+(?:mut\s+)?(\w+)", "state")],
-}
-for _e in (".js", ".tsx", ".jsx"):
-    _GRAMMARS[_e] = _GRAMMARS[".ts"]
-
-
-def brace_declarations(text: str, extension: str) -> list[tuple[int, int, str, str]]:
-    """(line, end_line, identifier, kind) in a language of braces: by the line's form, up to the matching brace."""
-    rows, out = text.splitlines(), []
-    for i, row in enumerate(rows):
-        for pattern, kind in _GRAMMARS.get(extension, []):
-            if (m := re.match(pattern, row)) and m[1] not in ("if", "for", "while", "switch", "catch", "return"):
-                depth, end = 0, i
-                for j in range(i, len(rows)):
-                    bare = re.sub(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|//.*', "", rows[j])
-                    depth += bare.count("{") - bare.count("}")
-                    end = j
-                    if depth <= 0 and ("{" in bare or "}" in bare or ";" in bare or not depth):
-                        break
-                out.append((i + 1, end + 1, m[1], kind))
-                break
-    return out
-
-
 def declarations(text: str, file: str) -> list[tuple[int, int, str, str]]:
     extension = "." + file.rpartition(".")[2]
-    return python_declarations(text) if extension == ".py" else brace_declarations(text, extension)
+    return python_declarations(text) if extension == ".py" else braces.line_declarations(text, extension) if extension in braces.LANGUAGES else []
 
 
 def bind(file: str, text: str, blocks: list[tuple]) -> tuple[list[tuple], list[tuple]]:
@@ -129,7 +102,7 @@ def bind(file: str, text: str, blocks: list[tuple]) -> tuple[list[tuple], list[t
     """
     rows = text.splitlines()
     declared = declarations(text, file)
-    known = file.endswith(".py") or "." + file.rpartition(".")[2] in _GRAMMARS
+    known = file.endswith(".py") or "." + file.rpartition(".")[2] in braces.LANGUAGES
     out, wrong = [], []
     for block, kind, name, end in blocks:
         at = next((i + 1 for i in range(end, len(rows)) if rows[i].strip()), None)

@@ -22,16 +22,35 @@ def file_modules(sources: DataFrame, globs: DataFrame, blocks: DataFrame) -> Dat
     first = blocks.groupBy("file").agg(F.min_by(F.struct("kind", "qname"), "ord").alias("b"))
     named = L.first_glob(sources.select("file"), globs).join(first, "file", "left")
     module = F.when(F.col("b.kind").isin(schema.SCOPES), F.col("b.qname")).otherwise(F.col("module"))
-    return named.select("file", module.alias("module"), F.lit(None).cast("string").alias("package"))
+    # files of one folder see each other's names
+    package = F.when(F.endswith("file", F.lit(".go")) | F.endswith("file", F.lit(".java")), F.regexp_replace("file", "[^/]*$", ""))
+    return named.select("file", module.alias("module"), package.alias("package"))
+
+
+#: of each language: extensions, a folder's own file, what separates a path's parts, further roots
+_PATHS = [([".py"], "__init__", ".", []), ([".ts", ".tsx", ".js", ".jsx"], "index", "/", []), ([".java"], "package-info", ".", ["src/main/java"]), ([".rs"], "mod", "::", ["src"])]
+
+
+def import_files(imports: DataFrame, modules: DataFrame, roots: list[str]) -> DataFrame:
+    """``imports`` with target_file, by the rules of each language; of languages without such rules there is none."""
+    out = None
+    for extensions, index, separator, more in _PATHS:
+        own = imports.filter(F.exists(F.array(*map(F.lit, extensions)), lambda e: F.endswith("file", e)))
+        if separator == "::":  # a path from the crate's root, the own folder or the one above
+            path = F.regexp_replace(F.regexp_replace(F.regexp_replace("module", "^crate(::|$)", ""), "^self::", "./"), "^super::", "../")
+            own = own.withColumn("module", F.when(F.col("module").rlike("^(self|super)::"), F.replace(path, F.lit("::"), F.lit("/"))).otherwise(path))
+        found = R.import_targets(own, modules, extensions, index, [*roots, *(r for r in more if r not in roots)], separator)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def derive(sources: DataFrame, modules: DataFrame, states: DataFrame, roots: list[str], cache: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Derived nodes and edges of the Python files that lie in a module; states: (file, module, identifier, state); cache: a folder of facts by text."""
+    """Derived nodes and edges of the files that lie in a module; states: (file, module, identifier, state); cache: a folder of facts by text."""
     modules = modules.filter("module IS NOT NULL")
     own = sources.join(modules.select("file"), "file", "left_semi")
     facts = shared.written(files.with_cache(own, cache, extract.VERSION, extract.facts) if cache else extract.facts(own), "facts")
     fact = lambda kind: facts.filter(F.col("fact") == kind).drop("fact")
-    imports = R.import_targets(fact("import"), modules, [".py"], "__init__", roots)
+    imports = import_files(fact("import"), modules, roots)
     decls = fact("decl")
     known = R.unambiguous(decls, modules)
     calls = fact("call").select("file", "idx", "shape", "obj", "name", "class_decl", "enclosing", "line")
@@ -65,7 +84,7 @@ def load(spark: SparkSession, root: str, marker: str = S.MARKER, check_stale: bo
     subject = blocks.filter("subject_line IS NOT NULL").join(sources, "file").dropDuplicates(["qname"])
     spans = subject.select("qname", F.array_join(F.slice(F.split("text", r"\r?\n"), F.col("subject_line"), F.col("subject_end") - F.col("subject_line") + 1), "\n").alias("span_text"))
     bound = blocks.filter("identifier IS NOT NULL").dropDuplicates(["qname"]).select("qname", "identifier")
-    scope = modules.filter("module IS NOT NULL AND endswith(file, '.py')").select("file")
+    scope = modules.filter(F.col("module").isNotNull() & F.exists(F.array(*map(F.lit, extract.EXTENSIONS)), lambda e: F.endswith("file", e))).select("file")
     claims = L.claim_statuses(L.declared_edges(bare), derived_edges, scope, H.host_identifiers(nodes, bound), spans)
     by_name = F.struct("src", "dst")
     shape = [x.withColumn("layer", F.lit("Derived")).withColumn("place", by_name) for x in (H.contains_edges(nodes), H.sequence_edges(nodes))]

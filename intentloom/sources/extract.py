@@ -1,4 +1,4 @@
-"""Facts of Python files: declarations, calls, imports and touches of states, for ``operators.resolution``."""
+"""Facts of source files (Python here, languages with braces in ``braces``): declarations, calls, imports and touches of states, for ``operators.resolution``."""
 
 from __future__ import annotations
 
@@ -7,12 +7,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import braces
+
+EXTENSIONS = [".py", *braces.LANGUAGES]
 
 FACTS = "fact string, file string, idx int, name string, kind string, line int, end_line int, parent int, shape string, obj string, class_decl int, enclosing int, form string, alias string, module string, write boolean"
 _TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
 _SCHEMA = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in FACTS.split(", "))])
 #: changes whenever the same text gives other facts
-VERSION = "2"
+VERSION = "3"
 #: methods that change what they are called on
 MUTATORS = {"append", "extend", "insert", "remove", "pop", "clear", "update", "add", "discard", "setdefault", "popitem", "sort"}
 
@@ -158,12 +163,21 @@ def python_facts(file: str, text: str) -> list[dict]:
     return reader.rows
 
 
+def file_facts(file: str, text: str) -> list[dict]:
+    if file.endswith(".py"):
+        return python_facts(file, text)
+    try:
+        return braces.facts(file, text)
+    except (RecursionError, IndexError):
+        return [{"fact": "unparsed", "file": file, "idx": 0}]
+
+
 def facts(sources: DataFrame) -> DataFrame:
-    """All facts of (file, text) with names ending in .py."""
+    """All facts of (file, text) in the languages that are known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for f, t in zip(*(batch.column(c).to_pylist() for c in ("file", "text"))) for r in python_facts(f, t or "")]
+            rows = [r for f, t in zip(*(batch.column(c).to_pylist() for c in ("file", "text"))) for r in file_facts(f, t or "")]
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
-    return sources.filter("endswith(file, '.py')").select("file", "text").mapInArrow(run, FACTS)
+    return sources.filter(F.exists(F.array(*map(F.lit, EXTENSIONS)), lambda e: F.endswith("file", e))).select("file", "text").mapInArrow(run, FACTS)

@@ -137,9 +137,9 @@ def test_git_and_tree(spark, tmp_path):
 
 def test_sinks(spark):
     g = build(spark)
-    assert any('"Payment" -> "Payment.ledger"' in x for x in sinks.dot(g))
+    assert any('"Cash" -> "Cash.journal"' in x for x in sinks.dot(g))
     assert '"code":"E0306"' in "".join(r[0] for r in sinks.findings_json(g.findings).collect())
-    lines = [r[0] for r in sinks.answer_json(g, g.ask("affects*(Payment.ledger)")).collect()]
+    lines = [r[0] for r in sinks.answer_json(g, g.ask("affects*(Cash.journal)")).collect()]
     assert len(lines) == 5 and '"kind":"Emits"' in lines[-1]
 
 
