@@ -28,7 +28,7 @@ for _b in range(256):
     _c = chr(_b)
     _VALUE[_b] = ord(_c.lower()) if _b < 128 and _c.isalnum() else _b if _b >= 128 else 0
 _POW_BITS = 12
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
