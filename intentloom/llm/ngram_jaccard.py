@@ -22,6 +22,9 @@ Which documents have sets of word n-grams with a Jaccard similarity of ``thresho
    intersected exactly, as sorted arrays. A tile gives a row for each of its sets: how many documents it is linked with
    there, and the least set that it is connected with. Pairs leave no tile, so what travels grows with the sets.
 
+``keep_one`` needs no number of links, only what is connected. For it the sets of a label are compared in blocks before (4), a pair that is connected
+already isn't looked at, and what is connected then is the label for (4); see ``linked_sets``.
+
 Result: (doc_id, class_id, n_links), a row for each document that is linked with another one. n_links: with how many
 documents it is within the threshold, copies of the same set included; class_id: the least doc_id among those that it is
 connected with, over any number of links. No partner, candidate or class is capped.
@@ -229,7 +232,7 @@ def _spread(buckets: int, table):
             key, ptr = np.frombuffer(raw.tobytes(), np.uint32), offsets // 4
             n = np.diff(ptr)
             place = (np.arange(len(key)) - np.repeat(ptr[:-1], n)).astype(np.int32)
-            ids, label, size = (np.repeat(batch.column(c).to_numpy().astype(kind), n) for c, kind in (("id", np.int64), ("label", np.uint32), ("size", np.int32)))
+            ids, label, size = (np.repeat(batch.column(c).to_numpy().astype(kind), n) for c, kind in (("id", np.int64), ("label", np.uint64), ("size", np.int32)))
             blocks = -(-counts[key & np.uint32(_TABLE)].astype(np.int64) // hot)
             times = np.maximum(blocks, 1)
             at = np.repeat(np.arange(len(key)), times)
@@ -262,14 +265,13 @@ _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("larger", pa.int64()),
 
 def _meet(threshold: float):
     def run(t: pa.Table) -> pa.Table:
-        own, label, owner = from_planes(t, "own", np.uint32), from_planes(t, "label", np.uint32), from_planes(t, "id", np.int64)
+        own, label, owner = from_planes(t, "own", np.uint32), from_planes(t, "label", np.uint64), from_planes(t, "id", np.int64)
         size, place, side = from_planes(t, "size", np.int32).astype(np.int64), from_planes(t, "place", np.int32), from_planes(t, "side", np.uint8)
         order = np.lexsort((size, label, own))
         own, label, owner, size, place, side = (x[order] for x in (own, label, owner, size, place, side))
-        both = own.astype(np.uint64) << np.uint64(32) | label
         begin, end = runs(own)
         group_end = np.repeat(end, end - begin)
-        begin, end = runs(both)
+        begin, end = runs(np.cumsum(np.append(False, (own[1:] != own[:-1]) | (label[1:] != label[:-1]))))
         run_end, number = np.repeat(end, end - begin), np.repeat(np.arange(len(begin), dtype=np.int64), end - begin)
         # sets without label meet each other as far as the size band goes
         i = np.flatnonzero(label == 0)
@@ -295,6 +297,29 @@ def _meet(threshold: float):
     return run
 
 
+def _met_in_buckets(threshold: float, buckets: int):
+    """What meets in a bucket of keys, packed by pair."""
+    meet = _meet(threshold)
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b, larger, need, weight = (c.to_numpy() for c in meet(t).columns)
+        bucket = T.mix(T.mix(a.view(np.uint64)) + b.view(np.uint64)) % np.uint64(buckets)
+        columns = {"a": a, "b": b, "larger": larger.astype(np.int32), "need": need.astype(np.uint8), "weight": weight.astype(np.int32)}
+        return pa.Table.from_batches([pack(bucket.astype(np.int64), columns, planes)])
+
+    return run
+
+
+def _met_enough(t: pa.Table) -> pa.Table:
+    """Pairs that met as often as they need to."""
+    a, b, larger, need, weight = (from_planes(t, c, kind) for c, kind in (("a", np.int64), ("b", np.int64), ("larger", np.int32), ("need", np.uint8), ("weight", np.int32)))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    enough = np.add.reduceat(weight[order], at, dtype=np.int64) >= need[order][at]
+    return pa.table({"a": a[at][enough], "b": b[at][enough], "larger": larger[order][at][enough].astype(np.int64)})
+
+
 def _slots(t: pa.Table) -> pa.Table:
     slot = t.column("slot").to_numpy()
     bits = np.zeros(1 << _SLOT_CHUNK, np.uint8)
@@ -346,9 +371,9 @@ def _signature(s: np.ndarray) -> np.ndarray:
 
 
 class Tile:
-    """The sets of one tile: which of them are within the threshold of which."""
+    """The sets of one tile: which of them are within the threshold of which; if not ``counted``, only which are connected, so a pair that is connected already isn't looked at."""
 
-    def __init__(self, members: dict[int, tuple[int, int, np.ndarray]], threshold: float):
+    def __init__(self, members: dict[int, tuple[int, int, np.ndarray]], threshold: float, counted: bool = True):
         self.owner = np.array(list(members), np.int64)
         self.copies = np.array([c for c, _, _ in members.values()], np.int64)
         self.side = np.array([s for _, s, _ in members.values()])
@@ -359,26 +384,37 @@ class Tile:
         # each gram as its place among the tile's grams, so a set stays a sorted array
         grams, self.rank = np.unique(np.concatenate(arrays), return_inverse=True)
         self.mark = np.zeros(len(grams), bool)
-        self.threshold = threshold
+        self.threshold, self.counted = threshold, counted
         self.links, self.root = np.zeros(len(arrays), np.int64), np.arange(len(arrays))
 
-    def find(self, i: int) -> int:
-        root = self.root
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        r = self.root[at]
+        while len(r) and ((up := self.root[r]) != r).any():
+            r = up
+        self.root[at] = r
+        return r
 
-    def compare(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Link the pairs (x, y), of which x is sorted, that are within the threshold."""
+    def may(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the pairs (x, y) that their bitmaps don't rule out, with the overlap that they need."""
         both = self.sizes[x] + self.sizes[y]
         differ = np.concatenate([np.bitwise_count(self.signs[x[k : k + 8192]] ^ self.signs[y[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 8192)]) if len(x) else both
-        most = (both - differ) // 2
         least = np.ceil(both * self.threshold / (1 + self.threshold) - 1e-9)
-        may = most >= least
-        x, y, least = x[may], y[may], least[may]
+        may = (both - differ) // 2 >= least
+        return x[may], y[may], least[may]
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Link the pairs (x, y), of which x is sorted, that are within the threshold."""
+        if self.counted:
+            x, y, least = self.may(x, y)
         for a, b in zip(*runs(x)):
             i, others = int(x[a]), y[a:b]
+            if self.counted:
+                need = least[a:b]
+            else:
+                others = others[self.roots(others) != self.roots(np.array([i]))]
+                _, others, need = self.may(np.full(len(others), i), others)
+                if not len(others):
+                    continue
             own = self.rank[self.ptr[i] : self.ptr[i + 1]]
             self.mark[own] = True
             n = self.sizes[others]
@@ -386,13 +422,11 @@ class Tile:
             at = np.repeat(self.ptr[others] - first, n) + np.arange(n.sum())
             overlap = np.add.reduceat(self.mark[self.rank[at]], first, dtype=np.int64)
             self.mark[own] = False
-            near = others[overlap >= least[a:b]]
+            near = others[overlap >= need]
             self.links[i] += self.copies[near].sum()
             self.links[near] += self.copies[i]
-            for j in near.tolist():
-                p, q = self.find(i), self.find(j)
-                if p != q:
-                    self.root[max(p, q)] = min(p, q)
+            joined = np.unique(self.roots(np.append(near, i)))
+            self.root[joined] = joined[0]
 
     def compare_all(self) -> None:
         order = np.lexsort((self.sizes, self.side))
@@ -407,7 +441,7 @@ class Tile:
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.links)
         least: dict[int, int] = {}
-        roots = [self.find(i) for i in at.tolist()]
+        roots = self.roots(at).tolist()
         for i, r in zip(at.tolist(), roots):
             least[r] = min(least.get(r, self.owner[i]), self.owner[i])
         return self.owner[at], self.links[at], np.array([least[r] for r in roots], np.int64)
@@ -418,13 +452,13 @@ _LINKED = pa.schema([("owner", pa.int64()), ("links", pa.int64()), ("least", pa.
 GIVEN = 3
 
 
-def _verify(n: int, threshold: float):
+def _verify(n: int, threshold: float, counted: bool):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members, pairs, out = None, {}, [], []
 
         def done() -> None:
             if len(members) > 1:
-                tile = Tile(members, threshold)
+                tile = Tile(members, threshold, counted)
                 if pairs:
                     index = {h: i for i, h in enumerate(members)}
                     ab = np.array([(index[a], index[b]) for a, b in pairs if a in index and b in index], np.int64).reshape(-1, 2)
@@ -490,6 +524,14 @@ def _label_tiles(labelled: DataFrame, threshold: float) -> DataFrame:
     return own.select(F.col("owner").alias("set_hash"), F.explode(F.concat(same, up, down)).alias("t")).select("t.tile", "t.side", "set_hash")
 
 
+def _block_tiles(labelled: DataFrame) -> DataFrame:
+    """(tile, side, set_hash) of (owner, label, size): blocks of each label, if there are several by two hashes, so that a set is in two tiles at most."""
+    n = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_GRAMS))
+    own = labelled.join(labelled.groupBy("label").agg(n.alias("n")), "label")
+    by = [F.xxhash64(F.lit("block"), "label", F.lit(k), F.pmod(F.xxhash64(F.lit(k), "owner"), F.col("n"))) for k in (0, 1)]
+    return own.select(F.explode(F.when(F.col("n") > 1, F.array(*by)).otherwise(F.array(by[0]))).alias("tile"), F.lit(2).alias("side"), F.col("owner").alias("set_hash"))
+
+
 def _pair_tiles(candidates: DataFrame, threshold: float) -> DataFrame:
     """(tile, a, b): candidates by cluster, size band of the larger set and block."""
     label = candidates.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("label"))
@@ -500,43 +542,57 @@ def _pair_tiles(candidates: DataFrame, threshold: float) -> DataFrame:
     return tiled.join(many, ["label", "band"], "left").select(F.xxhash64(F.lit("pair"), "label", "band", F.pmod(F.xxhash64("a"), blocks), F.pmod(F.xxhash64("b"), blocks)).alias("tile"), "a", "b")
 
 
-def linked_sets(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Of (key, doc_id, text): the profile (key, doc_id, set_hash, size), and (owner, links, least) of the sets in each tile."""
+def _in_tiles(docs: DataFrame, known: DataFrame, members: DataFrame, pairs: DataFrame | None, n: int, threshold: float, counted: bool) -> DataFrame:
+    """(owner, links, least) of the sets ``members`` in each tile; where it has ``pairs``, only these are compared."""
+    sent = scratch.materialise(members.join(known.select("set_hash", "key", "copies"), "set_hash"), "members")
+    text = _only(docs.select("key", "text"), sent, "key").dropDuplicates(["key"])
+    rows = sent.join(text, "key").select("tile", F.lit(0).alias("kind"), F.col("set_hash").alias("a"), F.col("copies").alias("b"), "side", "text")
+    if pairs is not None:
+        rows = rows.unionByName(pairs.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(GIVEN).alias("side"), F.lit(None).cast("string").alias("text")))
+    found = rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_verify(n, threshold, counted), "owner bigint, links bigint, least bigint")
+    found = scratch.materialise(found, "links")
+    scratch.discard(sent)
+    return found
+
+
+def linked_sets(docs: DataFrame, n: int, threshold: float, counted: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Of (key, doc_id, text): the profile (key, doc_id, set_hash, size), and (owner, links, least) of the sets in each tile.
+
+    If not ``counted``, they only say which sets are connected. Then the sets of a label are compared in blocks until all that
+    are linked there are connected, so the work and what travels grow with the sets and not with their pairs; what is connected by then is
+    the new label, and only pairs of different ones are looked for by their keys: all other links are within what is connected.
+    """
     spark = docs.sparkSession
     profile = scratch.materialise(docs.mapInArrow(_profile(n), _PROFILE), "profile")
     chunks = {r["key"]: r["counts"] for r in profile.filter("kind = 1").select("key", "counts").repartition("key").mapInArrow(_add, "key bigint, counts binary").collect()}
     table = spark.sparkContext.broadcast(b"".join(chunks.get(i, bytes(4 * _CHUNK)) for i in range((1 << TABLE_BITS) // _CHUNK)))
     buckets = scratch.shuffle_partitions(spark)
+    owners = profile.filter("kind = 0 AND size > 0").groupBy("key", "doc_id", "set_hash", "size").agg(F.count("*").alias("n_rows"))
+    known = owners.groupBy("doc_id", "set_hash", "size").agg(F.min("key").alias("key")).groupBy("set_hash", "size").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
     encoded = scratch.materialise(docs.select("text").mapInArrow(_encoded(n, threshold, buckets, table), _SETS), "sets")
     within = encoded.filter("kind = 2").select("a", "b").mapInArrow(_links_in, "u bigint, v bigint")
     across = encoded.filter("kind = 1").select("bucket", "a", "b", "c").groupBy("bucket").applyInArrow(_links_of, "u bigint, v bigint")
+    labels = components(within.unionByName(across), "u", "v").select(F.col("doc_id").alias("owner"), F.col("group_id").alias("label"))
+    sized = labels.join(known.select(F.col("set_hash").alias("owner"), "size"), "owner")
+    if not counted:
+        labels = components(_in_tiles(docs, known, _block_tiles(sized), None, n, threshold, False), "owner", "least").select(F.col("doc_id").alias("owner"), F.col("group_id").alias("label"))
     label = F.when(F.col("label") == 0, 1).otherwise(F.col("label"))
-    labels = components(within.unionByName(across), "u", "v").select(F.col("doc_id").alias("owner"), F.pmod(F.xxhash64("group_id"), F.lit(1 << 32)).alias("label")).select("owner", label.alias("label"))
-    distinct = encoded.filter("kind = 0").select("owner", "size", "keys").dropDuplicates(["owner"]).join(labels, "owner", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    distinct = encoded.filter("kind = 0").select("owner", "size", "keys").dropDuplicates(["owner"]).join(labels.select("owner", label.alias("label")), "owner", "left").withColumn("label", F.coalesce("label", F.lit(0)))
     # ids of sets that lie together differ in few bytes, their hashes in all
     distinct = scratch.materialise(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
     scratch.discard(encoded)
     spread = distinct.mapInArrow(_spread(4 * buckets, table), "bucket int, id binary, label binary, size binary, own binary, place binary, side binary")
-    met = spread.groupBy("bucket").applyInArrow(_meet(threshold), "a bigint, b bigint, larger bigint, need bigint, weight bigint")
-    met = met.groupBy("a", "b").agg(F.max("larger").alias("larger"), F.max("need").alias("need"), F.sum("weight").alias("weight"))
-    met = met.filter("weight >= need").select("a", "b", "larger")
+    met = spread.groupBy("bucket").applyInArrow(_met_in_buckets(threshold, buckets), "bucket int, a binary, b binary, larger binary, need binary, weight binary")
+    met = met.groupBy("bucket").applyInArrow(_met_enough, "a bigint, b bigint, larger bigint")
     for end in ("a", "b"):
         met = met.withColumnRenamed(end, "id").join(distinct.select("id", F.col("owner").alias(end)), "id").drop("id")
     candidates = scratch.materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "larger"), "candidates")
     scratch.discard(distinct)
     pairs = scratch.materialise(_pair_tiles(candidates, threshold), "tiles")
     given = pairs.select("tile", F.lit(GIVEN).alias("side"), F.explode(F.array("a", "b")).alias("set_hash")).distinct()
-    owners = profile.filter("kind = 0 AND size > 0").groupBy("key", "doc_id", "set_hash", "size").agg(F.count("*").alias("n_rows"))
-    known = owners.groupBy("doc_id", "set_hash", "size").agg(F.min("key").alias("key")).groupBy("set_hash", "size").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
-    members = _label_tiles(labels.join(known.select(F.col("set_hash").alias("owner"), "size"), "owner"), threshold).unionByName(given)
-    sent = scratch.materialise(members.join(known.select("set_hash", "key", "copies"), "set_hash"), "members")
-    text = _only(docs.select("key", "text"), sent, "key").dropDuplicates(["key"])
-    rows = sent.join(text, "key").select("tile", F.lit(0).alias("kind"), F.col("set_hash").alias("a"), F.col("copies").alias("b"), "side", "text")
-    rows = rows.unionByName(pairs.select("tile", F.lit(1).alias("kind"), "a", "b", F.lit(GIVEN).alias("side"), F.lit(None).cast("string").alias("text")))
-    found = rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(_verify(n, threshold), "owner bigint, links bigint, least bigint")
-    found = scratch.materialise(found, "links")
-    scratch.discard(candidates, pairs, sent)
-    return owners, found
+    found = _in_tiles(docs, known, _label_tiles(sized, threshold).unionByName(given) if counted else given, pairs, n, threshold, counted)
+    scratch.discard(candidates, pairs)
+    return owners, found if counted else found.unionByName(labels.select("owner", F.lit(1).cast("bigint").alias("links"), F.col("label").alias("least")))
 
 
 def ngram_jaccard_join(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -578,7 +634,7 @@ def keep_one(documents: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     hash of id and text) is least, of rows with the same id and text the least in the order of their columns. Rows without words stay."""
     columns = documents.columns
     key, goes, row = (scratch.fresh(documents, name) for name in ("key__", "goes__", "row__"))
-    owners, linked = linked_sets(rows_with_keys(documents), n, threshold)
+    owners, linked = linked_sets(rows_with_keys(documents), n, threshold, counted=False)
     groups = components(linked, "owner", "least").select(F.col("doc_id").alias("set_hash"), "group_id")
     grouped = owners.join(groups, "set_hash", "left").select("key", "doc_id", "n_rows", F.coalesce("group_id", "set_hash").alias("group_id"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key")))

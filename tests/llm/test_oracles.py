@@ -176,6 +176,51 @@ def test_no_pair_is_lost_whatever_the_labels(hot, pairs, labels, monkeypatch):
     assert tile.links.sum() == 2 * sum(side[a] != side[b] for a, b in near)
 
 
+def test_keep_one_work_grows_with_the_sets(spark, monkeypatch):
+    """Of a class of many blocks, each set goes to two tiles, not to one for each other block; whatever the blocks leave apart is found by its keys."""
+    from .common import prose
+
+    base = prose(51, 120).split()
+    texts = [" ".join(base[: 100 + i % 20]) + f" tail{i}" for i in range(120)] + near_texts() + [prose(900 + i, 60) for i in range(5)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    sent, materialise = [], ngram_jaccard.scratch.materialise
+
+    def counted(df, name):
+        out = materialise(df, name)
+        if name == "members":
+            sent.append(out.filter("side <> 3").groupBy("set_hash").count().agg({"count": "max"}).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(ngram_jaccard.scratch, "materialise", counted)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", 4)
+    got = {r["doc_id"] for r in ngram_jaccard.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i for _, i in kept(rows)[0]}
+    assert max(sent) == 2
+
+
+def test_connected_pairs_are_not_compared():
+    """A tile that isn't counted connects the same sets by fewer links; packed meetings are the same pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    J = ngram_jaccard
+    base = " ".join(f"w{i}" for i in range(100))
+    found = {J.set_hash(s): s for s in J.sets(pa.array([f"{base} x{i}" for i in range(200)] + near_texts()), J.N)}
+    tiles = [J.Tile({h: (1, 2, s) for h, s in found.items()}, J.THRESHOLD, counted) for counted in (True, False)]
+    for t in tiles:
+        t.compare_all()
+    (owner, _, least), (owner_, _, least_) = (t.rows() for t in tiles)
+    assert dict(zip(owner, least)) == dict(zip(owner_, least_)) and len(owner) > 200
+    assert tiles[1].links.sum() < 4 * len(found) < tiles[0].links.sum() / 10
+    n = np.repeat(np.arange(30, dtype=np.int32), 2)
+    keys = {"own": np.repeat(np.arange(5, dtype=np.uint32), 60), "label": np.zeros(300, np.uint64), "id": np.tile(n // 2, 5).astype(np.int64), "size": np.tile(10 + n // 9, 5).astype(np.int32), "place": np.repeat(np.arange(5, dtype=np.int32), 60), "side": np.full(300, 2, np.uint8)}
+    t = pa.table({k: [J.planes(v)] for k, v in keys.items()})
+    met = J._meet(J.THRESHOLD)(t).to_pylist()
+    packed = J._met_in_buckets(J.THRESHOLD, 3)(t)
+    got = [tuple(r.values()) for b in set(packed.column("bucket").to_pylist()) for r in J._met_enough(packed.filter(pa.array([x == b for x in packed.column("bucket").to_pylist()]))).to_pylist()]
+    assert sorted(got) == sorted((r["a"], r["b"], r["larger"]) for r in met if r["weight"] >= r["need"]) and len(got) > 100
+
+
 def test_many_near_copies(spark):
     from .common import prose
 
