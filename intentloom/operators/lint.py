@@ -193,9 +193,18 @@ def first_glob(paths: DataFrame, globs: DataFrame, column: str = "file") -> Data
 
 
 def newest_change(spans: DataFrame, blame: DataFrame) -> DataFrame:
-    """(qname, time, hash): of the lines of each span (qname, file, line, end_line) the latest change; of equally late ones the first line's. Without a blamed line no row."""
-    lines = spans.select("qname", "file", F.explode(F.sequence("line", "end_line")).alias("line"))
-    newest = lines.join(blame, ["file", "line"]).groupBy("qname").agg(F.max_by(F.struct("time", "hash"), F.struct("time", -F.col("line"))).alias("n"))
+    """(qname, time, hash): of the lines of each span (qname, file, line, end_line) the latest change; of equally late ones the first line's. Without a blamed line no row.
+
+    Only blamed lines become rows. A span lies in at most two bins of 2 ** its level lines, and a line in one bin of each level
+    of its file, so a line meets the spans of about its bin and not all of its file.
+    """
+    ends = spans.filter("line IS NOT NULL AND end_line IS NOT NULL").select("qname", "file", F.least("line", "end_line").cast("bigint").alias("_first"), F.greatest("line", "end_line").cast("bigint").alias("_last"))
+    ends = ends.withColumn("_level", F.length(F.bin(F.col("_last") - F.col("_first"))))
+    binned = ends.withColumn("_bin", F.explode(F.expr("sequence(shiftright(_first, _level), shiftright(_last, _level))")))
+    lines = blame.withColumn("line", F.col("line").cast("bigint")).join(ends.select("file", "_level").distinct(), "file").withColumn("_bin", F.expr("shiftright(line, _level)"))
+    # the lines are streamed, the spans of a bin are kept
+    met = lines.join(binned, ["file", "_level", "_bin"]).filter(F.col("line").between(F.col("_first"), F.col("_last")))
+    newest = met.groupBy("qname").agg(F.max_by(F.struct("time", "hash"), F.struct("time", -F.col("line"))).alias("n"))
     return newest.select("qname", "n.time", "n.hash")
 
 

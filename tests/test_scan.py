@@ -1,3 +1,4 @@
+import random
 import subprocess
 
 import pytest
@@ -95,6 +96,23 @@ def test_ownership_and_staleness(spark):
     assert L.stale(spans(1, 1), spans(2, 3), blame).count() == 1 and L.stale(spans(2, 2), spans(3, 3), blame).count() == 0 and L.stale(spans(8, 9), spans(2, 3), blame).count() == 0
 
 
+def test_newest_change_by_blamed_lines(spark):
+    """Long spans over few blamed lines; nested, inverted, single and empty ones against a search of all pairs."""
+    ddl = "qname string, file string, line int, end_line int"
+    blame = spark.createDataFrame([("f", 1, 10, "a"), ("f", 2**31 - 1, 20, "b"), ("g", 7, 5, "c")], "file string, line int, time bigint, hash string")
+    long = spark.createDataFrame([("Q", "f", 1, 2**31 - 1), ("R", "f", -(2**31), 2**31 - 2), ("S", "g", 7, 7), ("T", "g", 8, None), ("U", "h", 1, 9)], ddl)
+    assert sorted(tuple(r) for r in L.newest_change(long, blame).collect()) == [("Q", 20, "b"), ("R", 10, "a"), ("S", 5, "c")]
+    draw = random.Random(5)
+    lines = [(f"f{k}", i, draw.randrange(9), f"h{k}.{i}") for k in range(3) for i in range(-40, 200) if draw.random() < 0.5]
+    spans = [(f"q{i}", f"f{draw.randrange(4)}", a := draw.randrange(-50, 210), a + draw.choice([0, 1, 2, 7, 8, 31, 90, -5])) for i in range(200)]
+    want = {}
+    for q, file, a, b in spans:
+        if held := [(t, -i, h) for f, i, t, h in lines if f == file and min(a, b) <= i <= max(a, b)]:
+            want[q] = (max(held)[0], max(held)[2])
+    got = L.newest_change(spark.createDataFrame(spans, ddl), spark.createDataFrame(lines, blame.schema)).collect()
+    assert len(got) == len(want) and {r["qname"]: (r["time"], r["hash"]) for r in got} == want
+
+
 def test_claim_statuses(spark):
     edges = spark.createDataFrame([("a", "s", "Affects", "f"), ("a", "t", "Affects", "f"), ("a", "u", "Reads", "f"), ("b", "s", "Reads", "g"), ("a", "e", "Emits", "f"), ("c", "s", "Reads", "f"), ("a", "w", "Triggers", "f")], "src string, dst string, kind string, file string")
     derived = spark.createDataFrame([("a", "s", "Affects"), ("a", "w", "Calls")], "src string, dst string, kind string")
