@@ -11,16 +11,27 @@ from . import shared
 from .graph import IntentGraph, clauses_of, edges_of, nodes_of
 
 
+#: rows of a table that one task of its joins gets
+ROWS = 300_000
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tasks: dict[str, int] = {}
+
+    def tasks(self, name: str) -> int:
+        """Tasks for joins of this table, by its rows: settings and merged partitions would let a task's memory grow with the table."""
+        if name not in self._tasks:
+            self._tasks[name] = max(self.spark.sparkContext.defaultParallelism, -(-getattr(self, name).count() // ROWS))
+        return self._tasks[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 def _name(*parts) -> F.Column:
-    return F.concat(*(F.col(p) if "_" in p else F.lit(p) for p in parts))
+    return F.concat_ws("", *(F.col(p) if "_" in p else F.lit(p) for p in parts))
 
 
 def places(t: Tables) -> DataFrame:
@@ -60,25 +71,47 @@ def sales(t: Tables) -> DataFrame:
     return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers(t), F.col("o_custkey") == F.col("c_custkey"))
 
 
+def _named(t: Tables, tasks: int, key: str, name: str) -> DataFrame:
+    """The names of customers by key, where joins of so many tasks need them."""
+    return customers(t).select(F.col("c_custkey").alias(key), F.col("cust").alias(name)).repartition(tasks, key).distinct()
+
+
+def _effects(t: Tables) -> DataFrame:
+    n = t.tasks("lineitem")
+    lines = t.lineitem.select("l_orderkey", "l_partkey", F.when(F.col("l_returnflag") == "R", "Affects").otherwise("Reads").alias("kind")).repartition(n, "l_orderkey")
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").repartition(n, "l_orderkey")
+    brands = t.part.select(F.col("p_partkey").alias("l_partkey"), brand().alias("dst")).repartition(n, "l_partkey")
+    bought = lines.join(orders, "l_orderkey").select("o_custkey", "l_partkey", "kind").repartition(n, "l_partkey").join(brands, "l_partkey")
+    once = bought.select("o_custkey", "dst", "kind").repartition(n, "o_custkey").distinct()
+    return once.join(_named(t, n, "o_custkey", "src"), "o_custkey").select("src", "dst", "kind", F.lit("Derived").alias("layer"))
+
+
+def _calls(t: Tables) -> DataFrame:
+    n = t.tasks("orders")
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", F.trunc("o_orderdate", "month").alias("month")).repartition(n, "month", "o_orderpriority")
+    turn = Window.partitionBy("month", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
+    pairs = orders.select("o_custkey", F.lag("o_custkey").over(turn).alias("before")).filter("before <> o_custkey").repartition(n, "before").distinct()
+    after = pairs.join(_named(t, n, "before", "src"), "before").select("src", "o_custkey").repartition(n, "o_custkey")
+    return after.join(_named(t, n, "o_custkey", "dst"), "o_custkey").select("src", "dst", F.lit("Calls").alias("kind"), F.lit("Derived").alias("layer"))
+
+
 def edges(t: Tables) -> DataFrame:
-    """Distinct (src, dst, kind, layer). A filter by kind leaves only the parts that make these."""
-    sold = sales(t)
-    effects = sold.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("cust").alias("src"), brand().alias("dst"), F.when(F.col("l_returnflag") == "R", "Affects").otherwise("Reads").alias("kind"), F.lit("Derived").alias("layer"))
-    turn = Window.partitionBy(F.trunc("o_orderdate", "month"), "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    pairs = t.orders.select("o_custkey", F.lag("o_custkey").over(turn).alias("before")).filter("before <> o_custkey")
-    a, b = customers(t).select(F.col("c_custkey").alias("before"), F.col("cust").alias("src")), customers(t).select(F.col("c_custkey").alias("o_custkey"), F.col("cust").alias("dst"))
-    calls = pairs.join(a, "before").join(b, "o_custkey").select("src", "dst", F.lit("Calls").alias("kind"), F.lit("Derived").alias("layer"))
-    by_supplier = sold.join(suppliers(t), F.col("l_suppkey") == F.col("s_suppkey"))
-    urgent = by_supplier.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("l_quantity") >= 50))
-    triggers = urgent.select(F.col("cust").alias("src"), F.col("supp").alias("dst"), F.lit("Triggers").alias("kind"), F.lit("Declared").alias("layer"))
-    depends = urgent.filter("l_returnflag = 'R' AND l_discount >= 0.08 AND nation <> supp_nation").select(F.col("nation").alias("src"), F.col("supp_nation").alias("dst"), F.lit("DependsOn").alias("kind"), F.lit("Declared").alias("layer"))
-    emits = t.events.join(customers(t), F.col("user_id") == F.col("c_custkey")).select(F.col("cust").alias("src"), F.concat(F.lit("E."), "event_type").alias("dst"), F.lit("Emits").alias("kind"), F.lit("Declared").alias("layer"))
+    """Distinct (src, dst, kind, layer). A filter by kind leaves only the parts that make these.
+
+    No two parts make edges of the same kind, so each removes its own repeated ones, where it can by keys before it names them.
+    """
+    urgent = sales(t).join(suppliers(t), F.col("l_suppkey") == F.col("s_suppkey")).filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("l_quantity") >= 50))
+    triggers = urgent.select(F.col("cust").alias("src"), F.col("supp").alias("dst"), F.lit("Triggers").alias("kind"), F.lit("Declared").alias("layer")).distinct()
+    depends = urgent.filter("l_returnflag = 'R' AND l_discount >= 0.08 AND nation <> supp_nation").select(F.col("nation").alias("src"), F.col("supp_nation").alias("dst"), F.lit("DependsOn").alias("kind"), F.lit("Declared").alias("layer")).distinct()
+    n = t.tasks("events")
+    sent = t.events.select("user_id", "event_type").repartition(n, "user_id").distinct().join(_named(t, n, "user_id", "src"), "user_id")
+    emits = sent.select("src", F.concat(F.lit("E."), "event_type").alias("dst"), F.lit("Emits").alias("kind"), F.lit("Declared").alias("layer"))
     types = t.events.select("event_type").distinct().withColumn("i", F.row_number().over(Window.orderBy("event_type")) - 1)  # five rows
-    handles = suppliers(t).join(F.broadcast(types), F.col("s_suppkey") % 7 == F.col("i")).select(F.col("supp").alias("src"), F.concat(F.lit("E."), "event_type").alias("dst"), F.lit("Handles").alias("kind"), F.lit("Declared").alias("layer"))
-    out = effects
-    for e in (calls, triggers, depends, emits, handles):
+    handles = suppliers(t).join(F.broadcast(types), F.col("s_suppkey") % 7 == F.col("i")).select(F.col("supp").alias("src"), F.concat(F.lit("E."), "event_type").alias("dst"), F.lit("Handles").alias("kind"), F.lit("Declared").alias("layer")).distinct()
+    out = _effects(t)
+    for e in (_calls(t), triggers, depends, emits, handles):
         out = out.unionByName(e)
-    return edges_of(out.distinct().withColumn("edge_id", F.xxhash64("src", "dst", "kind")))
+    return edges_of(out.withColumn("edge_id", F.xxhash64("src", "dst", "kind")))
 
 
 def clauses(t: Tables, depends: DataFrame) -> DataFrame:
